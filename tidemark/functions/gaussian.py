@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # AS 241 coefficients, lowest power first, centre / near tail / far tail.
 _CENTRE_TOP = (
@@ -62,26 +62,44 @@ def polynomial(coefficients: Sequence[float], x: Column) -> Column:
     return result
 
 
-def normal_quantile(p: Column) -> Column:
-    """The z with probability ``p`` below it, for p strictly between 0 and 1."""
-    offset = p - 0.5
-    square = F.lit(0.180625) - offset * offset
-    centre = offset * polynomial(_CENTRE_TOP, square) / polynomial(_CENTRE_BOTTOM, square)
-    depth = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
-    near = polynomial(_NEAR_TOP, depth - 1.6) / polynomial(_NEAR_BOTTOM, depth - 1.6)
-    far = polynomial(_FAR_TOP, depth - 5.0) / polynomial(_FAR_BOTTOM, depth - 5.0)
-    tail = F.when(depth <= 5.0, near).otherwise(far)
-    return F.when(F.abs(offset) <= 0.425, centre).otherwise(F.signum(offset) * tail)
+def with_normal_quantile(table: DataFrame, p: Column, name: str) -> DataFrame:
+    """Adds the z with probability ``p`` below it, for p strictly between 0 and 1.
 
+    The intermediate values are columns of their own, so that the polynomials
+    refer to them instead of repeating them.
+    """
+    steps = (
+        table.withColumn("_offset", p - 0.5)
+        .withColumn("_square", F.lit(0.180625) - F.col("_offset") * F.col("_offset"))
+        .withColumn("_depth", F.sqrt(-F.log(F.lit(0.5) - F.abs("_offset"))))
+        .withColumns({"_near": F.col("_depth") - 1.6, "_far": F.col("_depth") - 5.0})
+    )
+    ratio = lambda top, bottom, x: polynomial(top, F.col(x)) / polynomial(bottom, F.col(x))
+    tail = F.when(F.col("_depth") <= 5.0, ratio(_NEAR_TOP, _NEAR_BOTTOM, "_near")).otherwise(
+        ratio(_FAR_TOP, _FAR_BOTTOM, "_far")
+    )
+    value = F.when(
+        F.abs("_offset") <= 0.425, F.col("_offset") * ratio(_CENTRE_TOP, _CENTRE_BOTTOM, "_square")
+    ).otherwise(F.signum("_offset") * tail)
+    return steps.withColumn(name, value).drop("_offset", "_square", "_depth", "_near", "_far")
 
-def normal_upper_tail(z: Column) -> Column:
-    """Probability above ``z``."""
-    size = F.abs(z)
-    density = F.exp(-size * size / 2.0)
-    body = density * polynomial(_TAIL_TOP, size) / polynomial(_TAIL_BOTTOM, size)
+
+def with_normal_upper_tail(table: DataFrame, z: Column, name: str) -> DataFrame:
+    """Adds the probability above ``z``; intermediate values are columns here too."""
+    size = F.col("_size")
     fraction = size + 0.65
     for step in (4.0, 3.0, 2.0, 1.0):
         fraction = size + F.lit(step) / fraction
-    far = density / fraction / F.lit(2.506628274631)
-    tail = F.when(size > 37.0, F.lit(0.0)).when(size < 7.07106781186547, body).otherwise(far)
-    return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
+    body = polynomial(_TAIL_TOP, size) / polynomial(_TAIL_BOTTOM, size)
+    far = F.lit(1.0) / fraction / F.lit(2.506628274631)
+    tail = F.when(size > 37.0, F.lit(0.0)).otherwise(
+        F.col("_density") * F.when(size < 7.07106781186547, body).otherwise(far)
+    )
+    return (
+        table.withColumn("_z", z)
+        .withColumn("_size", F.abs("_z"))
+        .withColumn("_density", F.exp(-size * size / 2.0))
+        .withColumn("_tail", tail)
+        .withColumn(name, F.when(F.col("_z") >= 0, F.col("_tail")).otherwise(1.0 - F.col("_tail")))
+        .drop("_z", "_size", "_density", "_tail")
+    )

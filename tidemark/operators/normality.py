@@ -6,7 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.gaussian import normal_quantile, normal_upper_tail, polynomial
+from tidemark.functions.gaussian import (
+    polynomial,
+    with_normal_quantile,
+    with_normal_upper_tail,
+)
 from tidemark.operators.ranks import RankedValues
 
 # Published AS R94 constants, lowest power first.
@@ -24,11 +28,6 @@ _LEAST_N = 3
 _RANKS_PER_ARRAY = 100_000
 
 
-def expected_score(rank: Column, n: Column) -> Column:
-    """Expected normal order statistic of 1-based ``rank`` among ``n``."""
-    return normal_quantile((rank - 0.375) / (n + 0.25))
-
-
 def _one_row_per_rank(ranked: RankedValues) -> DataFrame:
     """Ranks spelled out, column ``i`` from 1.
 
@@ -48,20 +47,20 @@ def _one_row_per_rank(ranked: RankedValues) -> DataFrame:
 
 def _sums(ranked: RankedValues) -> DataFrame:
     """What the statistic needs of each group, in one pre-aggregating pass."""
-    rows = _one_row_per_rank(ranked).withColumn(
-        "score", expected_score(F.col("i").cast("double"), F.col("n").cast("double"))
-    )
-    centred = F.col("value") - F.col("mean")
-    at = lambda rank: F.max(F.when(F.col("i") == rank, F.col("value")))
+    # Expected normal order statistic of rank i among n.
+    place = (F.col("i") - 0.375) / (F.col("n") + 0.25)
+    rows = with_normal_quantile(_one_row_per_rank(ranked), place, "score")
+    rows = rows.withColumn("centred", F.col("value") - F.col("mean"))
+    at = lambda rank, column: F.max(F.when(F.col("i") == rank, F.col(column)))
     return rows.groupBy("group", "metric").agg(
         F.max("n").cast("double").alias("n"),
-        F.sum(F.col("score") * centred).alias("score_product"),
+        F.sum(F.col("score") * F.col("centred")).alias("score_product"),
         F.sum(F.col("score") * F.col("score")).alias("score_square"),
-        F.sum(centred * centred).alias("deviation_square"),
-        at(F.lit(1)).alias("first"),
-        at(F.lit(2)).alias("second"),
-        at(F.col("n") - 1).alias("last_but_one"),
-        at(F.col("n")).alias("last"),
+        F.sum(F.col("centred") * F.col("centred")).alias("deviation_square"),
+        F.max("score").alias("outer_score"),
+        at(F.col("n") - 1, "score").alias("inner_score"),
+        (F.max("value") - F.min("value")).alias("outer_range"),
+        (at(F.col("n") - 1, "value") - at(F.lit(2), "value")).alias("inner_range"),
     )
 
 
@@ -72,55 +71,64 @@ def _statistic(sums: DataFrame) -> DataFrame:
     corrected and the rest are scaled scores.
     """
     n = F.col("n")
-    root = F.lit(1.0) / F.sqrt(n)
-    outer_score = expected_score(n, n)
-    inner_score = expected_score(n - 1, n)
-    norm = F.sqrt("score_square")
-    outer = polynomial(_LAST_WEIGHT, root) + outer_score / norm
-    inner = polynomial(_SECOND_WEIGHT, root) + inner_score / norm
-    outer_range = F.col("last") - F.col("first")
-    inner_range = F.col("last_but_one") - F.col("second")
-
-    square_of = lambda x: x * x
-    scale_large = F.try_divide(
-        F.col("score_square") - 2 * square_of(outer_score) - 2 * square_of(inner_score),
-        1 - 2 * square_of(outer) - 2 * square_of(inner),
+    square = lambda name: F.col(name) * F.col(name)
+    weights = (
+        sums.withColumns({"root": F.lit(1.0) / F.sqrt(n), "norm": F.sqrt("score_square")})
+        .withColumn(
+            "outer", polynomial(_LAST_WEIGHT, F.col("root")) + F.col("outer_score") / F.col("norm")
+        )
+        .withColumn(
+            "inner",
+            F.when(
+                n > 5,
+                polynomial(_SECOND_WEIGHT, F.col("root")) + F.col("inner_score") / F.col("norm"),
+            ).otherwise(F.lit(0.0)),
+        )
+        .withColumn("inner_score", F.when(n > 5, F.col("inner_score")).otherwise(F.lit(0.0)))
     )
-    scale_small = F.try_divide(
-        F.col("score_square") - 2 * square_of(outer_score), 1 - 2 * square_of(outer)
+    outer_range, inner_range = F.col("outer_range"), F.col("inner_range")
+    rest = (
+        F.col("score_product")
+        - F.col("outer_score") * outer_range
+        - F.col("inner_score") * inner_range
     )
-    rest_large = F.col("score_product") - outer_score * outer_range - inner_score * inner_range
-    rest_small = F.col("score_product") - outer_score * outer_range
-    weighted = (
-        F.when(n == 3, F.lit(math.sqrt(0.5)) * outer_range)
-        .when(n <= 5, F.try_divide(rest_small, F.sqrt(scale_small)) + outer * outer_range)
-        .otherwise(
-            F.try_divide(rest_large, F.sqrt(scale_large)) + outer * outer_range + inner * inner_range
-        )
+    scale = F.try_divide(
+        F.col("score_square") - 2 * square("outer_score") - 2 * square("inner_score"),
+        1 - 2 * square("outer") - 2 * square("inner"),
     )
-    ratio = F.least(F.try_divide(square_of(weighted), F.col("deviation_square")), F.lit(1.0))
-    constant = F.col("first") == F.col("last")
-    return sums.withColumn("w", F.when(constant, F.lit(1.0)).otherwise(ratio))
+    weighted = weights.withColumns({"rest": rest, "scale": F.sqrt(scale)}).withColumn(
+        "weighted",
+        F.when(n == 3, F.lit(math.sqrt(0.5)) * outer_range).otherwise(
+            F.try_divide(F.col("rest"), F.col("scale"))
+            + F.col("outer") * outer_range
+            + F.col("inner") * inner_range
+        ),
+    )
+    ratio = F.least(F.try_divide(square("weighted"), F.col("deviation_square")), F.lit(1.0))
+    return weighted.withColumn("w", F.when(outer_range == 0, F.lit(1.0)).otherwise(ratio))
 
 
-def _significance(w: Column, n: Column) -> Column:
+def _significance(tested: DataFrame) -> DataFrame:
+    """Adds ``p``: exact for three values, else by a normalising transformation of W."""
+    n, w = F.col("n"), F.col("w")
     exact = F.lit(6 / math.pi) * (F.asin(F.sqrt(w)) - F.lit(math.asin(math.sqrt(0.75))))
-    distance = F.log(1 - w)
-    gamma = polynomial(_GAMMA, n)
-    small = normal_upper_tail(
-        (-F.log(gamma - distance) - polynomial(_SMALL_MEAN, n))
-        / F.exp(polynomial(_SMALL_DEVIATION, n))
+    distance, size, gamma = F.col("distance"), F.col("size"), F.col("gamma")
+    small = (-F.log(gamma - distance) - polynomial(_SMALL_MEAN, n)) / F.exp(
+        polynomial(_SMALL_DEVIATION, n)
+    )
+    large = (distance - polynomial(_LARGE_MEAN, size)) / F.exp(
+        polynomial(_LARGE_DEVIATION, size)
     )
-    size = F.log(n)
-    large = normal_upper_tail(
-        (distance - polynomial(_LARGE_MEAN, size)) / F.exp(polynomial(_LARGE_DEVIATION, size))
+    placed = tested.withColumns(
+        {"distance": F.log(1 - w), "size": F.log(n), "gamma": polynomial(_GAMMA, n)}
     )
-    return (
+    tailed = with_normal_upper_tail(placed, F.when(n <= 11, small).otherwise(large), "tail")
+    return tailed.withColumn(
+        "p",
         F.when(w >= 1, F.lit(1.0))
         .when(n == 3, F.greatest(exact, F.lit(0.0)))
         .when((n <= 11) & (distance >= gamma), F.lit(0.0))
-        .when(n <= 11, small)
-        .otherwise(large)
+        .otherwise(F.col("tail")),
     )
 
 
@@ -130,8 +138,7 @@ def shapiro_wilk(ranked: RankedValues) -> DataFrame:
     All three are NULL below three values. A constant group has statistic and
     p of 1. Above 5000 values the p-value is extrapolated, as the paper warns.
     """
-    tested = _statistic(_sums(ranked).where(F.col("n") >= _LEAST_N))
-    p = _significance(F.col("w"), F.col("n"))
+    tested = _significance(_statistic(_sums(ranked).where(F.col("n") >= _LEAST_N)))
     return tested.select(
-        "group", "metric", F.col("w").alias("shapiro_stat"), p.alias("shapiro_p")
+        "group", "metric", F.col("w").alias("shapiro_stat"), F.col("p").alias("shapiro_p")
     ).withColumn("normal", F.col("shapiro_p") > _SIGNIFICANCE)

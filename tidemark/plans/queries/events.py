@@ -38,7 +38,7 @@ def _event_json(spark, folder):
 @query(
     "json_events",
     """
-    select event_id, user_id, event_type, value, epoch_ms(ts) as event_time_ms,
+    select event_id, user_id, event_type, value, epoch_us(ts) // 1000 as event_time_ms,
            strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts
     from events
     """,
@@ -88,7 +88,7 @@ def trip_events(spark, folder):
     )
 
 
-_LATENCY = f"({_CLOCK} - epoch_ms(ts) / 1000.0)"
+_LATENCY = f"({_CLOCK} - (epoch_us(ts) // 1000) / 1000.0)"
 
 
 @query(
