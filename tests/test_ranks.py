@@ -1,0 +1,190 @@
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators.normality import shapiro_wilk
+from tidemark.operators.ranks import (
+    index_rows,
+    join_to_values,
+    largest_group,
+    order_statistics,
+    rank_values,
+)
+
+BOUNDS = [100_000, 0]  # one task per group, or groups split over slices
+
+
+def skewed_rows(seed=5):
+    """A hot group with a third of all rows, a hot value, small groups and a NULL key."""
+    rng = random.Random(seed)
+    rows = [("hot", round(rng.gauss(50, 9), 3)) for _ in range(1500)]
+    rows += [("same", 7.25) for _ in range(900)]
+    rows += [(None, rng.random()) for _ in range(300)]
+    rows += [(f"g{i}", round(rng.random(), 1)) for i in range(300) for _ in range(5)]
+    rows += [("one", 3.5), ("none", None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    return spark.createDataFrame(skewed_rows(), "k string, x double").repartition(6)
+
+
+def values_by_key():
+    groups = {}
+    for key, x in skewed_rows():
+        if x is not None:
+            groups.setdefault(key, []).append(x)
+    return {key: sorted(values) for key, values in groups.items()}
+
+
+def test_largest_group(skewed):
+    assert largest_group(skewed, ["k"]) == 1500
+    assert largest_group(skewed.limit(0), ["k"]) == 0
+
+
+@pytest.mark.parametrize("bound", BOUNDS)
+def test_ranks_cover_each_group_once(skewed, bound):
+    ranked = rank_values(skewed, ["k"], ["x"], bound)
+    assert ranked.split == (bound == 0)
+    found = {}
+    for row in ranked.frame.collect():
+        found.setdefault(row["group"]["k"], []).append(row)
+    wanted = values_by_key()
+    assert found.keys() == wanted.keys()
+    for key, rows in found.items():
+        rows.sort(key=lambda r: r["before"])
+        expanded = [r["value"] for r in rows for _ in range(r["rows"])]
+        assert expanded == wanted[key]
+        places = 0
+        for r in rows:
+            assert r["before"] == places and r["n"] == len(expanded)
+            assert r["mean"] == pytest.approx(statistics.fmean(expanded))
+            places += r["rows"]
+
+
+def test_a_large_group_is_split(skewed):
+    ranked = rank_values(skewed, ["k"], ["x"], 0)
+    hot = ranked.frame.where(F.col("group.k") == "hot")
+    assert hot.select("part").distinct().count() > 1
+
+
+@pytest.mark.parametrize("bound", BOUNDS)
+def test_percentiles(skewed, bound):
+    points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    found = order_statistics(rank_values(skewed, ["k"], ["x"], bound), points).collect()
+    wanted = values_by_key()
+    assert len(found) == len(wanted)
+    for row in found:
+        values = wanted[row["group"]["k"]]
+        for name, p in points.items():
+            index = (len(values) - 1) * p
+            low = int(index)
+            high = min(low + 1, len(values) - 1)
+            expected = values[low] + (values[high] - values[low]) * (index - low)
+            assert row[name] == pytest.approx(expected, abs=1e-12)
+
+
+@pytest.mark.parametrize("bound", BOUNDS)
+def test_join_to_values_keeps_null_keys(skewed, bound):
+    ranked = rank_values(skewed, ["k"], ["x"], bound)
+    sizes = order_statistics(ranked, {"m": 0.5}).select("group", "metric", "m")
+    joined = join_to_values(ranked, sizes)
+    assert joined.agg(F.sum("rows")).first()[0] == len([r for r in skewed_rows() if r[1] is not None])
+
+
+def test_several_metrics_and_no_key(spark):
+    rows = spark.createDataFrame([(1.0, 4.0), (2.0, None), (3.0, 6.0)], "a double, b double")
+    for bound in BOUNDS:
+        found = order_statistics(rank_values(rows, [], ["a", "b"], bound), {"m": 0.5}).collect()
+        assert {r["metric"]: (r["n"], r["m"]) for r in found} == {"a": (3, 2.0), "b": (2, 5.0)}
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_index_rows(spark, coalesce):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, coalesce)
+    try:
+        check_index(spark)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def check_index(spark):
+    rng = random.Random(1)
+    keys = rng.sample(range(10_000), 2000)
+    table = spark.createDataFrame([(k, k % 3) for k in keys], "k int, v int").repartition(7)
+    found = {r["k"]: r["idx"] for r in index_rows(table, ["v", "k"]).collect()}
+    wanted = {k: i for i, (_, k) in enumerate(sorted((k % 3, k) for k in keys))}
+    assert found == wanted
+
+
+# --- normality -------------------------------------------------------------------------
+
+
+def shapiro_of(spark, groups, bound=100_000):
+    rows = spark.createDataFrame(
+        [(name, float(x)) for name, values in groups.items() for x in values], "k string, x double"
+    )
+    found = shapiro_wilk(rank_values(rows, ["k"], ["x"], bound)).collect()
+    return {r["group"]["k"]: r for r in found}
+
+
+PUBLISHED = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+
+
+@pytest.mark.parametrize("bound", BOUNDS)
+def test_shapiro_published_example(spark, bound):
+    row = shapiro_of(spark, {"weights": PUBLISHED}, bound)["weights"]
+    assert row["shapiro_stat"] == pytest.approx(0.78881, abs=1e-5)
+    assert row["shapiro_p"] == pytest.approx(0.0067038, abs=1e-6)
+    assert row["normal"] is False
+
+
+@pytest.mark.parametrize("bound", BOUNDS)
+def test_shapiro_edges(spark, bound):
+    found = shapiro_of(
+        spark,
+        {
+            "one": [1], "two": [1, 2], "constant": [0.1] * 40, "even": [1, 2, 3],
+            "three": [1, 2, 10], "shifted": [x + 1e9 for x in PUBLISHED],
+        },
+        bound,
+    )
+    assert "one" not in found and "two" not in found
+    assert (found["constant"]["shapiro_stat"], found["constant"]["shapiro_p"]) == (1.0, 1.0)
+    assert found["even"]["shapiro_stat"] == pytest.approx(1.0)
+    assert found["even"]["shapiro_p"] == pytest.approx(1.0, abs=1e-6)
+    # W of three values is ((x3 - x1)^2 / 2) / sum of squared deviations.
+    assert found["three"]["shapiro_stat"] == pytest.approx(81 / 2 / (146 / 3))
+    assert found["shifted"]["shapiro_stat"] == pytest.approx(0.78881, abs=1e-5)
+
+
+def test_shapiro_same_both_ways_with_ties(spark):
+    rng = random.Random(9)
+    groups = {f"t{n}": [rng.randrange(6) for _ in range(n)] for n in (3, 4, 5, 6, 11, 12, 30, 400)}
+    whole, split = shapiro_of(spark, groups), shapiro_of(spark, groups, 0)
+    assert whole.keys() == split.keys()
+    for key in whole:
+        assert whole[key]["shapiro_stat"] == pytest.approx(split[key]["shapiro_stat"], rel=1e-9)
+        assert whole[key]["shapiro_p"] == pytest.approx(split[key]["shapiro_p"], rel=1e-6, abs=1e-12)
+
+
+def test_a_frequent_value_is_spread_over_its_ranks(spark, monkeypatch):
+    from tidemark.operators import normality
+
+    rng = random.Random(3)
+    groups = {"g": [4.0] * 500 + [rng.gauss(4, 1) for _ in range(300)]}
+    wanted = shapiro_of(spark, groups)["g"]["shapiro_stat"]
+    monkeypatch.setattr(normality, "_RANKS_PER_ARRAY", 64)
+    assert shapiro_of(spark, groups, 0)["g"]["shapiro_stat"] == pytest.approx(wanted, rel=1e-9)
+
+
+def test_shapiro_rejects_one_normal_sample_in_twenty(spark):
+    rng = random.Random(11)
+    groups = {f"s{i}": [rng.gauss(0, 1) for _ in range(20)] for i in range(800)}
+    rejected = sum(not row["normal"] for row in shapiro_of(spark, groups).values())
+    assert 0.03 < rejected / 800 < 0.075

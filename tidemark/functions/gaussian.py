@@ -69,9 +69,10 @@ def with_normal_quantile(table: DataFrame, p: Column, name: str) -> DataFrame:
     refer to them instead of repeating them.
     """
     steps = (
-        table.withColumn("_offset", p - 0.5)
+        table.withColumn("_p", p)
+        .withColumn("_offset", F.col("_p") - 0.5)
         .withColumn("_square", F.lit(0.180625) - F.col("_offset") * F.col("_offset"))
-        .withColumn("_depth", F.sqrt(-F.log(F.lit(0.5) - F.abs("_offset"))))
+        .withColumn("_depth", F.sqrt(-F.log(F.least(F.col("_p"), 1 - F.col("_p")))))
         .withColumns({"_near": F.col("_depth") - 1.6, "_far": F.col("_depth") - 5.0})
     )
     ratio = lambda top, bottom, x: polynomial(top, F.col(x)) / polynomial(bottom, F.col(x))
@@ -81,7 +82,9 @@ def with_normal_quantile(table: DataFrame, p: Column, name: str) -> DataFrame:
     value = F.when(
         F.abs("_offset") <= 0.425, F.col("_offset") * ratio(_CENTRE_TOP, _CENTRE_BOTTOM, "_square")
     ).otherwise(F.signum("_offset") * tail)
-    return steps.withColumn(name, value).drop("_offset", "_square", "_depth", "_near", "_far")
+    return steps.withColumn(name, value).drop(
+        "_p", "_offset", "_square", "_depth", "_near", "_far"
+    )
 
 
 def with_normal_upper_tail(table: DataFrame, z: Column, name: str) -> DataFrame:

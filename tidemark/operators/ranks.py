@@ -76,7 +76,9 @@ def _rank_split(values: DataFrame) -> DataFrame:
     spark = values.sparkSession
     # Equal values become one row first, so that a frequent value is no hot spot.
     counted = values.groupBy("group", "metric", "value").agg(F.count(F.lit(1)).alias("rows"))
-    sliced = counted.repartitionByRange("group", "metric", "value").withColumn(
+    # A stated number of slices: adaptive execution must not join them up again.
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sliced = counted.repartitionByRange(slices, "group", "metric", "value").withColumn(
         "part", F.spark_partition_id()
     )
     # The slices feed both the offsets and the ranks and must be the same in both,
