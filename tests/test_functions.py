@@ -53,15 +53,16 @@ def test_overrun_is_never_negative(spark):
     ],
 )
 def test_size_bytes(spark, raw, wanted):
-    assert column(spark, [raw], "string", text.size_bytes) == [wanted]
+    rows = spark.createDataFrame([(raw,)], "x string")
+    assert text.with_size_bytes(rows, {"y": F.col("x")}).first()["y"] == wanted
 
 
 def test_size_pairs(spark):
-    values = ["1kB / 2MB", "1kB", "1KiB/--", "a / 1B"]
-    first = column(spark, values, "string", lambda x: text.size_pair_bytes(x)[0])
-    second = column(spark, values, "string", lambda x: text.size_pair_bytes(x)[1])
-    assert first == [1000.0, 0.0, 1024.0, None]
-    assert second == [2e6, 0.0, 0.0, 1.0]
+    values = ["1kB / 2MB", "1kB", "1KiB/--", "a / 1B", None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x string")
+    found = text.with_size_pairs(rows, {("a", "b"): F.col("x")}).orderBy("i").collect()
+    assert [r["a"] for r in found] == [1000.0, 0.0, 1024.0, None, 0.0]
+    assert [r["b"] for r in found] == [2e6, 0.0, 0.0, 1.0, 0.0]
 
 
 def test_percent(spark):

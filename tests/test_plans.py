@@ -1,0 +1,49 @@
+"""The plans are the ones wanted: pruned scans, no Python, no cross joins."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as contract
+from tidemark.operators.ranks import rank_values
+from tidemark.operators.summary import summarize
+
+# Starts a stream or writes files first; what it returns is a plain read.
+LAZY = sorted(contract.queries())
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_no_python_and_no_cross_join(spark, folder, name):
+    plan = plan_of(contract.queries()[name](spark, folder))
+    assert not re.search(r"PythonUDF|ArrowEvalPython|BatchEvalPython|MapInPandas|PythonMap", plan)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_flagship_reads_two_columns(spark, folder):
+    plan = plan_of(contract.queries()["group_avg_count"](spark, folder))
+    schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
+    assert sorted(f.split(":")[0] for f in schema.split(",")) == ["event_type", "value"]
+    assert plan.count("Exchange") == 1 and plan.count("HashAggregate") == 2
+
+
+def test_status_filter_reaches_the_scan(spark, folder):
+    plan = plan_of(contract.queries()["run_summary"](spark, folder))
+    assert "PushedFilters" in plan and "o_orderstatus" in plan.split("PushedFilters")[1][:120]
+
+
+def test_bounded_summary_is_one_shuffle(spark, folder):
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    frame = summarize(lines, ["l_returnflag"], ["l_quantity", "l_tax"], "n", normality=False)
+    assert plan_of(frame).count("Exchange hashpartitioning") == 1
+
+
+def test_split_ranks_do_not_shuffle_the_values_again_for_the_offsets(spark, folder):
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    frame = rank_values(lines, ["l_returnflag"], ["l_extendedprice"], 0).frame
+    plan = plan_of(frame)
+    # values, partial sizes, and the window over sizes
+    assert plan.count("Exchange hashpartitioning") <= 4

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numbers import text_number
 
@@ -19,29 +21,58 @@ SIZE_UNITS = {
     "tib": 1024.0**4,
 }
 
-_SIZE_TEXT = r"^(.*?)([kmgt]i?b|b)?$"
+_UNIT_LETTERS = "bkmgti"
+
 
+def with_size_bytes(table: DataFrame, texts: Mapping[str, Column]) -> DataFrame:
+    """Adds one column of bytes for each text like ``"1.5GiB"``.
 
-def size_bytes(text: Column) -> Column:
-    """``"1.5GiB"`` to bytes. Blank and ``--`` are 0, a bare unit is 0, no unit
-    means bytes. Text that is no size gives NULL, for the caller to count."""
-    compact = F.lower(F.regexp_replace(F.trim(text), " ", ""))
-    amount = F.regexp_extract(compact, _SIZE_TEXT, 1)
-    unit = F.regexp_extract(compact, _SIZE_TEXT, 2)
+    Blank and ``--`` are 0, a bare unit is 0, no unit means bytes. Text that is
+    no size gives NULL, for the caller to count. The parts of a text are columns
+    of their own on the way, so that each is worked out once.
+    """
     factors = F.create_map(*[F.lit(part) for pair in SIZE_UNITS.items() for part in pair])
-    number = F.when((amount == "") & (unit != ""), F.lit(0.0)).otherwise(text_number(amount))
-    factor = F.when(unit == "", F.lit(1.0)).otherwise(F.try_element_at(factors, unit))
-    return F.when(compact.isin("", "--"), F.lit(0.0)).otherwise(number * factor)
-
-
-def size_pair_bytes(text: Column) -> tuple[Column, Column]:
-    """``"12kB / 3MB"`` to two byte counts; anything but two parts is (0, 0)."""
-    parts = F.split(text, "/", 2)
-    paired = F.size(parts) == 2
-    return tuple(
-        F.when(paired, size_bytes(F.get(parts, position))).otherwise(F.lit(0.0))
-        for position in (0, 1)
+    part = lambda kind, name: F.col(f"_{kind}_{name}")
+
+    def step(frame: DataFrame, kind: str, build) -> DataFrame:
+        return frame.withColumns({f"_{kind}_{name}": build(name) for name in texts})
+
+    def number(name: str) -> Column:
+        amount = part("amount", name)
+        end = F.substring(amount, -1, 1)
+        plain = end.between("0", "9") | (end == ".")
+        return F.when(amount == "", F.lit(0.0)).when(plain, amount.try_cast("double"))
+
+    def size(name: str) -> Column:
+        text, unit = part("text", name), part("unit", name)
+        factor = F.when(unit == "", F.lit(1.0)).otherwise(F.try_element_at(factors, unit))
+        return F.when(text == "--", F.lit(0.0)).otherwise(part("number", name) * factor)
+
+    frame = step(
+        table, "text", lambda name: F.lower(F.replace(texts[name], F.lit(" "), F.lit("")))
+    )
+    frame = step(frame, "amount", lambda name: F.rtrim(part("text", name), F.lit(_UNIT_LETTERS)))
+    frame = step(
+        frame, "unit", lambda name: F.substr(part("text", name), F.length(part("amount", name)) + 1)
+    )
+    frame = step(frame, "number", number)
+    kept = [F.col(f"`{name}`") for name in table.columns if name not in texts]
+    return frame.select(*kept, *[size(name).alias(name) for name in texts])
+
+
+def with_size_pairs(table: DataFrame, texts: Mapping[tuple[str, str], Column]) -> DataFrame:
+    """Adds two columns of bytes for each text like ``"12kB / 3MB"``; both are 0
+    when there are not two parts."""
+    whole = {names: "_pair_" + "_".join(names) for names in texts}
+    split = table.withColumns(
+        {whole[names]: F.split(text, "/", 2) for names, text in texts.items()}
     )
+    halves = {
+        name: F.when(F.size(whole[names]) == 2, F.get(whole[names], F.lit(place))).otherwise("")
+        for names in texts
+        for place, name in enumerate(names)
+    }
+    return with_size_bytes(split, halves).drop(*whole.values())
 
 
 def percent(text: Column) -> Column:

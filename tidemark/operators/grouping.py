@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tidemark.functions.numbers import clean_number, number_or_zero
 
 
 def mean_and_count(
@@ -58,10 +60,11 @@ def best_row(table: DataFrame, metric: str, label: str, lowest: bool = False) ->
     For a maximum a missing metric counts as 0. For a minimum it is left out,
     or a row without data would always win.
     """
+    is_text = isinstance(table.schema[metric].dataType, T.StringType)
     if lowest:
-        known = table.where(F.col(metric).isNotNull() & ~F.isnan(metric))
-        return known.orderBy(F.col(metric).asc(), F.col(label).asc()).limit(1)
-    score = F.coalesce(F.col(metric), F.lit(0.0))
+        score = clean_number(F.col(metric), is_text)
+        return table.where(score.isNotNull()).orderBy(score.asc(), F.col(label).asc()).limit(1)
+    score = number_or_zero(F.col(metric), is_text)
     return table.orderBy(score.desc(), F.col(label).asc()).limit(1)
 
 

@@ -9,10 +9,10 @@ from tidemark.functions.text import (
     error_of,
     last_segment,
     run_key,
-    size_bytes,
-    size_pair_bytes,
     status_of,
     topic_name,
+    with_size_bytes,
+    with_size_pairs,
 )
 from tidemark.operators.grouping import last_record
 from tidemark.operators.matching import missing_members, overlay_last, requested_only
@@ -275,13 +275,13 @@ def _size_text(amount):
 )
 def size_parse(spark, folder):
     whole, small = _size_text(F.col("l_quantity")), _size_text(F.col("l_discount"))
-    first, second = size_pair_bytes(F.concat(whole, F.lit(" / "), small))
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
-        size_bytes(whole).alias("size_bytes"),
-        first.alias("first_bytes"),
-        second.alias("second_bytes"),
+        whole.alias("whole"), F.concat(whole, F.lit(" / "), small).alias("pair"),
     )
+    sized = with_size_bytes(lines, {"size_bytes": F.col("whole")})
+    pairs = with_size_pairs(sized, {("first_bytes", "second_bytes"): F.col("pair")})
+    return pairs.drop("whole", "pair")
 
 
 @query(

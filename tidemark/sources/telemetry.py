@@ -4,54 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.text import percent, size_bytes, size_pair_bytes
+from tidemark.functions.text import percent, with_size_pairs
 from tidemark.schemas import RAW_STATS
 
 _MIB = 1024.0 * 1024.0
 
+# The measures of a container sample.
+MEASURES = (
+    "cpu_pct", "mem_mib", "mem_limit_mib", "mem_pct",
+    "net_rx_bytes", "net_tx_bytes", "disk_read_bytes", "disk_write_bytes",
+)
+
 
 def parse_stats_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Raw statistics of the lines that name a container; other columns are kept."""
     kept = [name for name in lines.columns if name != line]
-    return (
-        lines.where(F.trim(line) != "")
-        .withColumn("_stats", F.from_json(line, RAW_STATS))
-        .where(F.trim("_stats.Name") != "")
-        .select(*kept, F.trim("_stats.Name").alias("container"), "_stats.*")
-        .drop("Name")
+    # A generator keeps the filter on the name from parsing every line again.
+    stats = lines.where(F.trim(line) != "").select(
+        *kept, F.inline(F.array(F.from_json(line, RAW_STATS)))
     )
+    named = stats.where(F.trim("Name") != "")
+    measures = [name for name in RAW_STATS.names if name != "Name"]
+    return named.select(*kept, F.trim("Name").alias("container"), *measures)
 
 
 def _text_or(name: str, default: str) -> Column:
     return F.coalesce(F.col(name), F.lit(default))
 
 
-def stats_columns() -> dict[str, Column]:
-    """The eight measures of a raw statistics row, by name."""
-    memory, memory_limit = size_pair_bytes(_text_or("MemUsage", "0 / 0"))
-    received, sent = size_pair_bytes(_text_or("NetIO", "0 / 0"))
-    read, written = size_pair_bytes(_text_or("BlockIO", "0 / 0"))
-    return {
-        "cpu_pct": percent(_text_or("CPUPerc", "0")),
-        "mem_mib": memory / _MIB,
-        "mem_limit_mib": memory_limit / _MIB,
-        "mem_pct": percent(_text_or("MemPerc", "0")),
-        "net_rx_bytes": received,
-        "net_tx_bytes": sent,
-        "disk_read_bytes": read,
-        "disk_write_bytes": written,
-    }
-
-
 def measure_stats(raw: DataFrame) -> DataFrame:
     """Raw text statistics to numbers; text that is no number gives NULL."""
     texts = {"CPUPerc", "MemUsage", "MemPerc", "NetIO", "BlockIO"}
     kept = [name for name in raw.columns if name not in texts]
-    return raw.select(*kept, *[value.alias(name) for name, value in stats_columns().items()])
+    sized = with_size_pairs(
+        raw,
+        {
+            ("mem_bytes", "mem_limit_bytes"): _text_or("MemUsage", "0 / 0"),
+            ("net_rx_bytes", "net_tx_bytes"): _text_or("NetIO", "0 / 0"),
+            ("disk_read_bytes", "disk_write_bytes"): _text_or("BlockIO", "0 / 0"),
+        },
+    )
+    measures = {
+        "cpu_pct": percent(_text_or("CPUPerc", "0")),
+        "mem_mib": F.col("mem_bytes") / _MIB,
+        "mem_limit_mib": F.col("mem_limit_bytes") / _MIB,
+        "mem_pct": percent(_text_or("MemPerc", "0")),
+    }
+    return sized.select(
+        *kept,
+        *[value.alias(name) for name, value in measures.items()],
+        *[name for name in MEASURES if name not in measures],
+    )
 
 
 def rejected_measures(measured: DataFrame) -> DataFrame:
     """One row: how many values of each measure could not be read."""
     return measured.agg(
-        *[F.count_if(F.col(name).isNull()).alias(name) for name in stats_columns()]
+        *[F.count_if(F.col(name).isNull()).alias(name) for name in MEASURES]
     )

@@ -36,26 +36,28 @@ def parse_events(
     Columns of the source named in ``keep`` come first.
 
     Fields are read as text and cast late, so that one bad number costs that
-    field only. JSON names are matched exactly; a column with several spellings
-    is looked up under the others only where the text contains them.
+    field only. JSON names are matched exactly; other spellings of a column
+    are put into its own before the one parse.
     """
     text = F.col(value).cast("string")
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    parsed = events.select(*keep, text.alias("_text"), F.from_json(text, schema).alias("_event"))
-
-    def lookup(name: str) -> Column:
-        found = F.col(f"_event.`{name}`")
+    for name in columns:
         for spelling in spellings.get(name, ()):
             if spelling != name:
-                other = F.get_json_object("_text", f"$.{spelling}")
-                named = F.col("_text").contains(f'"{spelling}"')
-                found = F.coalesce(found, F.when(named, other))
-        return found
-
-    typed = [_field(lookup(name), kind).alias(name) for name, kind in columns.items()]
+                text = _respelled(text, spelling, name)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
+    parsed = events.select(*keep, F.from_json(text, schema).alias("_event"))
+    typed = [
+        _field(F.col(f"_event.`{name}`"), kind).alias(name) for name, kind in columns.items()
+    ]
     return parsed.select(*keep, *typed)
 
 
+def _respelled(text: Column, spelling: str, name: str) -> Column:
+    """JSON text with a member's name changed; only a name stands before a colon."""
+    renamed = F.regexp_replace(text, f'"{spelling}"(\\s*:)', f'"{name}"$1')
+    return F.when(text.contains(f'"{spelling}"'), renamed).otherwise(text)
+
+
 def processing_seconds(precise: bool = False) -> Column:
     """Now, in seconds: whole ones, or with milliseconds."""
     if precise:
