@@ -44,7 +44,7 @@ def test_shared_folder_is_the_one_the_session_names(spark):
 
 @pytest.fixture(scope="module")
 def drifted(spark, tmp_path_factory):
-    root = str(tmp_path_factory.mktemp("trips"))
+    root = str(tmp_path_factory.mktemp("trips") / "with space%20")
     one = spark.createDataFrame(
         [(1, 2, 10.5, 1.0), (2, None, 3.0, None)],
         "VendorID int, passenger_count bigint, fare_amount double, Airport_fee double",

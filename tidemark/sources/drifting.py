@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.schemas import TRIP_CASTS, TRIP_SPELLINGS
@@ -42,19 +41,28 @@ def union_by_name(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), tables)
 
 
-def _footer_layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
+def _footer_reader():
+    """The task function. Made here so that it travels by value and tasks need
+    nothing but pyarrow."""
 
-    def layout(path: str) -> str:
-        uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") else path
-        uri = uri.replace("file://///", "file:///").replace("s3a://", "s3://", 1)
-        fs, inner = pafs.FileSystem.from_uri(uri)
-        with fs.open_input_file(inner) as file:
-            return ", ".join(f"{f.name} {f.type}" for f in pq.read_schema(file))
+    def read(batches):
+        from urllib.parse import quote
 
-    for batch in batches:
-        yield batch.assign(layout=batch["path"].map(layout))
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        def layout(path):
+            # Spark writes file:/x and s3a://x where Arrow wants file:///x and s3://x.
+            scheme, _, rest = quote(path, safe=":/").partition(":")
+            uri = "file:///" + rest.lstrip("/") if scheme == "file" else f"{scheme}:{rest}"
+            fs, inner = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+            with fs.open_input_file(inner) as file:
+                return ", ".join(f"{field.name} {field.type}" for field in pq.read_schema(file))
+
+        for batch in batches:
+            yield batch.assign(layout=batch["path"].map(layout))
+
+    return read
 
 
 def files_by_layout(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +75,7 @@ def files_by_layout(spark: SparkSession, path: str) -> DataFrame:
     tasks = max(1, -(-listing.count() // _FILES_PER_TASK))
     return (
         listing.repartition(tasks, "path")
-        .mapInPandas(_footer_layouts, "path string, layout string")
+        .mapInPandas(_footer_reader(), "path string, layout string")
         .groupBy("layout")
         .agg(F.sort_array(F.collect_list("path")).alias("paths"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidemark.schemas import DOUBLE, LONG, STRING, columns
 from tidemark.sinks.tables import write_parquet
@@ -29,16 +29,15 @@ def zone_partials(events: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def totals_of_partials(zones: DataFrame) -> DataFrame:
+def totals_of_partials() -> list[Column]:
     """The micro-batch's own row from its zones: events, mean and greatest latency."""
-    return zones.agg(
+    mean = F.try_divide(F.sum("latency_sum"), F.sum("latency_count"))
+    return [
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows_processed"),
-        F.coalesce(F.try_divide(F.sum("latency_sum"), F.sum("latency_count")), F.lit(0.0)).alias(
-            "avg_latency_s"
-        ),
+        F.coalesce(mean, F.lit(0.0)).alias("avg_latency_s"),
         F.coalesce(F.max("latency_max"), F.lit(0.0)).alias("max_latency_s"),
         F.count(F.lit(1)).alias("group_count"),
-    )
+    ]
 
 
 def merge_batches(zones: DataFrame, key: str) -> DataFrame:
@@ -97,20 +96,17 @@ def zone_averages_writer(
 ):
     """Callback for ``foreachBatch`` that stores a batch's zones and its metrics.
 
-    The events are read once. What is kept in between is the zone rows, a few
-    per task, and not the events themselves.
+    One pass over the events gives both: the totals are observed while the
+    zones are written, so nothing has to be cached and released. A batch
+    without events leaves no zones and a metrics row of zeros.
     """
 
     def process(events: DataFrame, batch_id: int) -> None:
-        zones = zone_partials(events, key, value).persist()
-        try:
-            totals = totals_of_partials(zones).select(F.lit(scenario).alias("scenario"), "*")
-            row = totals.first()
-            if row["rows_processed"] > 0:
-                tables.write(ZONES, run_id, batch_id, zones)
-            metrics = events.sparkSession.createDataFrame([row], METRICS_SCHEMA)
-            tables.write(METRICS, run_id, batch_id, metrics)
-        finally:
-            zones.unpersist()
+        totals = Observation()
+        zones = zone_partials(events, key, value).observe(totals, *totals_of_partials())
+        tables.write(ZONES, run_id, batch_id, zones)
+        row = {"scenario": scenario, **totals.get}
+        metrics = events.sparkSession.createDataFrame([row], METRICS_SCHEMA)
+        tables.write(METRICS, run_id, batch_id, metrics)
 
     return process
