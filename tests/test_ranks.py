@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.normality import shapiro_wilk
 from tidemark.operators.ranks import (
+    group_sizes,
     index_rows,
     join_to_values,
-    largest_group,
     order_statistics,
     rank_values,
 )
@@ -40,9 +40,10 @@ def values_by_key():
     return {key: sorted(values) for key, values in groups.items()}
 
 
-def test_largest_group(skewed):
-    assert largest_group(skewed, ["k"]) == 1500
-    assert largest_group(skewed.limit(0), ["k"]) == 0
+def test_group_sizes(skewed):
+    assert group_sizes(skewed, ["k"]) == (1500, 4202)
+    assert group_sizes(skewed.limit(0), ["k"]) == (0, 0)
+    assert group_sizes(skewed, []) == (4202, 4202)
 
 
 @pytest.mark.parametrize("bound", BOUNDS)

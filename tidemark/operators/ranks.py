@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.session import staging_path
 
 GROUP_BOUND = 100_000
+_LEAST_SLICES = 8
 
 
 @dataclass(frozen=True)
@@ -37,14 +39,17 @@ def group_struct(keys: Sequence[str]) -> Column:
     return F.struct(*keys).alias("group") if keys else F.struct(F.lit(0).alias("all")).alias("group")
 
 
-def largest_group(table: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group. Reads the key columns only."""
-    sizes = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+class GroupSizes(NamedTuple):
+    largest: int
+    total: int
 
 
-def is_bounded(table: DataFrame, keys: Sequence[str], group_bound: int) -> bool:
-    return largest_group(table, keys) <= group_bound
+def group_sizes(table: DataFrame, keys: Sequence[str]) -> GroupSizes:
+    """Rows of the largest group and of all. Reads the key columns only."""
+    sizes = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    zero = F.lit(0)
+    row = sizes.agg(F.coalesce(F.max("size"), zero), F.coalesce(F.sum("size"), zero)).first()
+    return GroupSizes(*row)
 
 
 def _values(table: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -72,12 +77,17 @@ def _rows_before(amount: str, window) -> Column:
     return F.coalesce(F.sum(amount).over(earlier), F.lit(0))
 
 
-def _rank_split(values: DataFrame) -> DataFrame:
+def _slices(configured: int, values: int) -> int:
+    """The session's number of partitions, or fewer when there are few values."""
+    return min(configured, max(_LEAST_SLICES, -(-values // GROUP_BOUND)))
+
+
+def _rank_split(values: DataFrame, expected: int) -> DataFrame:
     spark = values.sparkSession
     # Equal values become one row first, so that a frequent value is no hot spot.
     counted = values.groupBy("group", "metric", "value").agg(F.count(F.lit(1)).alias("rows"))
     # A stated number of slices: adaptive execution must not join them up again.
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = _slices(int(spark.conf.get("spark.sql.shuffle.partitions")), expected)
     sliced = counted.repartitionByRange(slices, "group", "metric", "value").withColumn(
         "part", F.spark_partition_id()
     )
@@ -115,19 +125,18 @@ def rank_values(
     keys: Sequence[str],
     metrics: Sequence[str],
     group_bound: int = GROUP_BOUND,
-    bounded: bool | None = None,
+    sizes: GroupSizes | None = None,
 ) -> RankedValues:
     """Rank every metric's values inside its group.
 
-    The metrics must be doubles without NaN. Pass ``bounded`` when the group
-    sizes were looked at already.
+    The metrics must be doubles without NaN. Pass ``sizes`` when the groups
+    were counted already.
     """
-    if bounded is None:
-        bounded = is_bounded(table, keys, group_bound)
+    sizes = sizes or group_sizes(table, keys)
     values = _values(table, keys, metrics)
-    if bounded:
+    if sizes.largest <= group_bound:
         return RankedValues(_rank_whole(values), split=False)
-    return RankedValues(_rank_split(values), split=True)
+    return RankedValues(_rank_split(values, sizes.total * len(metrics)), split=True)
 
 
 def order_statistics(ranked: RankedValues, points: dict[str, float]) -> DataFrame:

@@ -10,8 +10,8 @@ from tidemark.functions.numbers import clean_number
 from tidemark.operators.normality import shapiro_wilk
 from tidemark.operators.ranks import (
     GROUP_BOUND,
+    group_sizes,
     group_struct,
-    is_bounded,
     order_statistics,
     rank_values,
 )
@@ -103,7 +103,8 @@ def summarize(
     the distributed ranks, which the normality test uses as well.
     """
     distinct = distinct or {}
-    bounded = is_bounded(table, keys, group_bound)
+    sizes = group_sizes(table, keys)
+    bounded = sizes.largest <= group_bound
     clean = clean_metrics(table, metrics)
     extra = [name for name in {*carried, *distinct.values(), *([order] if order else [])}]
     source = table.select(
@@ -125,7 +126,7 @@ def summarize(
 
     if normality or not bounded:
         cleaned = table.select(*keys, *clean.values())
-        ranked = rank_values(cleaned, keys, metrics, bounded=bounded)
+        ranked = rank_values(cleaned, keys, metrics, group_bound, sizes)
         if not bounded:
             quartiles = order_statistics(ranked, _QUARTILES)
             result = result.join(_widen(quartiles, metrics, list(_QUARTILES)), "group", "left")
