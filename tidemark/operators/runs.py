@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numbers import safe_rate
 from tidemark.operators.matching import overlay_last
 
-# What is recorded of a run's resources, and of which sample measure.
-RESOURCE_MEASURES = {"cpu": "cpu_pct", "mem": "mem_mib"}
-
 
 def _filled(value: Column, kind: str = "double") -> Column:
     return F.coalesce(value, F.lit(0)).cast(kind)
 
 
+def with_constants(table: DataFrame, **constants: object) -> DataFrame:
+    """Put the same tags on every row, before the other columns."""
+    tags = [F.lit(value).alias(name) for name, value in constants.items()]
+    return table.select(*tags, *[name for name in table.columns if name not in constants])
+
+
 def resource_summary(
     samples: DataFrame, run: str = "run_id", cpu: str = "cpu_pct", memory: str = "mem_mib"
 ) -> DataFrame:
@@ -65,7 +68,9 @@ def stream_run_means(micro_batches: DataFrame, run: str = "run_id") -> DataFrame
 
 
 def assemble_runs(
-    runs: DataFrame, parts: Mapping[DataFrame, Mapping[str, str]] | list, run: str = "run_id"
+    runs: DataFrame,
+    parts: Sequence[tuple[DataFrame, Mapping[str, str]]],
+    run: str = "run_id",
 ) -> DataFrame:
     """Run records with columns of other tables, each with one row per run.
 
