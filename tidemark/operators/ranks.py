@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.session import staging_path
 
-GROUP_BOUND = 100_000
+# Values of one group, over all metrics, that one task may hold or sort.
+GROUP_BOUND = 1_000_000
+_VALUES_PER_SLICE = 100_000
 _LEAST_SLICES = 8
 
 
@@ -43,6 +45,10 @@ class GroupSizes(NamedTuple):
     largest: int
     total: int
 
+    def fits(self, metrics: int, group_bound: int) -> bool:
+        """Whether one task can take every group whole."""
+        return self.largest * metrics <= group_bound
+
 
 def group_sizes(table: DataFrame, keys: Sequence[str]) -> GroupSizes:
     """Rows of the largest group and of all. Reads the key columns only."""
@@ -79,7 +85,7 @@ def _rows_before(amount: str, window) -> Column:
 
 def _slices(configured: int, values: int) -> int:
     """The session's number of partitions, or fewer when there are few values."""
-    return min(configured, max(_LEAST_SLICES, -(-values // GROUP_BOUND)))
+    return min(configured, max(_LEAST_SLICES, -(-values // _VALUES_PER_SLICE)))
 
 
 def _rank_split(values: DataFrame, expected: int) -> DataFrame:
@@ -134,7 +140,7 @@ def rank_values(
     """
     sizes = sizes or group_sizes(table, keys)
     values = _values(table, keys, metrics)
-    if sizes.largest <= group_bound:
+    if sizes.fits(len(metrics), group_bound):
         return RankedValues(_rank_whole(values), split=False)
     return RankedValues(_rank_split(values, sizes.total * len(metrics)), split=True)
 

@@ -99,12 +99,12 @@ def summarize(
     counting as one. Bad and missing metric values are left out.
 
     Moments always come from one pre-aggregated pass. Quartiles come with it
-    when the largest group has at most ``group_bound`` rows, and otherwise from
+    when the largest group has at most ``group_bound`` values, and otherwise from
     the distributed ranks, which the normality test uses as well.
     """
     distinct = distinct or {}
     sizes = group_sizes(table, keys)
-    bounded = sizes.largest <= group_bound
+    bounded = sizes.fits(len(metrics), group_bound)
     clean = clean_metrics(table, metrics)
     extra = [name for name in {*carried, *distinct.values(), *([order] if order else [])}]
     source = table.select(

@@ -68,10 +68,11 @@ def shape_to_volume(table: DataFrame, raw_bytes: int, target_bytes: int, seed: i
 def write_target(
     table: DataFrame, path: str, raw_bytes: int, target: Target, **write_options: str
 ) -> None:
-    """Write one target in one job; ``coalesce`` moves no rows between tasks.
+    """Write one target in one job.
 
-    Fewer files than half of the input's tasks would starve the cluster, so
-    then the rows are dealt out evenly instead.
+    ``coalesce`` moves no rows, but it also makes the scan run in as few tasks
+    as there are files. With fewer files than half the cluster's cores the rows
+    are dealt out evenly instead, and the scan keeps its own tasks.
     """
     shaped = shape_to_volume(table, raw_bytes, target.size_bytes, target.seed)
     cores = table.sparkSession.sparkContext.defaultParallelism
