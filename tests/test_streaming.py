@@ -249,6 +249,14 @@ def test_event_k_carries_row_k_modulo_n(replayed, first, count):
     assert [r["k"] for r in found] == [(k % 5 + 1) * 10 for k in range(first, first + count)]
 
 
+def test_cycles_of_a_very_large_table_are_exact(spark):
+    rows = 10**12
+    indexed = spark.createDataFrame([(0,), (1,), (rows - 1,)], "idx bigint")
+    first = 30_000 * rows + 1  # the cycle's row 0 is just over
+    found = replay_slice(indexed, rows, first, rows).orderBy("event_no").collect()
+    assert [r["event_no"] for r in found] == [first, 30_001 * rows - 1, 30_001 * rows]
+
+
 def test_stamps(replayed):
     indexed, rows = replayed
     stamped = stamp(replay_slice(indexed, rows, 7, 3), 7, 1000, 4.0).orderBy("event_no").collect()

@@ -49,8 +49,10 @@ def replay_slice(indexed: DataFrame, rows: int, first: int, count: int) -> DataF
     if rows == 0 or count <= 0:
         return indexed.limit(0).withColumn(EVENT, F.lit(0).cast("bigint"))
     index, last = F.col(INDEX), first + count - 1
-    first_cycle = F.ceil((F.lit(first) - index) / rows)
-    last_cycle = F.floor((F.lit(last) - index) / rows)
+    # Whole-number division: a quotient of large numbers as a double may round up.
+    reach = F.expr(f"({first} - {INDEX} + {rows - 1}) div {rows}")
+    first_cycle = F.when(index < first, reach).otherwise(F.lit(0))
+    last_cycle = F.when(index <= last, F.expr(f"({last} - {INDEX}) div {rows}")).otherwise(F.lit(-1))
     return (
         indexed.where(_needed(first, count, rows))
         .withColumn("_from", first_cycle.cast("bigint"))
