@@ -14,7 +14,7 @@ Distance is 1 - |A ∩ B| / |A ∪ B|; texts within ``1 - threshold`` are linked
    before s) is the next pivot, and every other text that size and position
    allow is tested against it. Linked texts join its component. A region whose
    other texts lie in several components is split again with further pivots,
-   twice as many each time; texts whose distances to the region's pivot
+   eight times as many each round; texts whose distances to the region's pivot
    differ by more than ``1 - threshold`` can't be linked and aren't tested.
    A region is done when all its texts are in one component or have been pivots.
 
@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.components import components
 from tidemark.llm.staged import Staged
-from tidemark.llm.words import shingle_sets
+from tidemark.llm.words import mixed, shingle_sets
 
 #: The shingles known as frequent: bounds a broadcast, and only orders pivots.
 FREQUENT_BOUND = 1 << 15
@@ -45,6 +45,10 @@ _COUNTED = 1 << 22
 _SEEN = 3
 #: A region known to hold more texts than this is dealt to several tasks.
 _REGION_ROWS = 20_000
+#: Size of the bitmap that picks the texts whose sets are needed (4 MB, always).
+_FILTER_BITS = 25
+#: How many times as many pivots each round of splitting takes.
+_GROWTH = 8
 
 _FACTS = "kind int, id long, high long, low long, n long"
 _REGION = "region long, deal int, id long, n int, place int"
@@ -202,14 +206,42 @@ def _meetings(percent: int):
     return run
 
 
-def _sets(width: int):
+def _bit(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = mixed(ids.view(np.uint64)) >> np.uint64(64 - _FILTER_BITS)
+    return (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63))
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        word, bits = _bit(batch.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the hashed ids; wrong positives only cost room."""
+    marked = ids.mapInArrow(_marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = marked.toArrow()
+    bitmap = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bitmap
+
+
+def _sets(width: int, wanted, but):
+    """Shingles of the texts whose id passes ``wanted`` and not ``but``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            word, bit = _bit(batch.column(0).to_numpy())
+            mine = (wanted.value[word] & bit) != 0
+            if but is not None:
+                mine &= (but.value[word] & bit) == 0
+            batch = batch.filter(pa.array(mine))
             held: list[np.ndarray] = []
             first = 0
             for row, _, own in shingle_sets(batch.column(1), width):
                 held.append(own)
-                if sum(map(len, held[-1:])) > _COUNTED or len(held) >= 256 or row == batch.num_rows - 1:
+                if len(own) > _COUNTED or len(held) >= 256 or row == batch.num_rows - 1:
                     offsets = np.zeros(len(held) + 1, dtype=np.int32)
                     np.cumsum([len(x) for x in held], out=offsets[1:])
                     values = pa.array(np.concatenate(held).view(np.int64))
@@ -282,40 +314,43 @@ def jaccard_classes(
     )
     copies = points.join(copied, ["high", "low"]).where("id <> a").select("a", F.col("id").alias("b"))
 
-    frequent = _frequent(facts)
-    regions = texts.mapInArrow(_regions(width, percent, spark.sparkContext.broadcast(frequent)), _REGION)
+    share = spark.sparkContext.broadcast
+    frequent = share(_frequent(facts))
     met = staged.put(
         "met",
-        regions.repartition("region", "deal")
+        texts.mapInArrow(_regions(width, percent, frequent), _REGION)
+        .repartition("region", "deal")
         .sortWithinPartitions("region", "deal", "place", "n", "id")
         .mapInArrow(_meetings(percent), _MET),
     )
-    known = met.select("id").union(met.select(F.col("pivot").alias("id"))).distinct()
-    sets = staged.put(
-        "sets",
-        texts.join(known, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"),
-    )
+    staged.release()
+
+    def sets_of(name: str, ids: DataFrame, but=None):
+        wanted = share(_id_filter(ids))
+        found = texts.mapInArrow(_sets(width, wanted, but), "id long, shingles array<long>")
+        return staged.put(name, found), wanted
 
     pairs = met.where("near and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    sets, had = sets_of("sets-0", pairs.select("a").union(pairs.select("b")))
     tested = staged.put("tested", _tested(pairs, sets, percent))
     links = staged.put("links-0", copies.union(tested.where("linked").select("a", "b")))
     classes = staged.put("classes-0", components(links, staged))
+    staged.release()
 
     open_texts = _open(met, tested, classes, staged)
+    if open_texts is not None:
+        sets = sets.union(sets_of("sets-1", open_texts.select("id").distinct(), had)[0])
     step, pivots = 0, 1
     while open_texts is not None:
+        step, pivots = step + 1, pivots * _GROWTH
         pairs = _split(open_texts, pivots, percent).distinct()
         found = _tested(pairs, sets, percent).where("linked")
-        step += 1
         links = staged.put(f"links-{step}", _contracted(found, classes))
         merged = components(links, staged)
-        classes = staged.put(
-            f"classes-{step}",
-            _relabelled(classes, merged),
-        )
+        classes = staged.put(f"classes-{step}", _relabelled(classes, merged))
         open_texts = _still_open(open_texts, pivots, merged, staged, step)
-        pivots *= 2
-    staged.drop("met", "sets", "tested", "edges", "links-0")
+        staged.release()
+    staged.drop("met", "sets-0", "sets-1", "tested", "edges", "links-0", "open", "copied")
 
     labelled = classes.groupBy("node").agg(F.min("component").alias("component"))
     return members.join(labelled, F.col("id") == F.col("node"), "left").select(

@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, types as T
 
 from tidemark.session import _hadoop_path, staging_path
 
 
+_KINDS = {
+    "int": T.IntegerType(),
+    "long": T.LongType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
+}
+
+
+def struct(columns: str) -> T.StructType:
+    """A schema from ``"name kind, ..."``; unlike Spark's parser it needs no session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
+
+
 class Staged:
     """Writes tables below ``spark.checkpoint.dir`` and deletes those no longer needed.
 
@@ -33,3 +51,8 @@ class Staged:
             if path:
                 target, fs = _hadoop_path(self._spark, path)
                 fs.delete(target, True)
+
+    def release(self) -> None:
+        """Let Spark's cleaner see that finished steps need their shuffle files no more."""
+        gc.collect()
+        self._spark.sparkContext._jvm.System.gc()

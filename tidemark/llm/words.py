@@ -121,17 +121,16 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: WordRule) -> np.ndarray:
-    """A 64-bit hash of every word, in blocks of bounded memory."""
+    """A 64-bit hash of every word (or part of one), in blocks of bounded memory."""
     hashes = np.empty(len(starts), dtype=np.uint64)
     first = 0
     while first < len(starts):
         last = max(int(np.searchsorted(ends, starts[first] + _CHUNK_BYTES, "right")), first + 1)
         lengths = ends[first:last] - starts[first:last]
-        block = data[starts[first] : ends[last - 1]]
-        letters = rule.fold[block[rule.inside[block]]]
         offsets = np.zeros(len(lengths), dtype=np.int64)
         np.cumsum(lengths[:-1], out=offsets[1:])
-        place = np.arange(len(letters)) - np.repeat(offsets, lengths)
+        place = np.arange(lengths.sum()) - np.repeat(offsets, lengths)
+        letters = rule.fold[data[place + np.repeat(starts[first:last], lengths)]]
         values = _BYTE_VALUES[letters] * _powers_up_to(int(lengths.max()))[place]
         sums = np.add.reduceat(values, offsets)
         hashes[first:last] = mixed(sums + lengths.astype(np.uint64))
@@ -176,3 +175,24 @@ def sequence_digest(hashes: np.ndarray) -> bytes:
     import xxhash
 
     return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def with_texts(
+    batch: pa.RecordBatch, changed: dict[int, bytes | None], at: int, lengths: int | None
+) -> pa.RecordBatch:
+    """The batch with new texts in column ``at`` and their lengths; rows changed to None go."""
+    if not changed:
+        return batch
+    columns = list(batch.columns)
+    texts = columns[at].to_pylist()
+    sizes = None if lengths is None else columns[lengths].to_pylist()
+    stays = np.ones(len(texts), dtype=bool)
+    for row, data in changed.items():
+        stays[row] = data is not None
+        texts[row] = None if data is None else data.decode("utf-8", "surrogatepass")
+        if sizes is not None and data is not None:
+            sizes[row] = len(texts[row])
+    columns[at] = pa.array(texts, type=columns[at].type)
+    if sizes is not None:
+        columns[lengths] = pa.array(sizes, type=columns[lengths].type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stays))
