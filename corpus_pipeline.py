@@ -1,12 +1,79 @@
-"""The corpus pipeline: stages from the table of documents to packed sequences."""
+"""The corpus pipeline: from the table of documents to packed sequences.
+
+Each stage works on all that its predecessor kept. All but the last return the
+columns of ``documents``; the last returns one row per packed piece.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
+
+from tidemark.llm.best_fit import pack
+from tidemark.llm.decontaminate import remove_contamination
+from tidemark.llm.jaccard_join import jaccard_classes
+from tidemark.llm.quality import keep_good
+from tidemark.llm.queries import BYTE_BPE
+from tidemark.llm.secret_scan import redact_secrets
+from tidemark.llm.staged import Staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality and toxicity scorers keep."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group linked by Jaccard similarity.
+
+    Rows that repeat an id are one document, of which the row with the least text
+    stays; rows without an id are left alone.
+    """
+    classes = jaccard_classes(docs)
+    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    return (
+        docs.join(others, "doc_id", "left_anti")
+        .withColumn("row of the id", F.row_number().over(first))
+        .where("doc_id is null or `row of the id` = 1")
+        .select(docs.columns)
+    )
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of benchmark items; those that were little else go."""
+    return remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the values of secrets replaced."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents and their places in sequences."""
+    return pack(docs, public_tokenizers.path(BYTE_BPE))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
 
-#: No stage can be written in SQL.
+#: Training a scorer, an automaton, Markov models and byte pairs can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages; each stage's is written to the shared folder and read again."""
+    staged = Staged(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for place, (_, stage) in enumerate(STAGES):
+        docs = staged.put(f"stage-{place}", stage(spark, docs, sf_dir))
+        staged.drop(f"stage-{place - 1}")
+        staged.release()
+    return docs

@@ -1,12 +1,30 @@
-"""The registered queries of this subpackage and the SQL that gives the same results."""
+"""The registered queries of this subpackage and the SQL that gives the same results.
+
+Each query applies its operator, with the parameters meant for production, to the
+whole of its table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm import multi_index
+from tidemark.llm.best_fit import pack
+from tidemark.llm.chat_format import canonical_turns, format_turns, read_back
+from tidemark.llm.decontaminate import find_contamination
+from tidemark.llm.html_text import extract_text
 from tidemark.llm.jaccard_join import jaccard_classes
+from tidemark.llm.license_scan import scan_licenses
+from tidemark.llm.quality import score_documents
+from tidemark.llm.secret_scan import find_secrets
+from tidemark.llm.token_count import count_tokens, ranked_vocabulary
+
+#: Files of the tokenizers the queries use.
+BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +44,174 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@_query("op1_jaccard_join")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query(
+    "op1_jaccard_join",
+    f"""
+    with recursive
+    words as (
+        select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents
+    ),
+    sets as (
+        select doc_id, list_distinct(
+            case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+                 when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+        from words
+    ),
+    shingles as (select doc_id, len(s) as n, unnest(s) as x from sets),
+    shared as (
+        select a.doc_id as a, b.doc_id as b, a.n as n, b.n as m, count(*) as k
+        from shingles a join shingles b on a.x = b.x and a.doc_id <> b.doc_id
+        group by all
+    ),
+    links as (select a, b from shared where 100 * k >= 80 * (n + m - k)),
+    reached as (
+        select doc_id as a, doc_id as b from documents
+        union
+        select r.a, l.b from reached r join links l on l.a = r.b
+    ),
+    least as (select a, min(b) as component_id from reached group by a)
+    select s.doc_id, cast(len(s.s) as bigint) as n_shingles, l.component_id
+    from sets s join least l on l.a = s.doc_id
+    """,
+)
 def op1_jaccard_join(spark, folder):
     return jaccard_classes(_table(spark, folder, "documents"))
+
+
+@_query("op2_license_scan")
+def op2_license_scan(spark, folder):
+    return scan_licenses(_table(spark, folder, "documents")).drop("blocks")
+
+
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@_query(
+    "op3_chat_format",
+    f"""
+    with turns as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -1, 0, 'user', '{_CONTROL}'
+        union all select -1, 1, 'assistant', '{_CONTROL}'
+    ),
+    written as (
+        select *, length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) as body,
+               length(regexp_replace(replace(replace(role, '\\', '\\\\'), chr(10), '\\n'), '<(\\\\*)\\|', '<\\\\\\1|', 'g')) as head
+        from turns
+    )
+    select conv_id, count(*) as n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+           cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+           sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+           cast(sum(12 + head + 1 + body + 10 + 1) as bigint) as formatted_chars
+    from written group by conv_id
+    """,
+)
+def op3_chat_format(spark, folder):
+    turns = canonical_turns(_table(spark, folder, "conversations"))
+    probe = turns.limit(0).union(
+        spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], turns.schema)
+    )
+    return read_back(format_turns(turns.unionByName(probe)))
+
+
+_WORDS = "regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@_query(
+    "op4_decontaminate",
+    f"""
+    with
+    words as (select doc_id, {_WORDS.format(text=_LOWER)} as w from documents),
+    items as (select cast(item_id as varchar) as item, {_WORDS.format(text=_LOWER)} as w from benchmark),
+    windows as (
+        select distinct item, least(10, len(w)) as size,
+               unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+                                     i -> array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) as x
+        from items where len(w) > 0
+    ),
+    sizes as (select distinct size from windows),
+    places as (
+        select doc_id, size, unnest(range(1, len(w) - size + 2)) as first, w from words, sizes where len(w) >= size
+    ),
+    found as (
+        select p.doc_id, p.first, p.size, v.item
+        from (select doc_id, first, size, array_to_string(w[first:first + size - 1], ' ') as x from places) p
+        join windows v on v.x = p.x and v.size = p.size
+    ),
+    hits as (
+        select doc_id, count(distinct place) as n_hit
+        from (select doc_id, unnest(range(first, first + size)) as place from (select distinct doc_id, first, size from found))
+        group by doc_id
+    ),
+    named as (
+        select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+        from (select distinct doc_id, item from found) group by doc_id
+    )
+    select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit,
+           coalesce(n.n_items, 0) as n_items, sha256(coalesce(n.items, '')) as items_sha256,
+           coalesce(h.n_hit, 0) > 0 as contaminated
+    from words w left join hits h using (doc_id) left join named n using (doc_id)
+    """,
+)
+def op4_decontaminate(spark, folder):
+    found = find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@_query("op5_multi_index")
+def op5_multi_index(spark, folder):
+    vectors = _table(spark, folder, "embeddings")
+    return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@_query("op6_token_count")
+def op6_token_count(spark, folder):
+    return count_tokens(_table(spark, folder, "documents"), ranked_vocabulary(public_tokenizers.path(PIECES)))
+
+
+@_query("op7_html_extract")
+def op7_html_extract(spark, folder):
+    return extract_text(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query("op8_best_fit")
+def op8_best_fit(spark, folder):
+    return pack(_table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@_query("op9_secret_scan")
+def op9_secret_scan(spark, folder):
+    found = find_secrets(_table(spark, folder, "documents"))
+
+    def listed(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    def number(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id",
+        *[number(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("secrets")).alias("spans"),
+    )
+
+
+@_query("op10_quality_classifier")
+def op10_quality_classifier(spark, folder):
+    scored = score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return scored.where("keep")

@@ -19,9 +19,9 @@ class WordRule:
     """Which bytes belong to words; A-Z become a-z."""
 
     def __init__(self, inside: np.ndarray):
-        self.inside = inside
         fold = np.arange(256, dtype=np.uint8)
         fold[65:91] += 32
+        self.inside = inside = inside[fold]  # the rules speak of lower-cased text
         self.fold = fold
         self._spaced = bytes(np.where(inside, fold, 32).astype(np.uint8))
 
