@@ -56,7 +56,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
     ),
     sets as (
         select doc_id, list_distinct(
-            case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
         from words
     ),
@@ -130,7 +130,7 @@ _WORDS = "regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     windows as (
         select distinct item, least(10, len(w)) as size,
                unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
-                                     i -> array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) as x
+                                     lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) as x
         from items where len(w) > 0
     ),
     sizes as (select distinct size from windows),
