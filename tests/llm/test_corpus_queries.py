@@ -1,0 +1,57 @@
+"""The registered corpus queries: against their SQL, and what the pipeline must leave behind."""
+
+import pytest
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from oracle import connect, spark_digest, sql_digest
+from test_decontaminate import brute as contamination
+from test_jaccard import brute as classes
+from test_secrets import base as secrets
+from tidemark.llm.queries import QUERIES, SQL
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_all_are_registered():
+    names = contract.queries()
+    for number in range(1, 11):
+        assert sum(name.startswith(f"op{number}_") for name in names) == 1
+    assert "pipeline" in names and set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, name):
+    found, wanted = spark_digest(QUERIES[name](spark, SMALL)), sql_digest(connect(SMALL), SQL[name])
+    assert found[:3] == wanted[:3]
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").persist()
+    columns = docs.columns
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    before = rows
+    for place, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SMALL)
+        if place == len(corpus_pipeline.STAGES) - 1:
+            break
+        docs = docs.persist()
+        assert docs.columns == columns
+        now = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert now and set(now) <= set(before)
+        if place == 0:
+            assert all(before[k] == t for k, t in now.items())
+        if place == 1:
+            _, component = classes(before.items())
+            assert now == {k: before[k] for k in before if component[k] == k}
+        if place == 2:
+            hits = dict(zip(before, contamination(before.values(), items)))
+            assert all(now[k] == t for k, t in before.items() if not hits[k][1])
+            assert not any(hit for _, hit, _ in contamination(now.values(), items))
+        if place == 3:
+            assert set(now) == set(before) and not any(secrets(t) for t in now.values())
+        before = now
+    pieces = docs.collect()
+    assert {p["doc_id"] for p in pieces} == set(before)
+    assert docs.count() == contract.queries()["pipeline"](spark, SMALL).count()

@@ -4,14 +4,13 @@ A streaming parser (the standard library's) turns a page into lines: every
 block-level element begins and ends one. Lines of menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, which markup
 names, are never content. The rest is grouped into regions: an article or main
-element each, or else what stands between them.
+element each, or else the innermost division that a line stands in.
 
-Each line has a text-to-tag ratio (characters per tag), the ratios of the page are
+Each line has a text-to-tag ratio (characters per tag, its own block one), the ratios of the page are
 smoothed with a Gaussian, and two clusters of smoothed ratios set the threshold
 between content and other lines. A region is content if its densest line reaches
 the threshold; the best region always is. Article and main elements go before
-other regions. Of an article all lines stay, elsewhere those from the first to the
-last that reaches the threshold.
+other regions. All lines of a content region stay.
 """
 
 from __future__ import annotations
@@ -35,6 +34,7 @@ _EMPTY = frozenset("area base br col embed hr img input link meta param source t
 _HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video select textarea button title".split())
 _ASIDE = frozenset("nav footer aside form menu dialog".split())
 _ARTICLES = frozenset("article main".split())
+_DIVISIONS = frozenset("body center details div section td th".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Parts of class and id names that mark what is no content.
 _MARKS = frozenset(
@@ -67,17 +67,18 @@ class Line:
 
 
 class _Lines(HTMLParser):
-    """Lines of a page from parser events, each with the tags before and inside it."""
+    """Lines of a page from parser events, each with the tags inside it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._open: list[tuple[str, bool, bool]] = []  # element, hides its content, is an article
+        #: element, whether it hides its content, whether it is an article, the region around it
+        self._open: list[tuple[str, bool, bool, int]] = []
         self._hidden = 0
         self._articles = 0
-        self._region = 0
+        self._region = self._regions = 0
         self._text: list[str] = []
-        self._tags = 0
+        self._tags = 1
 
     def _end_line(self) -> None:
         if self._text:
@@ -85,7 +86,7 @@ class _Lines(HTMLParser):
             self._text = []
             if text:
                 self.lines.append(Line(text, self._tags, self._region, self._articles > 0))
-                self._tags = 0
+        self._tags = 1
 
     def _hides(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool:
         if tag in _HIDDEN or tag in _ASIDE or (tag == "header" and not self._articles):
@@ -104,19 +105,22 @@ class _Lines(HTMLParser):
         return False
 
     def _close(self, place: int) -> None:
-        for tag, hides, article in reversed(self._open[place:]):
+        self._region = self._open[place][3]
+        for _, hides, article, _ in self._open[place:]:
             self._hidden -= hides
-            if article:
-                self._articles -= 1
-                self._region += 1
+            self._articles -= article
         del self._open[place:]
 
-    def handle_starttag(self, tag, attributes):
-        self._tags += 1
+    def _tag(self, tag: str) -> None:
         if tag in _BLOCKS:
             self._end_line()
-        elif tag == "br" and not self._hidden:
-            self._text.append("\n")
+        elif not self._hidden:
+            self._tags += 1
+            if tag == "br":
+                self._text.append("\n")
+
+    def handle_starttag(self, tag, attributes):
+        self._tag(tag)
         if tag in _EMPTY:
             return
         if tag in _CLOSES:
@@ -128,29 +132,23 @@ class _Lines(HTMLParser):
                     break
         hides = self._hides(tag, attributes)
         article = not self._hidden and not hides and tag in _ARTICLES
-        if article:
-            self._end_line()
-            self._articles += 1
-            self._region += 1
+        around = self._region
+        if article or (tag in _DIVISIONS and not self._articles):
+            self._regions += 1
+            self._region = self._regions
+        self._articles += article
         self._hidden += hides
-        if hides or article or tag in _BLOCKS:
-            self._open.append((tag, hides, article))
+        if hides or tag in _BLOCKS:
+            self._open.append((tag, hides, article, around))
 
     def handle_startendtag(self, tag, attributes):
-        self._tags += 1
-        if tag in _BLOCKS:
-            self._end_line()
-        elif tag == "br" and not self._hidden:
-            self._text.append("\n")
+        self._tag(tag)
 
     def handle_endtag(self, tag):
-        self._tags += 1
         if tag in _BLOCKS:
             self._end_line()
         for place in range(len(self._open) - 1, -1, -1):
             if self._open[place][0] == tag:
-                if tag not in _BLOCKS and self._open[place][1]:
-                    self._text = self._text if not self._hidden else []
                 self._close(place)
                 break
             if self._open[place][0] in _ARTICLES | _ASIDE and tag in ("p", "div", "span", "li"):
@@ -212,10 +210,8 @@ def main_text(html: str | None) -> str:
     best = max(candidates.values(), key=lambda places: (density[places].max(), -places[0]))
     kept: list[int] = []
     for places in candidates.values():
-        dense = [p for p in places if density[p] >= cut]
-        if not dense and places is not best:
-            continue
-        kept += places if articles or not dense else [p for p in places if dense[0] <= p <= dense[-1]]
+        if places is best or density[places].max() >= cut:
+            kept += places
     return "\n".join(lines[p].text for p in sorted(kept))
 
 
