@@ -60,6 +60,51 @@ def test_replay_then_stream(spark, trips, tmp_path, capsys):
     assert found == pytest.approx(wanted)
 
 
+def test_from_jobs_to_report(spark, trips, tmp_path, capsys):
+    logs, records = tmp_path / "logs", f"{tmp_path}/records"
+    main(["batch", "--input", trips, "--output", f"{tmp_path}/zones", "--run-id", "BL1_r1", "--scenario", "BL1"])
+    (logs / "batch").mkdir(parents=True)
+    (logs / "batch" / "job.log").write_text(capsys.readouterr().out)
+    main(
+        ["replay", "--input", trips, "--output", f"{tmp_path}/sent", "--order", "trip", "--rate", "0",
+         "--index", f"{tmp_path}/index", "--checkpoint", f"{tmp_path}/cp1", "--run-id", "SL1_r1", "--scenario", "SL1"]
+    )
+    (logs / "producer").mkdir()
+    (logs / "producer" / "job.log").write_text(capsys.readouterr().out)
+    main(
+        ["stream", "--input", f"{tmp_path}/sent", "--output", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/cp2",
+         "--run-id", "SL1_r1", "--scenario", "SL1"]
+    )
+    streamed = capsys.readouterr().out
+    for kind in ("stream", "progress", "batch-metrics"):
+        (logs / kind).mkdir()
+        (logs / kind / "job.log").write_text(streamed)
+    tags = {"run_id": "BL1_r1", "scenario": "BL1", "scenario_category": "carga", "mode": "batch", "sample_timestamp_unix": 1.5}
+    stats = [{"Name": "worker", "CPUPerc": f"{cpu}%", "MemUsage": "1MiB / 2MiB"} for cpu in (10, 30)]
+    (logs / "container").mkdir()
+    (logs / "container" / "s.log").write_text("".join(f"{json.dumps(tags)}\t{json.dumps(s)}\n" for s in stats))
+    for kind in ("batch", "producer", "stream", "progress", "batch-metrics", "container"):
+        main(["collect", "--kind", kind, "--input", f"{logs}/{kind}", "--output", f"{records}/{kind}"])
+    runs = [
+        {"run_id": "BL1_r1", "scenario": "BL1", "mode": "batch", "status": "ok", "workers": 1, "started_at_utc": "2024-01-01"},
+        {"run_id": "SL1_r1", "scenario": "SL1", "mode": "stream", "status": "ok", "workers": 1, "started_at_utc": "2024-01-01"},
+    ]
+    (tmp_path / "runs.json").write_text("\n".join(map(json.dumps, runs)))
+    main(["assemble", "--input", records, "--runs", f"{tmp_path}/runs.json", "--output", f"{tmp_path}/tables"])
+    rows = spark.read.parquet(trips).count()
+    (batch,) = spark.read.parquet(f"{tmp_path}/tables/batch_runs").collect()
+    assert (batch["row_count"], batch["avg_cpu_pct"], batch["status"]) == (rows, 30.0, "ok")
+    (stream,) = spark.read.parquet(f"{tmp_path}/tables/stream_runs").collect()
+    assert (stream["stream_total_input_rows"], stream["producer_events_sent"]) == (rows, rows)
+    assert spark.read.parquet(f"{tmp_path}/tables/stream_microbatches").agg(F.sum("rows_processed")).first()[0] == rows
+    main(["summarize", "--input", f"{tmp_path}/tables", "--output", f"{tmp_path}/summaries"])
+    report = "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/summaries/report").collect())
+    assert "BL1" in report and "SL1" in report
+    main(["compare", "--input", f"{tmp_path}/summaries", "--runs", f"{tmp_path}/tables", "--output", f"{tmp_path}/charts"])
+    modes = spark.read.parquet(f"{tmp_path}/charts/throughput_by_mode").collect()
+    assert {(r["mode"], r["scenario"]) for r in modes} == {("Batch", "BL1"), ("Stream", "SL1")}
+
+
 def test_summarize_without_any_runs(spark, tmp_path):
     main(["summarize", "--input", f"{tmp_path}/none", "--output", f"{tmp_path}/out"])
     text = "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/out/report").collect())

@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as contract
+import tidemark.plans.queries  # noqa: F401
 from oracle import connect, spark_digest, sql_digest
+from tidemark.plans.queries.registry import spark_queries, sql_queries
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = spark_queries()
+ORACLES = sql_queries()
 
 
 @pytest.fixture(scope="module")
@@ -29,4 +31,5 @@ def test_query(spark, connection, folder, name):
 
 
 def test_oracles_have_queries():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) <= set(contract.queries())

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.normality import shapiro_wilk
 from tidemark.operators.ranks import (
-    group_sizes,
+    VALUES_PER_SLICE,
     index_rows,
     join_to_values,
     order_statistics,
     rank_values,
 )
 
-BOUNDS = [100_000, 0]  # one task per group, or groups split over slices
+SLICES = [VALUES_PER_SLICE, 400]  # values per slice: one slice for all, or groups split over several
 
 
 def skewed_rows(seed=5):
@@ -40,16 +40,10 @@ def values_by_key():
     return {key: sorted(values) for key, values in groups.items()}
 
 
-def test_group_sizes(skewed):
-    assert group_sizes(skewed, ["k"]) == (1500, 4202)
-    assert group_sizes(skewed.limit(0), ["k"]) == (0, 0)
-    assert group_sizes(skewed, []) == (4202, 4202)
-
-
-@pytest.mark.parametrize("bound", BOUNDS)
-def test_ranks_cover_each_group_once(skewed, bound):
-    ranked = rank_values(skewed, ["k"], ["x"], bound)
-    assert ranked.split == (bound == 0)
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_ranks_cover_each_group_once(skewed, per_slice):
+    ranked = rank_values(skewed, ["k"], ["x"], per_slice)
+    assert (ranked.slices.select("part").distinct().count() > 1) == (per_slice == 400)
     found = {}
     for row in ranked.frame.collect():
         found.setdefault(row["group"]["k"], []).append(row)
@@ -67,15 +61,15 @@ def test_ranks_cover_each_group_once(skewed, bound):
 
 
 def test_a_large_group_is_split(skewed):
-    ranked = rank_values(skewed, ["k"], ["x"], 0)
+    ranked = rank_values(skewed, ["k"], ["x"], 400)
     hot = ranked.frame.where(F.col("group.k") == "hot")
     assert hot.select("part").distinct().count() > 1
 
 
-@pytest.mark.parametrize("bound", BOUNDS)
-def test_percentiles(skewed, bound):
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_percentiles(skewed, per_slice):
     points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    found = order_statistics(rank_values(skewed, ["k"], ["x"], bound), points).collect()
+    found = order_statistics(rank_values(skewed, ["k"], ["x"], per_slice), points).collect()
     wanted = values_by_key()
     assert len(found) == len(wanted)
     for row in found:
@@ -88,9 +82,9 @@ def test_percentiles(skewed, bound):
             assert row[name] == pytest.approx(expected, abs=1e-12)
 
 
-@pytest.mark.parametrize("bound", BOUNDS)
-def test_join_to_values_keeps_null_keys(skewed, bound):
-    ranked = rank_values(skewed, ["k"], ["x"], bound)
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_join_to_values_keeps_null_keys(skewed, per_slice):
+    ranked = rank_values(skewed, ["k"], ["x"], per_slice)
     sizes = order_statistics(ranked, {"m": 0.5}).select("group", "metric", "m")
     joined = join_to_values(ranked, sizes)
     assert joined.agg(F.sum("rows")).first()[0] == len([r for r in skewed_rows() if r[1] is not None])
@@ -98,8 +92,8 @@ def test_join_to_values_keeps_null_keys(skewed, bound):
 
 def test_several_metrics_and_no_key(spark):
     rows = spark.createDataFrame([(1.0, 4.0), (2.0, None), (3.0, 6.0)], "a double, b double")
-    for bound in BOUNDS:
-        found = order_statistics(rank_values(rows, [], ["a", "b"], bound), {"m": 0.5}).collect()
+    for per_slice in SLICES:
+        found = order_statistics(rank_values(rows, [], ["a", "b"], per_slice), {"m": 0.5}).collect()
         assert {r["metric"]: (r["n"], r["m"]) for r in found} == {"a": (3, 2.0), "b": (2, 5.0)}
 
 
@@ -126,34 +120,34 @@ def check_index(spark):
 # --- normality -------------------------------------------------------------------------
 
 
-def shapiro_of(spark, groups, bound=100_000):
+def shapiro_of(spark, groups, per_slice=100_000):
     rows = spark.createDataFrame(
         [(name, float(x)) for name, values in groups.items() for x in values], "k string, x double"
     )
-    found = shapiro_wilk(rank_values(rows, ["k"], ["x"], bound)).collect()
+    found = shapiro_wilk(rank_values(rows, ["k"], ["x"], per_slice)).collect()
     return {r["group"]["k"]: r for r in found}
 
 
 PUBLISHED = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
 
 
-@pytest.mark.parametrize("bound", BOUNDS)
-def test_shapiro_published_example(spark, bound):
-    row = shapiro_of(spark, {"weights": PUBLISHED}, bound)["weights"]
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_shapiro_published_example(spark, per_slice):
+    row = shapiro_of(spark, {"weights": PUBLISHED}, per_slice)["weights"]
     assert row["shapiro_stat"] == pytest.approx(0.78881, abs=1e-5)
     assert row["shapiro_p"] == pytest.approx(0.0067038, abs=1e-6)
     assert row["normal"] is False
 
 
-@pytest.mark.parametrize("bound", BOUNDS)
-def test_shapiro_edges(spark, bound):
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_shapiro_edges(spark, per_slice):
     found = shapiro_of(
         spark,
         {
             "one": [1], "two": [1, 2], "constant": [0.1] * 40, "even": [1, 2, 3],
             "three": [1, 2, 10], "shifted": [x + 1e9 for x in PUBLISHED],
         },
-        bound,
+        per_slice,
     )
     assert "one" not in found and "two" not in found
     assert (found["constant"]["shapiro_stat"], found["constant"]["shapiro_p"]) == (1.0, 1.0)
@@ -164,10 +158,10 @@ def test_shapiro_edges(spark, bound):
     assert found["shifted"]["shapiro_stat"] == pytest.approx(0.78881, abs=1e-5)
 
 
-def test_shapiro_same_both_ways_with_ties(spark):
+def test_shapiro_same_for_any_slices_with_ties(spark):
     rng = random.Random(9)
     groups = {f"t{n}": [rng.randrange(6) for _ in range(n)] for n in (3, 4, 5, 6, 11, 12, 30, 400)}
-    whole, split = shapiro_of(spark, groups), shapiro_of(spark, groups, 0)
+    whole, split = shapiro_of(spark, groups), shapiro_of(spark, groups, 20)
     assert whole.keys() == split.keys()
     for key in whole:
         assert whole[key]["shapiro_stat"] == pytest.approx(split[key]["shapiro_stat"], rel=1e-9)
@@ -181,7 +175,7 @@ def test_a_frequent_value_is_spread_over_its_ranks(spark, monkeypatch):
     groups = {"g": [4.0] * 500 + [rng.gauss(4, 1) for _ in range(300)]}
     wanted = shapiro_of(spark, groups)["g"]["shapiro_stat"]
     monkeypatch.setattr(normality, "_RANKS_PER_ARRAY", 64)
-    assert shapiro_of(spark, groups, 0)["g"]["shapiro_stat"] == pytest.approx(wanted, rel=1e-9)
+    assert shapiro_of(spark, groups, 20)["g"]["shapiro_stat"] == pytest.approx(wanted, rel=1e-9)
 
 
 def test_shapiro_rejects_one_normal_sample_in_twenty(spark):

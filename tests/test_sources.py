@@ -9,7 +9,6 @@ from tidemark.operators.volume import (
     prepare_volumes,
     replicate,
     sample_rows,
-    sampling_fraction,
     shape_to_volume,
 )
 from tidemark.schemas import BATCH_JOB_METRICS, BATCH_METRICS_PREFIX, METRICS_PREFIX
@@ -22,7 +21,7 @@ from tidemark.sinks.tables import (
     write_if_missing,
     write_parquet,
 )
-from tidemark.sources.drifting import files_by_layout, normalize, read_drifting_parquet
+from tidemark.sources.drifting import file_layouts, normalize, read_drifting_parquet, scan_units
 from tidemark.sources.logs import log_lines, tagged_records
 from tidemark.sources.streams import kafka_source_options, rows_per_trigger
 from tidemark.sources.tables import (
@@ -59,9 +58,27 @@ def drifted(spark, tmp_path_factory):
     return root
 
 
-def test_files_are_grouped_by_layout(spark, drifted):
-    groups = files_by_layout(spark, drifted).collect()
-    assert sorted(len(g["paths"]) for g in groups) == [1, 2]
+def test_folders_of_one_layout_are_read_whole(spark, drifted, tmp_path):
+    units = scan_units(spark, drifted)
+    assert sorted(len(names) for _, names in units) == [1, 2]
+    assert all(not name.endswith(".parquet") for _, names in units for name in names)
+    first = file_layouts(spark, drifted).where("path like '%2024%'").first()["path"]
+    root = tmp_path / "mixed"
+    (root / "below").mkdir(parents=True)
+    for place, (_, names) in enumerate(units):
+        spark.read.parquet(*names).coalesce(1).write.mode("append").parquet(f"{root}/below")
+    spark.read.parquet(first).coalesce(1).write.mode("append").parquet(str(root))
+    found = scan_units(spark, str(root))
+    assert len(found) == 2 and all(n.endswith(".parquet") for _, names in found for n in names)
+    assert read_drifting_parquet(spark, str(root)).count() == 8
+
+
+def test_many_small_files_in_two_layouts(spark, tmp_path):
+    spark.range(1200).selectExpr("cast(id as int) as a").repartition(120).write.parquet(f"{tmp_path}/x")
+    spark.range(800).selectExpr("cast(id as string) as a").repartition(80).write.parquet(f"{tmp_path}/y")
+    assert sorted(len(names) for _, names in scan_units(spark, str(tmp_path))) == [1, 1]
+    table = read_drifting_parquet(spark, str(tmp_path), {"a": "bigint"}, {})
+    assert table.count() == 2000 and table.agg(F.sum("a")).first()[0] == 1199 * 600 + 799 * 400
 
 
 def test_drifting_files_become_one_table(spark, drifted):
@@ -80,7 +97,7 @@ def test_drifting_files_become_one_table(spark, drifted):
 
 
 def test_single_file(spark, drifted):
-    paths = [g["paths"][0] for g in files_by_layout(spark, drifted).collect()]
+    paths = [r["path"] for r in file_layouts(spark, drifted).collect()]
     for path in paths:
         assert dict(read_drifting_parquet(spark, path).dtypes)["fare_amount"] == "double"
 
@@ -103,10 +120,8 @@ def test_input_volume(spark, folder):
     assert row["total_bytes"] == wanted and row["file_count"] == 14
 
 
-def test_fraction_is_clamped():
-    assert sampling_fraction(1, 4) == 0.25
-    assert sampling_fraction(8, 4) == 1.0
-    assert sampling_fraction(1, 10**9) == 0.0001
+def test_a_tiny_share_is_not_rounded_up(spark):
+    assert shape_to_volume(spark.range(100_000), 10**12, 10**6, 43).count() < 10
 
 
 def test_sample_is_a_repeatable_subset(spark, folder):
@@ -130,6 +145,12 @@ def test_volume_has_whole_copies_and_a_rest(spark):
     assert shape_to_volume(table, 100, 50, 45).count() < 4000
 
 
+def test_shaping_is_one_scan(spark, folder):
+    events = read_table(spark, f"{folder}/events.parquet")
+    plan = shape_to_volume(events, 100, 250, 45)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Union" not in plan
+
+
 def test_replicate_does_not_shuffle(spark):
     plan = replicate(spark.range(10), 3)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
@@ -155,6 +176,9 @@ def test_write_if_missing(spark, tmp_path):
     path = f"{tmp_path}/t"
     assert not holds_parquet(spark, path)
     os.makedirs(path)  # a folder without parquet counts as missing
+    os.makedirs(f"{path}/_temporary/0")  # so does what a killed write left
+    spark.range(1).write.parquet(f"{path}/_temporary/0/task")
+    assert not holds_parquet(spark, path)
     assert write_if_missing(spark.range(3), path)
     assert not write_if_missing(spark.range(9), path)
     assert spark.read.parquet(path).count() == 3

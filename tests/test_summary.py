@@ -14,7 +14,7 @@ from tidemark.operators.summary import (
     summarize_runs,
 )
 
-BOUNDS = [100_000, 0]
+SLICES = [4_000_000, 100]  # values per slice
 NAN = float("nan")
 
 
@@ -26,8 +26,8 @@ def linear_percentile(values, p):
     return values[low] + (values[high] - values[low]) * (index - low)
 
 
-@pytest.mark.parametrize("bound", BOUNDS)
-def test_statistics_of_few_values(spark, bound):
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_statistics_of_few_values(spark, per_slice):
     rows = [
         ("empty", None), ("empty", NAN), ("one", 5.0), ("two", 1.0), ("two", 4.0),
         ("three", 1.0), ("three", 2.0), ("three", 6.0), ("mixed", NAN), ("mixed", 2.0),
@@ -35,7 +35,7 @@ def test_statistics_of_few_values(spark, bound):
     ]
     table = spark.createDataFrame(rows, "k string, x double")
     found = {
-        r["k"]: r for r in summarize(table, ["k"], ["x"], "rows", group_bound=bound).collect()
+        r["k"]: r for r in summarize(table, ["k"], ["x"], "rows", values_per_slice=per_slice).collect()
     }
     assert [c for c in found["one"].asDict()] == ["k", "rows", *[f"x_{s}" for s in STATISTICS]]
     empty = found["empty"]
@@ -56,12 +56,12 @@ def test_statistics_of_few_values(spark, bound):
     assert found["three"]["x_normal"] in (True, False)
 
 
-@pytest.mark.parametrize("bound", BOUNDS)
-def test_against_brute_force(spark, bound):
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_against_brute_force(spark, per_slice):
     rng = random.Random(2)
     rows = [(rng.choice("abc") if rng.random() > 0.3 else "hot", rng.gauss(3, 2)) for _ in range(900)]
     table = spark.createDataFrame(rows, "k string, x double").repartition(5)
-    for row in summarize(table, ["k"], ["x"], "rows", group_bound=bound).collect():
+    for row in summarize(table, ["k"], ["x"], "rows", values_per_slice=per_slice).collect():
         values = [x for k, x in rows if k == row["k"]]
         assert row["rows"] == len(values)
         assert row["x_mean"] == pytest.approx(statistics.fmean(values))
@@ -107,12 +107,12 @@ def test_container_summary_has_no_status_filter(spark):
     ]
 
 
-@pytest.mark.parametrize("bound", BOUNDS)
-def test_box_plot(spark, bound):
+@pytest.mark.parametrize("per_slice", SLICES)
+def test_box_plot(spark, per_slice):
     values = [1.0, 2.0, 2.5, 3.0, 3.5, 4.0, 30.0, -25.0, 4.0]
     rows = [("a", x) for x in values] + [("b", 5.0), ("n", None), ("n", NAN)]
     table = spark.createDataFrame(rows, "k string, x double")
-    found = {r["k"]: r for r in boxplot_statistics(table, ["k"], "x", bound).collect()}
+    found = {r["k"]: r for r in boxplot_statistics(table, ["k"], "x", per_slice).collect()}
     assert set(found) == {"a", "b"}
     a, b = found["a"], found["b"]
     assert (a["n"], a["q1"], a["median"], a["q3"]) == (9, 2.0, 3.0, 4.0)

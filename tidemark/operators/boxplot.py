@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.ranks import (
-    GROUP_BOUND,
+    VALUES_PER_SLICE,
     join_to_values,
     order_statistics,
     rank_values,
@@ -18,7 +18,7 @@ _REACH = 1.5  # Fixed value: whiskers reach this many quartile ranges beyond the
 
 
 def boxplot_statistics(
-    table: DataFrame, keys: Sequence[str], metric: str, group_bound: int = GROUP_BOUND
+    table: DataFrame, keys: Sequence[str], metric: str, values_per_slice: int = VALUES_PER_SLICE
 ) -> DataFrame:
     """Quartiles, whiskers and number of outliers.
 
@@ -26,11 +26,17 @@ def boxplot_statistics(
     box, and at the box's edge if no value lies between.
     """
     cleaned = table.select(*keys, clean_metrics(table, [metric])[metric])
-    ranked = rank_values(cleaned, keys, [metric], group_bound)
+    ranked = rank_values(cleaned, keys, [metric], values_per_slice)
     boxes = order_statistics(ranked, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    fenced = boxes.drop("n").withColumns(
-        {"lowest": F.col("q1") - _REACH * iqr, "highest": F.col("q3") + _REACH * iqr}
+    fenced = boxes.select(
+        "group",
+        "metric",
+        "q1",
+        "median",
+        "q3",
+        (F.col("q1") - _REACH * iqr).alias("lowest"),
+        (F.col("q3") + _REACH * iqr).alias("highest"),
     )
     points = join_to_values(ranked, fenced)
     inside = F.col("value").between(F.col("lowest"), F.col("highest"))

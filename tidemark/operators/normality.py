@@ -31,18 +31,19 @@ _RANKS_PER_ARRAY = 100_000
 def _one_row_per_rank(ranked: RankedValues) -> DataFrame:
     """Ranks spelled out, column ``i`` from 1.
 
-    A value with very many rows is cut into stretches of ranks that are dealt
-    out to all tasks before they are spelled out.
+    Only a value with very many rows is cut into stretches of ranks that are dealt
+    out to all tasks before they are spelled out; the rest stays where it is.
     """
-    if not ranked.split:
-        return ranked.frame.withColumn("i", F.col("before") + 1)
     step = F.lit(_RANKS_PER_ARRAY).cast("bigint")
     first = F.col("before") + 1
     last = F.col("before") + F.col("rows")
-    stretches = ranked.frame.withColumn("start", F.explode(F.sequence(first, last, step)))
-    return stretches.repartition("group", "metric", "start").withColumn(
+    many = F.col("rows") > _RANKS_PER_ARRAY
+    few = ranked.frame.where(~many).withColumn("i", F.explode(F.sequence(first, last)))
+    stretches = ranked.frame.where(many).withColumn("start", F.explode(F.sequence(first, last, step)))
+    dealt = stretches.repartition("group", "metric", "start").withColumn(
         "i", F.explode(F.sequence("start", F.least(F.col("start") + step - 1, last)))
     )
+    return few.unionByName(dealt.drop("start"))
 
 
 def _sums(ranked: RankedValues) -> DataFrame:

@@ -1,39 +1,48 @@
 """Ranks of values inside groups, exact and safe for groups of any size.
 
-A window over a whole group sorts that group in one task. That is right as
-long as the largest group is small, which is measured first. Beyond the bound
-the values are range-partitioned by (group, metric, value), so that a large
-group covers many partitions, and each partition's ranks start at the sum of
-the group's rows in the partitions before it.
+There is one way for all sizes. Equal values become one row first; these rows are
+range-partitioned by (group, metric, value) into slices whose number follows from
+the number of values, so that a large group covers many slices. Each slice counts
+its rows up in order and is written to the shared folder; a group's ranks in a
+slice start at the sum of its rows in the slices before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidemark.session import staging_path
+from tidemark.session import shared_folder, staging_path
 
-# Values of one group, over all metrics, that one task may hold or sort.
-GROUP_BOUND = 1_000_000
-_VALUES_PER_SLICE = 100_000
-_LEAST_SLICES = 8
+#: Values per slice, counting repeats; what one task sorts.
+VALUES_PER_SLICE = 4_000_000
 
 
 @dataclass(frozen=True)
 class RankedValues:
-    """Columns ``group metric value rows before n mean part``.
+    """Values with their ranks, from tables in the shared folder.
 
-    One row stands for ``rows`` equal values that take the 0-based ranks
-    ``before`` … ``before + rows - 1`` of the ``n`` in their group. ``part`` is
-    the slice of the group the row lies in; ``split`` tells if there are several.
+    ``counts`` has a row ``group metric value rows part inside`` for ``rows`` equal
+    values; ``inside`` counts the group's values before them in their slice ``part``.
+    ``slices`` has a row ``group metric part offset n mean`` per slice of a group:
+    the group's values in earlier slices, its number of values and their mean.
     """
 
-    frame: DataFrame
-    split: bool
+    counts: DataFrame
+    slices: DataFrame
+
+    @property
+    def frame(self) -> DataFrame:
+        """``group metric value rows before n mean part``: equal values take the
+        0-based ranks ``before`` … ``before + rows - 1`` of the ``n`` in their group."""
+        ranked = self.counts.join(self.slices, ["group", "metric", "part"])
+        before = (F.col("inside") + F.col("offset")).alias("before")
+        return ranked.select("group", "metric", "value", "rows", before, "n", "mean", "part")
 
 
 def group_struct(keys: Sequence[str]) -> Column:
@@ -41,112 +50,98 @@ def group_struct(keys: Sequence[str]) -> Column:
     return F.struct(*keys).alias("group") if keys else F.struct(F.lit(0).alias("all")).alias("group")
 
 
-class GroupSizes(NamedTuple):
-    largest: int
-    total: int
-
-    def fits(self, metrics: int, group_bound: int) -> bool:
-        """Whether one task can take every group whole."""
-        return self.largest * metrics <= group_bound
-
-
-def group_sizes(table: DataFrame, keys: Sequence[str]) -> GroupSizes:
-    """Rows of the largest group and of all. Reads the key columns only."""
-    sizes = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    zero = F.lit(0)
-    row = sizes.agg(F.coalesce(F.max("size"), zero), F.coalesce(F.sum("size"), zero)).first()
-    return GroupSizes(*row)
-
-
 def _values(table: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Long form of the metrics, NULLs left out."""
     wide = table.select(group_struct(keys), *metrics)
     return wide.unpivot("group", list(metrics), "metric", "value").where(F.col("value").isNotNull())
 
 
-def _rank_whole(values: DataFrame) -> DataFrame:
-    group = Window.partitionBy("group", "metric")
-    return values.select(
-        "group",
-        "metric",
-        "value",
-        F.lit(1).cast("bigint").alias("rows"),
-        (F.row_number().over(group.orderBy("value")) - 1).cast("bigint").alias("before"),
-        F.count("value").over(group).alias("n"),
-        F.avg("value").over(group).alias("mean"),
-        F.lit(0).alias("part"),
-    )
-
-
 def _rows_before(amount: str, window) -> Column:
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(amount).over(earlier), F.lit(0))
 
 
-def _slices(configured: int, values: int) -> int:
-    """The session's number of partitions, or fewer when there are few values."""
-    return min(configured, max(_LEAST_SLICES, -(-values // _VALUES_PER_SLICE)))
+def _counted_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the slice's number and the running count of each group of a sorted slice."""
+    part = TaskContext.get().partitionId()
+    last, carried = None, 0
+    for batch in batches:
+        run, rows = batch.column("run").to_numpy(), batch.column("rows").to_numpy()
+        if not len(run):
+            continue
+        inside = np.cumsum(rows) - rows
+        first = np.ones(len(run), dtype=bool)
+        first[1:] = run[1:] != run[:-1]
+        first[0] = run[0] != last
+        start = np.maximum.accumulate(np.where(first, np.arange(len(run)), -1))
+        inside = np.where(start >= 0, inside - inside[np.maximum(start, 0)], inside + carried)
+        last, carried = run[-1], inside[-1] + rows[-1]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array(np.full(len(run), part, np.int32)), pa.array(inside)],
+            names=["group", "metric", "value", "rows", "part", "inside"],
+        )
+
 
+def rank_values(
+    table: DataFrame,
+    keys: Sequence[str],
+    metrics: Sequence[str],
+    values_per_slice: int = VALUES_PER_SLICE,
+) -> RankedValues:
+    """Rank every metric's values inside its group.
 
-def _rank_split(values: DataFrame, expected: int) -> DataFrame:
-    spark = values.sparkSession
-    # Equal values become one row first, so that a frequent value is no hot spot.
-    counted = values.groupBy("group", "metric", "value").agg(F.count(F.lit(1)).alias("rows"))
+    The metrics must be doubles without NaN. The values are written to the shared
+    folder, in at least one slice and one per ``values_per_slice`` values. Slices feed
+    both the offsets and the ranks and must be the same in both, also after an executor
+    is lost: hence a written table.
+    """
+    spark = table.sparkSession
+    shared_folder(spark)  # a cluster without one is refused before any work
+    slices = -(-table.count() * len(metrics) // values_per_slice) or 1
+    counted = (
+        _values(table, keys, metrics).groupBy("group", "metric", "value").agg(F.count(F.lit(1)).alias("rows"))
+    )
+    order = ["group", "metric", "value"]
     # A stated number of slices: adaptive execution must not join them up again.
-    slices = _slices(int(spark.conf.get("spark.sql.shuffle.partitions")), expected)
-    sliced = counted.repartitionByRange(slices, "group", "metric", "value").withColumn(
-        "part", F.spark_partition_id()
+    sliced = (
+        counted.withColumn("run", F.xxhash64("group", "metric"))
+        .repartitionByRange(slices, *order)
+        .sortWithinPartitions(*order)
+    )
+    schema = T.StructType(
+        [*counted.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("inside", T.LongType())]
     )
-    # The slices feed both the offsets and the ranks and must be the same in both,
-    # also after an executor is lost: hence a written table.
     path = staging_path(spark, "ranks")
-    sliced.write.parquet(path)
-    sliced = spark.read.schema(sliced.schema).parquet(path)
+    sliced.mapInArrow(_counted_up, schema).write.parquet(path)
+    counts = spark.read.schema(schema).parquet(path)
 
-    # At most one row per group and slice.
+    # At most one row per group and slice; written, so that both sides of the joins
+    # with it are plain scans or shuffles, of which adaptive execution can split hot keys.
     group = Window.partitionBy("group", "metric")
-    offsets = (
-        sliced.groupBy("group", "metric", "part")
+    total = F.sum("size").over(group)
+    per_slice = (
+        counts.groupBy("group", "metric", "part")
         .agg(F.sum("rows").alias("size"), F.sum(F.col("value") * F.col("rows")).alias("total"))
         .select(
             "group",
             "metric",
             "part",
             _rows_before("size", group.orderBy("part")).alias("offset"),
-            F.sum("size").over(group).alias("n"),
-            (F.sum("total").over(group) / F.sum("size").over(group)).alias("mean"),
+            total.alias("n"),
+            (F.sum("total").over(group) / total).alias("mean"),
         )
     )
-    inside = Window.partitionBy("group", "metric", "part").orderBy("value")
-    return (
-        sliced.withColumn("before", _rows_before("rows", inside))
-        .join(offsets, ["group", "metric", "part"])
-        .withColumn("before", F.col("before") + F.col("offset"))
-        .select("group", "metric", "value", "rows", "before", "n", "mean", "part")
-    )
+    path = staging_path(spark, "slices")
+    per_slice.write.parquet(path)
+    return RankedValues(counts, spark.read.schema(per_slice.schema).parquet(path))
 
 
-def rank_values(
-    table: DataFrame,
-    keys: Sequence[str],
-    metrics: Sequence[str],
-    group_bound: int = GROUP_BOUND,
-    sizes: GroupSizes | None = None,
-) -> RankedValues:
-    """Rank every metric's values inside its group.
+def order_statistics(ranked: RankedValues, points: dict[str, float]) -> DataFrame:
+    """Exact percentiles per group and metric, linear between neighbouring ranks.
 
-    The metrics must be doubles without NaN. Pass ``sizes`` when the groups
-    were counted already.
+    Beside them ``n mean deviation low high``: the number of values, their mean, the
+    square root of their variance (of a sample) and the extremes, in the same pass.
     """
-    sizes = sizes or group_sizes(table, keys)
-    values = _values(table, keys, metrics)
-    if sizes.fits(len(metrics), group_bound):
-        return RankedValues(_rank_whole(values), split=False)
-    return RankedValues(_rank_split(values, sizes.total * len(metrics)), split=True)
-
-
-def order_statistics(ranked: RankedValues, points: dict[str, float]) -> DataFrame:
-    """Exact percentiles per group and metric, linear between neighbouring ranks."""
     covers = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("rows"))
     at = lambda rank: F.max(F.when(covers(rank), F.col("value")))
     picks, results = [], []
@@ -158,24 +153,38 @@ def order_statistics(ranked: RankedValues, points: dict[str, float]) -> DataFram
         results.append(
             (F.col(f"_{name}_low") * (1 - share) + F.col(f"_{name}_high") * share).alias(name)
         )
+    centred = F.col("value") - F.col("mean")
     return (
         ranked.frame.groupBy("group", "metric")
-        .agg(F.max("n").alias("n"), *picks)
-        .select("group", "metric", "n", *results)
+        .agg(
+            F.max("n").alias("n"),
+            F.max("mean").alias("mean"),
+            F.sum(centred * centred * F.col("rows")).alias("_squares"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            *picks,
+        )
+        .select(
+            "group",
+            "metric",
+            "n",
+            "mean",
+            F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1))).alias("deviation"),
+            "low",
+            "high",
+            *results,
+        )
     )
 
 
 def join_to_values(ranked: RankedValues, per_group: DataFrame) -> DataFrame:
-    """Bring one row per (group, metric) to the group's values.
+    """Bring one row per (group, metric) to the group's counted values.
 
-    When groups are split the small side is spread over the slices first, so
-    that the join key of a large group is not one hot key.
+    The small side is spread over the slices first, so that the join key of a large
+    group is not one hot key. Ranks are not computed for it.
     """
-    if not ranked.split:
-        return ranked.frame.join(per_group, ["group", "metric"])
-    slices = ranked.frame.select("group", "metric", "part").distinct()
-    per_slice = slices.join(per_group, ["group", "metric"])
-    return ranked.frame.join(per_slice, ["group", "metric", "part"])
+    per_slice = ranked.slices.select("group", "metric", "part").join(per_group, ["group", "metric"])
+    return ranked.counts.join(per_slice, ["group", "metric", "part"])
 
 
 def index_rows(table: DataFrame, order: Sequence[str], index_name: str = "idx") -> DataFrame:

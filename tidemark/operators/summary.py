@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidemark.functions.numbers import clean_number
 from tidemark.operators.normality import shapiro_wilk
 from tidemark.operators.ranks import (
-    GROUP_BOUND,
-    group_sizes,
+    VALUES_PER_SLICE,
     group_struct,
     order_statistics,
     rank_values,
@@ -23,6 +22,7 @@ STATISTICS = (
 )
 _NORMALITY = ("shapiro_stat", "shapiro_p", "normal")
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+_MOMENTS = ("n", "mean", "deviation", "low", "high")
 
 
 def clean_metrics(table: DataFrame, metrics: Sequence[str]) -> dict[str, Column]:
@@ -31,42 +31,22 @@ def clean_metrics(table: DataFrame, metrics: Sequence[str]) -> dict[str, Column]
     return {name: clean_number(F.col(name), is_text(name)).alias(name) for name in metrics}
 
 
-def _moments(metric: str) -> list[Column]:
-    return [
-        F.count(metric).alias(f"_{metric}_n"),
-        F.avg(metric).alias(f"_{metric}_mean"),
-        F.stddev_samp(metric).alias(f"_{metric}_std"),
-        F.min(metric).alias(f"_{metric}_min"),
-        F.max(metric).alias(f"_{metric}_max"),
-    ]
-
-
-def _buffered_quartiles(metric: str) -> Column:
-    # Holds a group's distinct values in memory: only for groups of a checked size.
-    return F.percentile(metric, F.lit(list(_QUARTILES.values()))).alias(f"_{metric}_quartiles")
-
-
-def _quartile(metric: str, name: str, bounded: bool) -> Column:
-    if bounded:
-        return F.get(F.col(f"_{metric}_quartiles"), F.lit(list(_QUARTILES).index(name)))
-    return F.col(f"_{metric}_{name}")
-
-
-def _statistics(metric: str, bounded: bool, normality: bool) -> list[Column]:
-    n = F.col(f"_{metric}_n")
+def _statistics(metric: str, normality: bool) -> list[Column]:
+    column = lambda name: F.col(f"_{metric}_{name}")
+    n = column("n")
     # One value has no spread; no values have no statistics at all.
-    spread = F.when(n > 0, F.coalesce(F.col(f"_{metric}_std"), F.lit(0.0)))
+    spread = F.when(n > 0, F.coalesce(column("deviation"), F.lit(0.0)))
     values = {
-        "mean": F.col(f"_{metric}_mean"),
-        "median": _quartile(metric, "median", bounded),
+        "mean": column("mean"),
+        "median": column("median"),
         "std": spread,
-        "min": F.col(f"_{metric}_min"),
-        "max": F.col(f"_{metric}_max"),
-        "iqr": _quartile(metric, "q3", bounded) - _quartile(metric, "q1", bounded),
+        "min": column("low"),
+        "max": column("high"),
+        "iqr": column("q3") - column("q1"),
         "ci95": F.when(n > 0, F.lit(_NORMAL_95) * spread / F.sqrt(n)),
     }
     if normality:
-        values.update({name: F.col(f"_{metric}_{name}") for name in _NORMALITY})
+        values.update({name: column(name) for name in _NORMALITY})
     return [value.alias(f"{metric}_{name}") for name, value in values.items()]
 
 
@@ -90,55 +70,46 @@ def summarize(
     order: str | None = None,
     distinct: dict[str, str] | None = None,
     normality: bool = True,
-    group_bound: int = GROUP_BOUND,
+    values_per_slice: int = VALUES_PER_SLICE,
 ) -> DataFrame:
     """Rows, distinct counts, carried columns and the metrics' statistics per key.
 
-    ``carried`` columns are taken from the group's first row by ``order``.
+    ``carried`` columns are taken from the group's first row by ``order``; among rows
+    of one order, or without any, from the one whose columns are least.
     ``distinct`` maps a result name to the column counted, a missing value
     counting as one. Bad and missing metric values are left out.
 
-    Moments always come from one pre-aggregated pass. Quartiles come with it
-    when the largest group has at most ``group_bound`` values, and otherwise from
-    the distributed ranks, which the normality test uses as well.
+    Two passes over the table: one for counts and carried columns, one for the
+    metrics' values, which are counted, ranked and written once; moments, quartiles
+    and the normality test are read from there.
     """
     distinct = distinct or {}
-    sizes = group_sizes(table, keys)
-    bounded = sizes.fits(len(metrics), group_bound)
     clean = clean_metrics(table, metrics)
-    extra = [name for name in {*carried, *distinct.values(), *([order] if order else [])}]
-    source = table.select(
-        group_struct(keys), *[F.col(n).alias(f"_src_{n}") for n in sorted(extra)], *clean.values()
-    )
+    extra = {*carried, *distinct.values(), *([order] if order else [])}
+    source = table.select(group_struct(keys), *[F.col(n).alias(f"_src_{n}") for n in sorted(extra)])
     aggregates = [F.count(F.lit(1)).alias(count_name)]
     aggregates += [
         F.count_distinct(F.coalesce(F.col(f"_src_{column}").cast("string"), F.lit(""))).alias(name)
         for name, column in distinct.items()
     ]
     if carried:
+        place = F.col(f"_src_{order}")
         first = F.struct(*[F.col(f"_src_{name}").alias(name) for name in carried])
-        aggregates.append(F.min_by(first, F.col(f"_src_{order}")).alias("_carried"))
-    for metric in metrics:
-        aggregates += _moments(metric)
-        if bounded:
-            aggregates.append(_buffered_quartiles(metric))
+        least = F.min(F.struct(place.isNull().alias("late"), place.alias("place"), first.alias("row")))
+        aggregates.append(least["row"].alias("_carried"))
     result = source.groupBy("group").agg(*aggregates)
 
-    if normality or not bounded:
-        cleaned = table.select(*keys, *clean.values())
-        ranked = rank_values(cleaned, keys, metrics, group_bound, sizes)
-        if not bounded:
-            quartiles = order_statistics(ranked, _QUARTILES)
-            result = result.join(_widen(quartiles, metrics, list(_QUARTILES)), "group", "left")
-        if normality:
-            tested = shapiro_wilk(ranked)
-            result = result.join(_widen(tested, metrics, _NORMALITY), "group", "left")
+    ranked = rank_values(table.select(*keys, *clean.values()), keys, metrics, values_per_slice)
+    placed = order_statistics(ranked, _QUARTILES)
+    result = result.join(_widen(placed, metrics, [*_MOMENTS, *_QUARTILES]), "group", "left")
+    if normality:
+        result = result.join(_widen(shapiro_wilk(ranked), metrics, _NORMALITY), "group", "left")
 
     columns = [F.col(f"group.{name}") for name in keys]
     columns += [F.col(count_name), *[F.col(name) for name in distinct]]
     columns += [F.col(f"_carried.{name}") for name in carried]
     for metric in metrics:
-        columns += _statistics(metric, bounded, normality)
+        columns += _statistics(metric, normality)
     return result.select(*columns)
 
 

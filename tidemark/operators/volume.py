@@ -13,7 +13,6 @@ from tidemark.sources.drifting import read_drifting_parquet
 from tidemark.sources.tables import input_volume
 
 _MIB = 1024 * 1024
-_LEAST_FRACTION = 0.0001
 
 
 @dataclass(frozen=True)
@@ -33,10 +32,6 @@ TARGETS = (
 )
 
 
-def sampling_fraction(part_bytes: int, raw_bytes: int) -> float:
-    return max(min(part_bytes / raw_bytes, 1.0), _LEAST_FRACTION)
-
-
 def sample_rows(table: DataFrame, fraction: float, seed: int) -> DataFrame:
     """Each row with the same chance; repeatable for one file layout."""
     return table.sample(withReplacement=False, fraction=fraction, seed=seed)
@@ -49,38 +44,32 @@ def replicate(table: DataFrame, copies: int) -> DataFrame:
 
 
 def shape_to_volume(table: DataFrame, raw_bytes: int, target_bytes: int, seed: int) -> DataFrame:
-    """A sample when the target is below the raw size, else copies and a sample.
+    """The table at ``target_bytes / raw_bytes`` of its rows, in one scan.
 
-    The volume is that of compressed files while the sample is one of rows, so
-    the target is met approximately. An unknown raw size leaves the table as is.
+    Each row has the whole part of that ratio as copies, and one more with the
+    chance of the fraction; a ratio below one is a sample. The volume is that of
+    compressed files, so the target is met approximately. An unknown raw size
+    leaves the table as is.
     """
     if raw_bytes <= 0:
         return table
-    if target_bytes <= raw_bytes:
-        return sample_rows(table, sampling_fraction(target_bytes, raw_bytes), seed)
-    copies, rest = divmod(target_bytes, raw_bytes)
-    whole = replicate(table, copies) if copies > 1 else table
-    if rest == 0:
-        return whole
-    return whole.unionByName(sample_rows(table, sampling_fraction(rest, raw_bytes), seed))
+    ratio = target_bytes / raw_bytes
+    extra = (F.rand(seed) < ratio % 1).cast("int")
+    copies = F.array_repeat(F.lit(True), F.lit(int(ratio)) + extra)
+    return table.select("*", F.explode(copies).alias("_copy")).drop("_copy")
 
 
 def write_target(
-    table: DataFrame, path: str, raw_bytes: int, target: Target, **write_options: str
+    table: DataFrame, path: str, raw_bytes: int, target: Target, **write_options
 ) -> None:
-    """Write one target in one job.
+    """Write one target in one job, dictionary encoding off.
 
-    ``coalesce`` moves no rows, but it also makes the scan run in as few tasks
-    as there are files. With fewer files than half the cluster's cores the rows
-    are dealt out evenly instead, and the scan keeps its own tasks.
+    The rows are dealt out to the target's files by a shuffle, so that the scan of
+    the source keeps all its tasks; what is shuffled is the target, not the source.
     """
     shaped = shape_to_volume(table, raw_bytes, target.size_bytes, target.seed)
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if target.partitions * 2 < cores:
-        shaped = shaped.repartition(target.partitions)
-    else:
-        shaped = shaped.coalesce(target.partitions)
-    write_parquet(shaped, path, **write_options)
+    options = {"dictionary": False, **write_options}
+    write_parquet(shaped.repartition(target.partitions), path, **options)
 
 
 def prepare_volumes(

@@ -59,3 +59,17 @@ def throughput_by_workers(
     side = lambda table, mode, metric: metric_by_workers(table, metric).withColumn("mode", F.lit(mode))
     both = side(batch, BATCH, batch_metric).unionByName(side(stream, STREAM, stream_metric))
     return both.groupBy("mode", "scenario", "workers").agg(F.avg("metric").alias("throughput"))
+
+
+def comparison_tables(
+    batch: DataFrame, stream: DataFrame, containers: DataFrame, micro_batches: DataFrame
+) -> dict[str, DataFrame]:
+    """Every chart's table by name, from the summaries and the raw micro-batches."""
+    return {
+        "throughput_by_mode": throughput_by_mode(batch, stream),
+        "latency_distribution": latency_distribution(micro_batches),
+        "cpu_by_container": cpu_by_container(containers),
+        "batch_duration_by_workers": metric_by_workers(batch, "duration_sec_mean"),
+        "stream_latency_by_workers": metric_by_workers(stream, "stream_avg_event_latency_s_mean"),
+        "throughput_by_workers": throughput_by_workers(batch, stream),
+    }

@@ -10,6 +10,7 @@ from tidemark.operators.ranks import index_rows
 from tidemark.operators.runs import stream_totals
 from tidemark.plans.queries.aggregates import GROUP_AVG_COUNT
 from tidemark.plans.queries.registry import query, table
+from tidemark.schemas import TRIP_COLUMNS
 from tidemark.session import staging_path
 from tidemark.sinks.tables import as_json_events, write_parquet
 from tidemark.sources.streams import text_stream
@@ -76,8 +77,10 @@ def trip_events(spark, folder):
         F.col("l_quantity").alias("passenger_count"),
         F.col("l_tax").alias("Airport_fee"),
     )
+    used = ("PULocationID", "fare_amount", "passenger_count", "airport_fee")
+    columns = {name: TRIP_COLUMNS[name] for name in used}
     return (
-        parse_events(as_json_events(lines))
+        parse_events(as_json_events(lines), columns)
         .groupBy("PULocationID")
         .agg(
             F.avg("fare_amount").alias("avg_fare_amount"),

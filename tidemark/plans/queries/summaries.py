@@ -10,7 +10,7 @@ from tidemark.functions import gaussian
 from tidemark.operators import normality
 from tidemark.operators.boxplot import boxplot_statistics
 from tidemark.operators.normality import shapiro_wilk
-from tidemark.operators.ranks import GROUP_BOUND, rank_values
+from tidemark.operators.ranks import VALUES_PER_SLICE, rank_values
 from tidemark.operators.summary import (
     summarize,
     summarize_containers,
@@ -19,6 +19,9 @@ from tidemark.operators.summary import (
 )
 from tidemark.plans.queries.registry import query, table
 
+#: Few enough that the tables at hand make several slices.
+_SMALL_SLICE = 20_000
+
 _ROUNDED = ("mean", "median", "std", "min", "max", "iqr", "ci95")
 
 
@@ -46,22 +49,22 @@ _LINE_SUMMARY = f"""
 """
 
 
-def _line_summary(spark, folder, group_bound):
+def _line_summary(spark, folder, values_per_slice):
     return summarize(
         table(spark, folder, "lineitem"), ["l_returnflag"], _LINE_METRICS, "row_count",
-        normality=False, group_bound=group_bound,
+        normality=False, values_per_slice=values_per_slice,
     )
 
 
 @query("numeric_summary", _LINE_SUMMARY, _rounding(_LINE_METRICS))
 def numeric_summary(spark, folder):
-    return _line_summary(spark, folder, GROUP_BOUND)
+    return _line_summary(spark, folder, VALUES_PER_SLICE)
 
 
 @query("numeric_summary_split", _LINE_SUMMARY, _rounding(_LINE_METRICS))
 def numeric_summary_split(spark, folder):
-    """The way for groups too large for one task, whatever the group size."""
-    return _line_summary(spark, folder, 0)
+    """The same with groups that cover several slices."""
+    return _line_summary(spark, folder, _SMALL_SLICE)
 
 
 @query(
@@ -217,9 +220,9 @@ def _shapiro_sql(source: str, key: str, x: str) -> str:
 _SHAPIRO_ROUNDING = {"shapiro_stat": 6, "shapiro_p": 6}
 
 
-def _shapiro(spark, folder, source, key, metric, group_bound):
+def _shapiro(spark, folder, source, key, metric, values_per_slice):
     rows = table(spark, folder, source).select(key, metric)
-    return shapiro_wilk(rank_values(rows, [key], [metric], group_bound)).select(
+    return shapiro_wilk(rank_values(rows, [key], [metric], values_per_slice)).select(
         f"group.{key}", "shapiro_stat", "shapiro_p", "normal"
     )
 
@@ -230,17 +233,17 @@ _BY_FLAG = _shapiro_sql("lineitem", "l_returnflag", "l_extendedprice")
 
 @query("shapiro_by_group", _BY_CUSTOMER, _SHAPIRO_ROUNDING)
 def shapiro_by_group(spark, folder):
-    return _shapiro(spark, folder, "orders", "o_custkey", "o_totalprice", GROUP_BOUND)
+    return _shapiro(spark, folder, "orders", "o_custkey", "o_totalprice", VALUES_PER_SLICE)
 
 
 @query("shapiro_split_small", _BY_CUSTOMER, _SHAPIRO_ROUNDING)
 def shapiro_split_small(spark, folder):
-    return _shapiro(spark, folder, "orders", "o_custkey", "o_totalprice", 0)
+    return _shapiro(spark, folder, "orders", "o_custkey", "o_totalprice", _SMALL_SLICE)
 
 
 @query("shapiro_split_large", _BY_FLAG, _SHAPIRO_ROUNDING)
 def shapiro_split_large(spark, folder):
-    return _shapiro(spark, folder, "lineitem", "l_returnflag", "l_extendedprice", 0)
+    return _shapiro(spark, folder, "lineitem", "l_returnflag", "l_extendedprice", _SMALL_SLICE)
 
 
 @query(
@@ -294,4 +297,4 @@ def boxplot_stats(spark, folder):
 )
 def boxplot_stats_split(spark, folder):
     lines = table(spark, folder, "lineitem")
-    return boxplot_statistics(lines, ["l_linestatus"], "l_extendedprice", group_bound=0)
+    return boxplot_statistics(lines, ["l_linestatus"], "l_extendedprice", _SMALL_SLICE)

@@ -67,10 +67,26 @@ def replicate_3x(spark, folder):
     )
 
 
-@query("sample_fraction")
+@query(
+    "sample_fraction",
+    "select 0 as foreign_rows, 0 as repeated_rows, true as share_within_tenth",
+)
 def sample_fraction(spark, folder):
+    """A sample of a quarter has rows of the table only, each once, and about a quarter."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return sample_rows(lines, 0.25, 43)
+    sample = sample_rows(lines, 0.25, 43)
+    keys = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    sampled = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("mine"))
+    there = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("theirs"))
+    joined = there.join(sampled, keys, "full")
+    foreign = F.col("theirs").isNull().cast("int")
+    repeated = (F.coalesce("mine", F.lit(0)) > F.col("theirs")).cast("int")
+    share = F.sum("mine") / F.sum("theirs")
+    return joined.agg(
+        F.sum(foreign).cast("int").alias("foreign_rows"),
+        F.coalesce(F.sum(repeated), F.lit(0)).cast("int").alias("repeated_rows"),
+        share.between(0.225, 0.275).alias("share_within_tenth"),
+    )
 
 
 @query(
@@ -86,11 +102,26 @@ def volume_whole_multiple(spark, folder):
     return shaped.groupBy("event_type").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query("volume_with_rest")
+@query(
+    "volume_with_rest",
+    """
+    select event_type, count(*) as events, 2 as least_copies, 3 as most_copies,
+           true as rest_within_tenth
+    from events group by event_type
+    """,
+)
 def volume_with_rest(spark, folder):
+    """At 2.5 times the volume each event has two or three copies, about half of them three."""
     raw = parquet_listing(spark, f"{folder}/events.parquet").agg(F.sum("length")).first()[0]
-    shaped = shape_to_volume(table(spark, folder, "events"), raw, 2 * raw + raw // 2, 45)
-    return shaped.groupBy("event_type").agg(F.count(F.lit(1)).alias("row_count"))
+    events = table(spark, folder, "events").select("event_id", "event_type")
+    shaped = shape_to_volume(events, raw, 2 * raw + raw // 2, 45)
+    per_event = shaped.groupBy("event_type", "event_id").agg(F.count(F.lit(1)).alias("copies"))
+    return per_event.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.min("copies").cast("int").alias("least_copies"),
+        F.max("copies").cast("int").alias("most_copies"),
+        F.avg("copies").between(2.4, 2.6).alias("rest_within_tenth"),
+    )
 
 
 @query("input_volume")

@@ -136,6 +136,18 @@ RESOURCE_SAMPLES = _table(
         "disk_write_bytes",
     ),
 )
+# What tells a raw statistics line's run and moment.
+SAMPLE_TAGS = _table(
+    columns(STRING, "run_id", "scenario", "scenario_category", "mode"),
+    columns(DOUBLE, "sample_timestamp_unix"),
+)
+# What a list of runs says of each; records of the jobs have the rest.
+LISTED_RUNS = _table(
+    _RUN,
+    columns(INT, "workers", "configured_rate_eps", "trigger_sec"),
+    columns(STRING, "status"),
+    _CLOSING,
+)
 RAW_STATS = _table(columns(STRING, "Name", "CPUPerc", "MemUsage", "MemPerc", "NetIO", "BlockIO"))
 BATCH_JOB_METRICS = _table(
     columns(STRING, "run_id", "scenario", "input"),

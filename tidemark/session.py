@@ -54,15 +54,33 @@ def _hadoop_path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(("_", "."))
+
+
 def holds_parquet(spark: SparkSession, path: str) -> bool:
-    """Whether any parquet file lies under ``path``; stops at the first one."""
+    """Whether a finished write left parquet under ``path``; stops at the first file.
+
+    A folder needs its ``_SUCCESS`` mark, and files below hidden names, such as
+    those of a write that was killed, don't count. A parquet file counts itself.
+    """
     target, fs = _hadoop_path(spark, path)
     if not fs.exists(target):
         return False
-    files = fs.listFiles(target, True)
-    while files.hasNext():
-        if files.next().getPath().getName().endswith(".parquet"):
-            return True
+    if fs.getFileStatus(target).isFile():
+        return target.getName().endswith(".parquet")
+    if not fs.exists(_hadoop_path(spark, f"{path.rstrip('/')}/_SUCCESS")[0]):
+        return False
+    folders = [target]
+    while folders:
+        for entry in fs.listStatus(folders.pop()):
+            name = entry.getPath().getName()
+            if _hidden(name):
+                continue
+            if entry.isDirectory():
+                folders.append(entry.getPath())
+            elif name.endswith(".parquet"):
+                return True
     return False
 
 

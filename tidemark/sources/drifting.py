@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.schemas import TRIP_CASTS, TRIP_SPELLINGS
-from tidemark.session import is_file
+from tidemark.session import is_file, staging_path
 from tidemark.sources.tables import parquet_listing
 
 _FILES_PER_TASK = 64
@@ -65,20 +65,41 @@ def _footer_reader():
     return read
 
 
-def files_by_layout(spark: SparkSession, path: str) -> DataFrame:
-    """Columns ``layout`` and ``paths``: the files under ``path`` by footer schema.
+def file_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """Columns ``path, folder, layout``: the files under ``path`` and their footer schemas.
 
-    The footers are read in tasks, a few dozen files each; only the grouped
-    file names go to the driver, which needs them to plan the scan anyway.
+    The footers are read in tasks, a few dozen files each.
     """
     listing = parquet_listing(spark, path).select("path")
     tasks = max(1, -(-listing.count() // _FILES_PER_TASK))
-    return (
-        listing.repartition(tasks, "path")
-        .mapInPandas(_footer_reader(), "path string, layout string")
-        .groupBy("layout")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    files = listing.repartition(tasks, "path").mapInPandas(_footer_reader(), "path string, layout string")
+    return files.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+
+
+def scan_units(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(layout, what to read) for each layout, in the order of its first file.
+
+    A folder whose own files share a layout is read as a folder, so that only names of
+    folders go to the driver; the files of a mixed folder are named one by one.
+    """
+    staged = staging_path(spark, "layouts")
+    file_layouts(spark, path).write.parquet(staged)
+    files = spark.read.parquet(staged)
+    folders = files.groupBy("folder").agg(
+        F.min("layout").alias("layout"), F.max("layout").alias("other"), F.min("path").alias("first")
     )
+    rows = sorted(folders.toLocalIterator(), key=lambda r: f"{r['folder']}/")
+    # A folder above another one would be read with it.
+    above = {r["folder"] for r, after in zip(rows, rows[1:]) if after["folder"].startswith(f"{r['folder']}/")}
+    mixed = [r["folder"] for r in rows if r["layout"] != r["other"] or r["folder"] in above]
+    found = [(r["first"], r["layout"], r["folder"]) for r in rows if r["folder"] not in set(mixed)]
+    if mixed:
+        named = files.where(F.col("folder").isin(mixed))
+        found += [(r["path"], r["layout"], r["path"]) for r in named.toLocalIterator()]
+    units: dict[str, list[str]] = {}
+    for _, layout, unit in sorted(found):
+        units.setdefault(layout, []).append(unit)
+    return list(units.items())
 
 
 def read_drifting_parquet(
@@ -90,13 +111,13 @@ def read_drifting_parquet(
     """Every parquet file under ``path`` normalised and put together by name.
 
     Files that share a schema are one scan, so the plan grows with the number
-    of schemas and not with the number of files.
+    of schemas and not with the number of files; with one schema the folder itself
+    is read.
     """
     if is_file(spark, path):
         return normalize(spark.read.parquet(path), casts, spellings)
-    groups = files_by_layout(spark, path).orderBy(F.col("paths")[0]).collect()
-    if not groups:
-        return normalize(spark.read.parquet(path), casts, spellings)
-    return union_by_name(
-        [normalize(spark.read.parquet(*group["paths"]), casts, spellings) for group in groups]
-    )
+    units = scan_units(spark, path)
+    if len(units) < 2:
+        whole = spark.read.option("recursiveFileLookup", "true") if units else spark.read
+        return normalize(whole.parquet(path), casts, spellings)
+    return union_by_name([normalize(spark.read.parquet(*names), casts, spellings) for _, names in units])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import percent, with_size_pairs
+from tidemark.operators.grouping import last_record
 from tidemark.schemas import RAW_STATS
 
 _MIB = 1024.0 * 1024.0
@@ -57,6 +60,11 @@ def measure_stats(raw: DataFrame) -> DataFrame:
     )
 
 
+def last_per_sample(raw: DataFrame, sample: Sequence[str], order: str | Column) -> DataFrame:
+    """Of several lines of one container in a sample the last one."""
+    return last_record(raw, [*sample, "container"], order)
+
+
 def rejected_measures(measured: DataFrame) -> DataFrame:
     """One row: how many values of each measure could not be read."""
     return measured.agg(

@@ -36,26 +36,24 @@ def parse_events(
     Columns of the source named in ``keep`` come first.
 
     Fields are read as text and cast late, so that one bad number costs that
-    field only. JSON names are matched exactly; other spellings of a column
-    are put into its own before the one parse.
+    field only. JSON names are matched exactly; a column's other spellings are
+    fields of the same parse, and the first one with a value is taken. Only the
+    columns asked for are parsed: name those that are used.
     """
-    text = F.col(value).cast("string")
-    for name in columns:
-        for spelling in spellings.get(name, ()):
-            if spelling != name:
-                text = _respelled(text, spelling, name)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    parsed = events.select(*keep, F.from_json(text, schema).alias("_event"))
-    typed = [
-        _field(F.col(f"_event.`{name}`"), kind).alias(name) for name, kind in columns.items()
+    names = {name: [name, *(s for s in spellings.get(name, ()) if s != name)] for name in columns}
+    fields = [T.StructField(s, T.StringType()) for own in names.values() for s in own]
+    parsed = events.select(
+        *keep, F.from_json(F.col(value).cast("string"), T.StructType(fields)).alias("_event")
+    )
+    at = lambda spelling: F.col(f"_event.`{spelling}`")
+    # Trimmed once, in a column of its own, since a number looks at its text several times.
+    bare = [
+        (F.coalesce(*map(at, own)) if kind == "string" else F.trim(F.coalesce(*map(at, own)))).alias(name)
+        for (name, own), kind in zip(names.items(), columns.values())
     ]
-    return parsed.select(*keep, *typed)
-
-
-def _respelled(text: Column, spelling: str, name: str) -> Column:
-    """JSON text with a member's name changed; only a name stands before a colon."""
-    renamed = F.regexp_replace(text, f'"{spelling}"(\\s*:)', f'"{name}"$1')
-    return F.when(text.contains(f'"{spelling}"'), renamed).otherwise(text)
+    texts = parsed.select(*keep, *bare)
+    typed = [_field(F.col(f"`{name}`"), kind).alias(name) for name, kind in columns.items()]
+    return texts.select(*keep, *typed)
 
 
 def processing_seconds(precise: bool = False) -> Column:

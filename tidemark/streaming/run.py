@@ -20,7 +20,7 @@ from tidemark.streaming.microbatch import (
 from tidemark.streaming.progress import ProgressRecorder, read_progress
 
 _FLUSH_SECONDS = 30
-_LISTENER_SECONDS = 10
+_LISTENER_SECONDS = 120
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,9 @@ def run_zone_averages(
         query = writer.start()
         recorder.watch(query.runId)
         _await(spark, query, run.duration_sec, started, recorder, progress_path)
-        recorder.terminated.wait(_LISTENER_SECONDS)
+        # Spark reports the end last: once it is here, no progress report is missing.
+        if not recorder.terminated.wait(_LISTENER_SECONDS):
+            raise TimeoutError(f"no end of run {run.run_id} reported in {_LISTENER_SECONDS} s; its totals would be short")
         recorder.flush(spark, progress_path)
     finally:
         spark.streams.removeListener(recorder)
@@ -108,7 +110,11 @@ def _await(spark, query, duration_sec, started, recorder, progress_path) -> None
 def stream_summary(progress: DataFrame, run: StreamRun, elapsed: float) -> DataFrame:
     """One row of totals for the run, in the shape of a job's metrics record."""
     configured = int(run.duration_sec) if run.duration_sec is not None else 0
-    return stream_totals(progress).select(
+    # A run without batches has a row, too: zeros.
+    this_run = progress.sparkSession.createDataFrame([(run.run_id,)], "run_id string")
+    totals = this_run.join(stream_totals(progress), "run_id", "left")
+    measures = [name for name in totals.columns if name != "run_id"]
+    return totals.fillna(0, measures).select(
         "run_id",
         F.lit(run.scenario).alias("scenario"),
         F.lit(run.workers).alias("workers"),
