@@ -36,26 +36,40 @@ def parse_events(
     Columns of the source named in ``keep`` come first.
 
     Fields are read as text and cast late, so that one bad number costs that
-    field only. JSON names are matched exactly; a column's other spellings are
-    fields of the same parse, and the first one with a value is taken. Only the
-    columns asked for are parsed: name those that are used.
+    field only. JSON names are matched exactly. Where a text has another spelling of
+    a column, that field is parsed, too, and taken if the column's own is missing;
+    names that differ in case only can't be fields of one struct. Only the columns
+    asked for are parsed: name those that are used.
     """
-    names = {name: [name, *(s for s in spellings.get(name, ()) if s != name)] for name in columns}
-    fields = [T.StructField(s, T.StringType()) for own in names.values() for s in own]
-    parsed = events.select(
-        *keep, F.from_json(F.col(value).cast("string"), T.StructType(fields)).alias("_event")
-    )
-    at = lambda spelling: F.col(f"_event.`{spelling}`")
+    text = F.col(value).cast("string")
+    others = {
+        name: [s for s in spellings.get(name, ()) if s != name] for name in columns if name in spellings
+    }
+    parses = {"_event": _parsed(text, columns)}
+    for name, found in others.items():
+        for place, spelling in enumerate(found):
+            has = text.contains(f'"{spelling}"')
+            parses[f"_{place}_{name}"] = F.when(has, _parsed(text, [spelling]))
+
+    def raw(name: str) -> Column:
+        own = F.col(f"_event.`{name}`")
+        rest = [F.col(f"`_{k}_{name}`.`{s}`") for k, s in enumerate(others.get(name, ()))]
+        return F.coalesce(own, *rest) if rest else own
+
     # Trimmed once, in a column of its own, since a number looks at its text several times.
-    bare = [
-        (F.coalesce(*map(at, own)) if kind == "string" else F.trim(F.coalesce(*map(at, own)))).alias(name)
-        for (name, own), kind in zip(names.items(), columns.values())
-    ]
-    texts = parsed.select(*keep, *bare)
+    bare = {
+        name: raw(name) if kind == "string" else F.trim(raw(name)) for name, kind in columns.items()
+    }
+    parsed = events.select(*keep, *[parse.alias(name) for name, parse in parses.items()])
+    texts = parsed.select(*keep, *[column.alias(name) for name, column in bare.items()])
     typed = [_field(F.col(f"`{name}`"), kind).alias(name) for name, kind in columns.items()]
     return texts.select(*keep, *typed)
 
 
+def _parsed(text: Column, names) -> Column:
+    return F.from_json(text, T.StructType([T.StructField(name, T.StringType()) for name in names]))
+
+
 def processing_seconds(precise: bool = False) -> Column:
     """Now, in seconds: whole ones, or with milliseconds."""
     if precise:
