@@ -47,12 +47,13 @@ def test_base_spans(spark):
         assert found == sorted(found, key=lambda s: (s[1], ("assign", "access", "hex", "markov").index(s[0])))
 
 
-def test_held_out_tokens(spark):
+def test_held_out_tokens(spark, folder):
     rng = random.Random(3)
     alphabet = string.ascii_letters + string.digits
     tokens = ["".join(rng.choices(alphabet, k=32)) for _ in range(60)]
     names = ["configuration_manager_of_the_session_2", "internationalization-temperature-reading9", "the_reading_of_the_temperature_sensor12"] * 20
-    texts = corpus(2) + [f"x {t} y" for t in tokens] + [f"x {t} y" for t in names]
+    prose = [r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    texts = prose + [f"x {t} y" for t in tokens] + [f"x {t} y" for t in names]
     spans = {r["doc_id"]: r["secrets"] for r in find_secrets(frame(spark, texts)).collect()}
     start = len(texts) - 120
     assert sum(any(s["kind"] == "markov" for s in spans[start + k]) for k in range(60)) >= 57

@@ -2,11 +2,12 @@
 
 Two first-order Markov models of characters are compared on every long token:
 one of random strings, trained on the values the fixed patterns find in the
-corpus, and one of ordinary identifiers, trained on all other words. Both are
-counted over all documents (a table of bounded size: pairs of characters), the
-random one with a uniform prior, so that a corpus without secrets has a model,
-too. A token is a secret if the mean log ratio per character exceeds a threshold
-and it mixes letters and digits.
+corpus, and one of ordinary identifiers, trained on the other words, except tokens
+that the models are to judge. Both are counted over all documents (a table of
+bounded size: pairs of characters); half of the random one is uniform, so that
+alphabets the patterns don't find, and a corpus without secrets, have a model, too.
+A token is a secret if the mean log ratio per character exceeds a threshold and it
+mixes letters and digits.
 """
 
 from __future__ import annotations
@@ -36,12 +37,19 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Mean log-likelihood ratio per character above which a token is a secret.
 THRESHOLD = 0.5
-#: Pseudo-counts per pair of characters.
-RANDOM_PRIOR, ORDINARY_PRIOR = 5.0, 0.5
+#: Pseudo-counts per pair of characters, and the uniform share of the random model.
+PRIOR, UNIFORM = 0.5, 0.5
 
 _MAY_ASSIGN = re.compile(rb"(?i)passw|secret|token|api_?key")
 _MAY_HEX = re.compile(rb"[0-9a-f]{24}")
 _MAY_TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{20}")
+_TOKEN_BYTES = re.compile(TOKEN.pattern.encode())
+_DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
+
+
+def _mixed(token: bytes) -> bool:
+    return bool(_DIGIT.search(token) and _LETTER.search(token))
+
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _SIZE = len(_LETTERS) + 1
@@ -84,11 +92,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for block in range(0, len(data), 1 << 20):
                 everything += pair_counts(data[block : block + (1 << 20)])
+            values = set()
             if spans := base_spans(data):
                 text = data.decode("utf-8", "surrogatepass")
-                for value in {text[s[3] : s[2]] for s in spans}:
-                    secret += pair_counts(value.encode())
-    for label, counts in enumerate((everything - secret, secret)):
+                values = {text[s[3] : s[2]].encode() for s in spans}
+                for value in values:
+                    secret += pair_counts(value)
+            if _MAY_TOKEN.search(data):
+                tokens = [t for t in _TOKEN_BYTES.findall(data) if _mixed(t)]
+                for token in tokens + [v for v in values if v not in tokens]:
+                    everything -= pair_counts(token)
+    for label, counts in enumerate((everything, secret)):
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(held), label, np.int32)), pa.array(held), pa.array(counts[held])],
@@ -100,11 +114,12 @@ class TokenModel:
     """Log ratios of the transition probabilities of random strings and identifiers."""
 
     def __init__(self, ordinary: np.ndarray, random: np.ndarray):
-        def logs(counts: np.ndarray, prior: float) -> np.ndarray:
-            smooth = np.maximum(counts, 0).reshape(_SIZE, _SIZE)[1:, 1:] + prior
-            return np.log(smooth / smooth.sum(axis=1, keepdims=True))
+        def shares(counts: np.ndarray) -> np.ndarray:
+            smooth = np.maximum(counts, 0).reshape(_SIZE, _SIZE)[1:, 1:] + PRIOR
+            return smooth / smooth.sum(axis=1, keepdims=True)
 
-        self.ratio = logs(random, RANDOM_PRIOR) - logs(ordinary, ORDINARY_PRIOR)
+        mixture = UNIFORM / (_SIZE - 1) + (1 - UNIFORM) * shares(random)
+        self.ratio = np.log(mixture) - np.log(shares(ordinary))
 
     def score(self, token: str) -> float:
         """Mean log ratio per transition; positive for what looks random."""
@@ -112,8 +127,7 @@ class TokenModel:
         return float(self.ratio[classes[:-1], classes[1:]].mean())
 
     def is_secret(self, token: str) -> bool:
-        mixed = re.search("[0-9]", token) and re.search("[A-Za-z]", token)
-        return bool(mixed) and self.score(token) > THRESHOLD
+        return _mixed(token.encode()) and self.score(token) > THRESHOLD
 
 
 def train(documents: DataFrame, text_column: str = "text") -> TokenModel:
