@@ -32,6 +32,8 @@ SAMPLE_ROWS = 8192
 #: Bound on the features a scorer has weights for.
 MOST_FEATURES = 512
 _BUCKET_BITS = 40
+#: Documents of the sample that must have a feature.
+_LEAST_SEEN = 5
 _BEGINNINGS = (4, 5, 6)
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -207,7 +209,7 @@ def _telling(samples: list[np.ndarray], target: np.ndarray, least_share: float,
     odds = np.log((yes + 0.5) / (all_yes + 1)) - np.log((no + 0.5) / (all_no + 1))
     spread = np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
     share = np.maximum(yes / max(all_yes, 1), no / max(all_no, 1))
-    often = (yes + no >= 5) & (share >= least_share) & (np.abs(odds) >= least_odds)
+    often = (yes + no >= _LEAST_SEEN) & (share >= least_share) & (np.abs(odds) >= least_odds)
     strength = np.where(often, np.abs(odds) / spread, 0)
     chosen = np.argsort(-strength, kind="stable")[:MOST_FEATURES]
     return np.sort(values[chosen[strength[chosen] > 3]])
@@ -300,11 +302,15 @@ def train(
         if digest not in seen:
             seen.add(digest)
             rows.append(k)
-    features = [np.asarray(sample.column("features")[k].values, dtype=np.int64).astype(np.uint64) for k in rows]
-    own_codes = sample.column("code").to_numpy()[rows] if rows else np.empty(0, np.int64)
-    annotated = [np.array([GOOD if v else BAD if v is not None else NONE for v in column], dtype=np.int64)[rows] if rows else np.empty(0, np.int64) for column in (sample.column("quality").to_pylist(), sample.column("toxic").to_pylist())]
     if not rows:
         return QualityModel(model, Scorer(np.empty(0, np.uint64), np.empty(0), 60.0), Scorer(np.empty(0, np.uint64), np.empty(0), -60.0))
+    features = _repeated(sample.column("features").combine_chunks(), rows)
+    own_codes = sample.column("code").to_numpy()[rows]
+    annotated = [
+        np.array([GOOD if v else BAD if v is not None else NONE for v in sample.column(name).to_pylist()], dtype=np.int64)[rows]
+        for name in ("quality", "toxic")
+    ]
+    del sample
     # Every document's ballot, and the annotator's vote beside it where there is one.
     heuristic = _ballots(own_codes, len(MEASURES))
     both = np.concatenate([heuristic, annotated[0][:, None]], axis=1)
@@ -317,6 +323,24 @@ def train(
     )
 
 
+def _repeated(lists: pa.ListArray, rows: list[int]) -> list[np.ndarray]:
+    """Each row's features, without most of those that fewer than ``_LEAST_SEEN`` rows have.
+
+    Features are counted in a table of fixed size, where some share a place; one that
+    enough rows have always stays.
+    """
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    places = np.int64((1 << 22) - 1)
+    counts = np.zeros(1 << 22, dtype=np.int32)
+    for k in rows:
+        counts[values[offsets[k] : offsets[k + 1]] & places] += 1  # a row counts once at a place
+    kept = []
+    for k in rows:
+        own = values[offsets[k] : offsets[k + 1]]
+        kept.append(own[counts[own & places] >= _LEAST_SEEN].astype(np.uint64))
+    return kept
+
+
 def _fit_toxic(features: list[np.ndarray], annotated: np.ndarray) -> Scorer:
     known = np.flatnonzero(annotated != NONE)
     yes = (annotated[known] == 1).astype(float)
