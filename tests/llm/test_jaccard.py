@@ -50,7 +50,7 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed, percent, settings", [(1, 80, {}), (2, 80, {"_REGION_ROWS": 1, "_SEEN": 2}), (3, 60, {"_GROWTH": 2, "_SEEN": 2, "FREQUENT_BOUND": 4})])
+@pytest.mark.parametrize("seed, percent, settings", [(1, 80, {}), (2, 80, {"_REGION_ROWS": 1}), (3, 60, {"_GROWTH": 2, "_SKETCH_BITS": 5, "_REGION_ROWS": 8}), (4, 90, {"_COUNTED": 50, "_FILTER_BITS": 8})])
 def test_against_all_pairs(spark, monkeypatch, seed, percent, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard_join, name, value)

@@ -17,6 +17,7 @@ Distance is 1 - |A ∩ B| / |A ∪ B|; texts within ``1 - threshold`` are linked
    eight times as many each round; texts whose distances to the region's pivot
    differ by more than ``1 - threshold`` can't be linked and aren't tested.
    A region is done when all its texts are in one component or have been pivots.
+   Links found in later rounds merge components at the end.
 
 No pair is left out: two texts of a region are either tested, excluded by one
 of the three bounds, or in one component already. Intersections are counted on
@@ -26,6 +27,7 @@ of the three bounds, or in one component already. Intersections are counted on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,12 @@ from tidemark.llm.components import components
 from tidemark.llm.staged import Staged
 from tidemark.llm.words import mixed, shingle_sets
 
-#: The shingles known as frequent: bounds a broadcast, and only orders pivots.
-FREQUENT_BOUND = 1 << 15
-#: Shingles of so many values are counted at a time; those in fewer than
-#: ``_SEEN`` texts among them aren't frequent.
-_COUNTED = 1 << 22
-_SEEN = 3
+#: Counters of one row of the frequency sketch, as a power of two. Its size is fixed
+#: (two rows of four bytes, 16 MB), and it only orders pivots.
+_SKETCH_BITS = 21
+_SKETCH_PART = 4096
+#: Shingles of so many values are counted at a time.
+_COUNTED = 1 << 21
 #: A region known to hold more texts than this is dealt to several tasks.
 _REGION_ROWS = 20_000
 #: Size of the bitmap that picks the texts whose sets are needed (4 MB, always).
@@ -50,9 +52,9 @@ _FILTER_BITS = 25
 #: How many times as many pivots each round of splitting takes.
 _GROWTH = 8
 
-_FACTS = "kind int, id long, high long, low long, n long"
+_FACTS = "kind int, id long, high long, low long, n long, counts binary"
 _REGION = "region long, deal int, id long, n int, place int"
-_MET = "region long, pivot long, pivot_n int, id long, n int, place int, near boolean"
+_MET = "region long, pivot long, id long, n int, place int, near boolean, several boolean"
 
 
 def least_overlap(n, percent: int):
@@ -60,49 +62,69 @@ def least_overlap(n, percent: int):
     return (n * percent + 99) // 100
 
 
-class _Frequent:
-    """Counts shingles of a task's texts, a bounded number of values at a time."""
+def _cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of each shingle, one in either row of the sketch."""
+    shift = np.uint64(64 - _SKETCH_BITS)
+    return (shingles >> shift).astype(np.int64), (mixed(~shingles) >> shift).astype(np.int64)
+
+
+class _Counts:
+    """Counts in how many texts of a task shingles stand; copies of a text count once."""
 
     def __init__(self):
+        self.rows = np.zeros((2, 1 << _SKETCH_BITS), dtype=np.int32)
         self._sets: list[np.ndarray] = []
         self._held = 0
         self._seen: set[bytes] = set()
 
-    def add(self, digest: bytes, own: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        if digest in self._seen:
-            return None
-        self._seen.add(digest)
-        self._sets.append(own)
-        self._held += len(own)
-        return self.counts() if self._held >= _COUNTED else None
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        values = np.concatenate(self._sets) if self._sets else np.empty(0, np.uint64)
-        values, counts = np.unique(values, return_counts=True)
+    def add(self, digest: bytes, own: np.ndarray) -> None:
+        if len(own) and digest not in self._seen:
+            self._seen.add(digest)
+            self._sets.append(own)
+            self._held += len(own)
+            if self._held >= _COUNTED:
+                self.flush()
+
+    def flush(self) -> None:
+        if self._sets:
+            for row, cells in zip(self.rows, _cells(np.concatenate(self._sets))):
+                row += np.bincount(cells, minlength=len(row)).astype(np.int32)
         self._sets, self._held, self._seen = [], 0, set()
-        often = counts >= _SEEN
-        return values[often], counts[often]
 
 
-def _facts(width: int):
-    """One row per text (fingerprint and set size), and the task's frequent shingles."""
+class _Frequencies:
+    """How many texts hold a shingle, estimated from the sketch.
+
+    The smaller of two counters is never below the true count. What other shingles add
+    to it is alike for all, so that the order by it puts shingles of many texts last.
+    """
+
+    def __init__(self, rows: np.ndarray):
+        self._rows = rows
+        mean = float(rows.mean())
+        self._noise = int(mean + 4 * mean**0.5) + 2
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        first, second = _cells(shingles)
+        return np.minimum(self._rows[0][first], self._rows[1][second])
 
-    def frequent_rows(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        nothing = pa.nulls(len(values), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(values), np.int32)), nothing, pa.array(values.view(np.int64)), nothing, pa.array(counts.astype(np.int64))],
-            names=["kind", "id", "high", "low", "n"],
-        )
+    def deals(self, counts: np.ndarray) -> np.ndarray:
+        """To how many tasks the texts of shingles with these estimates are dealt."""
+        return np.maximum(counts - self._noise, 0) // _REGION_ROWS + 1
+
+
+def _facts(width: int):
+    """One row per text (fingerprint and set size), and the task's counts of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = _Frequent()
+        counts, any_text = _Counts(), False
         for batch in batches:
             digests, sizes = [], []
             for _, digest, own in shingle_sets(batch.column(1), width):
                 digests.append(digest)
                 sizes.append(len(own))
-                if len(own) and (found := frequent.add(digest, own)):
-                    yield frequent_rows(*found)
+                counts.add(digest, own)
+            any_text = any_text or any(sizes)
             prints = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -111,20 +133,60 @@ def _facts(width: int):
                     pa.array(prints[:, 0]),
                     pa.array(prints[:, 1]),
                     pa.array(np.array(sizes, dtype=np.int64)),
+                    pa.nulls(len(sizes), pa.binary()),
+                ],
+                names=["kind", "id", "high", "low", "n", "counts"],
+            )
+        counts.flush()
+        if any_text:
+            parts = counts.rows.reshape(-1, min(_SKETCH_PART, counts.rows.shape[1]))
+            nothing = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.ones(len(parts), np.int32)),
+                    nothing,
+                    pa.array(np.arange(len(parts))),
+                    nothing,
+                    nothing,
+                    pa.array([p.tobytes() for p in parts], pa.binary()),
                 ],
-                names=["kind", "id", "high", "low", "n"],
+                names=["kind", "id", "high", "low", "n", "counts"],
             )
-        yield frequent_rows(*frequent.counts())
 
     return run
 
 
-def _regions(width: int, percent: int, frequent):
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counters of each part of the sketch that a task gets; parts are streamed."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(counts, dtype=np.int32)
+            sums[part] = sums[part] + own if part in sums else own.astype(np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(list(sums), pa.int64()),
+            pa.array([np.minimum(c, 2**31 - 1).astype(np.int32).tobytes() for c in sums.values()], pa.binary()),
+        ],
+        names=["part", "counts"],
+    )
+
+
+def _frequencies(facts: DataFrame) -> _Frequencies:
+    """The sketch of all texts: counters of the tasks added up, part by part."""
+    parts = facts.where("kind = 1").select(F.col("high").alias("part"), "counts").repartition("part")
+    found = parts.mapInArrow(_added_up, "part long, counts binary").toArrow()
+    rows = np.zeros((2, 1 << _SKETCH_BITS), dtype=np.int32)
+    flat = rows.reshape(-1, min(_SKETCH_PART, rows.shape[1]))
+    for part, counts in zip(found.column("part").to_pylist(), found.column("counts").to_pylist()):
+        flat[part] = np.frombuffer(counts, dtype=np.int32)
+    return _Frequencies(rows)
+
+
+def _regions(width: int, percent: int, frequencies):
     """The regions of every text: its first pivot's, and those of its window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = frequent.value
-        deals = counts // _REGION_ROWS + 1
         seen: set[bytes] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -135,15 +197,10 @@ def _regions(width: int, percent: int, frequent):
                 seen.add(digest)
                 n = len(own)
                 many = n - least_overlap(n, percent) + 1
-                dealt = np.ones(many, dtype=np.int64)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                    known = values[at] == own
-                    rank = np.where(known, counts[at], 0)
-                    order = np.argsort(rank, kind="stable")[:many]
-                    own = own[order]
-                    dealt = np.where(known[order], deals[at[order]], 1)
-                regions.append(own[:many].view(np.int64))
+                counts = frequencies.value.of(own)
+                order = np.argsort(counts, kind="stable")[:many]
+                own, dealt = own[order], frequencies.value.deals(counts[order])
+                regions.append(own.view(np.int64))
                 mine = xxhash.xxh3_64_intdigest(str(ids[row])) & 0x7FFFFFFF
                 deal.append(np.where(dealt > 1, 1 + mine % dealt, 0).astype(np.int32))
                 texts.append(np.full(many, ids[row], dtype=np.int64))
@@ -165,8 +222,10 @@ def _regions(width: int, percent: int, frequent):
 def _meetings(percent: int):
     """Each text of a region of two or more, beside the region's most central text.
 
-    Rows come sorted by region, deal, place; a region can span batches. The pivot
-    has a row of its own where the region was dealt to several tasks.
+    ``near`` tells if size and position allow a link of the two, ``several`` if the
+    region has more texts, which may be linked with each other. Rows come sorted by
+    region, deal, place; a region can span batches. The pivot has a row of its own where
+    the region was dealt to several tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,18 +248,24 @@ def _meetings(percent: int):
             n, pivot_n = n.astype(np.int64), pivot_n.astype(np.int64)
             most = np.minimum(n - place, pivot_n - pivot_place)
             near = ~first & (100 * most >= percent * (n + pivot_n - most))
-            keep = ~first | (deal > 0)
+            # Several others in the region; at a batch's ends that isn't known and supposed.
+            follows = np.ones(size, dtype=bool)
+            follows[:-1] = ~first[1:]
+            another = ~first
+            another[1:] &= ~first[:-1]
+            several = (~first & (follows | another)) | (deal > 0)
+            keep = near | several
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(region[keep]),
                     pa.array(pivot[keep].astype(np.int64)),
-                    pa.array(pivot_n[keep].astype(np.int32)),
                     pa.array(ids[keep]),
                     pa.array(n[keep].astype(np.int32)),
                     pa.array(place[keep]),
                     pa.array(near[keep]),
+                    pa.array(several[keep]),
                 ],
-                names=["region", "pivot", "pivot_n", "id", "n", "place", "near"],
+                names=["region", "pivot", "id", "n", "place", "near", "several"],
             )
 
     return run
@@ -226,17 +291,14 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _sets(width: int, wanted, but):
-    """Shingles of the texts whose id passes ``wanted`` and not ``but``."""
+def _sets(width: int, wanted):
+    """Shingles of the texts whose id passes the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             word, bit = _bit(batch.column(0).to_numpy())
-            mine = (wanted.value[word] & bit) != 0
-            if but is not None:
-                mine &= (but.value[word] & bit) == 0
-            batch = batch.filter(pa.array(mine))
+            batch = batch.filter(pa.array((wanted.value[word] & bit) != 0))
             held: list[np.ndarray] = []
             first = 0
             for row, _, own in shingle_sets(batch.column(1), width):
@@ -259,9 +321,12 @@ def _linked(inter, n, m, percent: int):
 
 
 def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs(a, b)`` with the exact distance and whether they are linked."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
+    """``pairs(a, b)`` with the exact distance and whether they are linked.
+
+    Merge joins at every size: both sides grow with the texts.
+    """
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")).hint("merge")
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")).hint("merge")
     both = pairs.join(left, "a").join(right, "b")
     shared = both.select(
         "a",
@@ -315,42 +380,43 @@ def jaccard_classes(
     copies = points.join(copied, ["high", "low"]).where("id <> a").select("a", F.col("id").alias("b"))
 
     share = spark.sparkContext.broadcast
-    frequent = share(_frequent(facts))
+    frequencies = share(_frequencies(facts))
     met = staged.put(
         "met",
-        texts.mapInArrow(_regions(width, percent, frequent), _REGION)
+        texts.mapInArrow(_regions(width, percent, frequencies), _REGION)
         .repartition("region", "deal")
         .sortWithinPartitions("region", "deal", "place", "n", "id")
         .mapInArrow(_meetings(percent), _MET),
     )
     staged.release()
 
-    def sets_of(name: str, ids: DataFrame, but=None):
-        wanted = share(_id_filter(ids))
-        found = texts.mapInArrow(_sets(width, wanted, but), "id long, shingles array<long>")
-        return staged.put(name, found), wanted
+    def tested_pairs(pairs: DataFrame) -> DataFrame:
+        """Pairs with distances; sets are made anew from the texts of these pairs only."""
+        pairs = staged.put("pairs", pairs)
+        wanted = share(_id_filter(pairs.select("a").union(pairs.select("b")).distinct()))
+        found = texts.mapInArrow(_sets(width, wanted), "id long, shingles array<long>")
+        return _tested(pairs, staged.put("sets", found), percent)
 
     pairs = met.where("near and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    sets, had = sets_of("sets-0", pairs.select("a").union(pairs.select("b")))
-    tested = staged.put("tested", _tested(pairs, sets, percent))
+    tested = staged.put("tested", tested_pairs(pairs))
     links = staged.put("links-0", copies.union(tested.where("linked").select("a", "b")))
     classes = staged.put("classes-0", components(links, staged))
     staged.release()
 
     open_texts = _open(met, tested, classes, staged)
-    if open_texts is not None:
-        sets = sets.union(sets_of("sets-1", open_texts.select("id").distinct(), had)[0])
+    staged.drop("met", "met-classes", "tested")
     step, pivots = 0, 1
     while open_texts is not None:
         step, pivots = step + 1, pivots * _GROWTH
-        pairs = _split(open_texts, pivots, percent).distinct()
-        found = _tested(pairs, sets, percent).where("linked")
-        links = staged.put(f"links-{step}", _contracted(found, classes))
-        merged = components(links, staged)
-        classes = staged.put(f"classes-{step}", _relabelled(classes, merged))
-        open_texts = _still_open(open_texts, pivots, merged, staged, step)
+        found = tested_pairs(_split(open_texts, pivots, percent).distinct()).where("linked")
+        staged.put(f"links-{step}", _contracted(found, classes))
+        open_texts = _still_open(open_texts, pivots, staged)
         staged.release()
-    staged.drop("met", "sets-0", "sets-1", "tested", "edges", "links-0", "open", "copied")
+    if step:
+        later = [staged.read(f"links-{k}") for k in range(1, step + 1)]
+        merged = components(reduce(DataFrame.union, later), staged)
+        classes = staged.put("classes-1", _relabelled(classes, merged))
+    staged.drop("pairs", "sets", "edges", "links-0", "open", "copied")
 
     labelled = classes.groupBy("node").agg(F.min("component").alias("component"))
     return members.join(labelled, F.col("id") == F.col("node"), "left").select(
@@ -360,22 +426,6 @@ def jaccard_classes(
     )
 
 
-def _frequent(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, at most ``FREQUENT_BOUND``, and their counts."""
-    top = (
-        facts.where("kind = 1")
-        .groupBy("high")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "high")
-        .limit(FREQUENT_BOUND)
-        .toPandas()
-    )
-    values = top["high"].to_numpy(dtype=np.int64).view(np.uint64)
-    counts = top["n"].to_numpy(dtype=np.int64)
-    order = np.argsort(values)
-    return values[order], counts[order]
-
-
 def _contracted(found: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between components in the place of links between texts."""
     for name in ("a", "b"):
@@ -397,20 +447,18 @@ def _open_only(rows: DataFrame) -> DataFrame:
     return rows.join(undone.select("region"), "region", "left_semi")
 
 
-def _kept(rows: DataFrame, staged: Staged, step: int) -> DataFrame | None:
-    rows = staged.put("open", _open_only(rows))
+def _kept(rows: DataFrame, staged: Staged) -> DataFrame | None:
+    rows = staged.put("open", rows)
     return None if rows.isEmpty() else rows
 
 
 def _open(met: DataFrame, tested: DataFrame, classes: DataFrame, staged: Staged) -> DataFrame | None:
     """Texts, but pivots, of regions that the first pivot left in several components."""
-    several = met.groupBy("region").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("region")
-    rows = met.join(several, "region", "left_semi").dropDuplicates(["region", "id"])
+    own = classes.select(F.col("node").alias("id"), "component")
+    rows = met.where("several").select("region", "pivot", "id", "n", "place").join(own, "id", "left")
+    rows = staged.put("met-classes", rows.withColumn("component", F.coalesce("component", "id")))
     far = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance")
-    rows = rows.join(far, ["pivot", "id"], "left")
-    own = classes.select(F.col("node").alias("id"), "component").dropDuplicates(["id"])
-    rows = rows.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return _kept(rows.select("region", "pivot", "id", "n", "place", "distance", "component"), staged, 0)
+    return _kept(_open_only(rows).join(far, ["pivot", "id"], "left"), staged)
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -435,8 +483,5 @@ def _split(rows: DataFrame, pivots: int, percent: int) -> DataFrame:
     )
 
 
-def _still_open(rows: DataFrame, pivots: int, merged: DataFrame, staged: Staged, step: int) -> DataFrame | None:
-    rest = _ranked(rows).where(F.col("rank") > pivots).drop("rank")
-    renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
-    rest = rest.join(renamed, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
-    return _kept(rest, staged, step)
+def _still_open(rows: DataFrame, pivots: int, staged: Staged) -> DataFrame | None:
+    return _kept(_open_only(_ranked(rows).where(F.col("rank") > pivots).drop("rank")), staged)

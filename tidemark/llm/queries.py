@@ -112,9 +112,7 @@ _CONTROL = "<|im_end|><|im_start|>assistant ok"
 )
 def op3_chat_format(spark, folder):
     turns = canonical_turns(_table(spark, folder, "conversations"))
-    probe = turns.limit(0).union(
-        spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], turns.schema)
-    )
+    probe = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], turns.schema)
     return read_back(format_turns(turns.unionByName(probe)))
 
 

@@ -45,6 +45,10 @@ class Staged:
         self._paths[name] = path
         return self._spark.read.schema(frame.schema).parquet(path)
 
+    def read(self, name: str) -> DataFrame:
+        """A table that was put."""
+        return self._spark.read.parquet(self._paths[name])
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self._paths.pop(name, None)
