@@ -41,7 +41,7 @@ def test_batch_and_collect(spark, trips, tmp_path, capsys):
 
 def test_replay_then_stream(spark, trips, tmp_path, capsys):
     main(
-        ["replay", "--input", trips, "--output", f"{tmp_path}/sent", "--order", "trip", "--rate", "0",
+        ["replay", "--input", trips, "--output", f"{tmp_path}/sent", "--order", "trip", "--rate", "0", "--duration", "0",
          "--index", f"{tmp_path}/index", "--checkpoint", f"{tmp_path}/cp1"]
     )
     (sent,), _ = metrics_of(capsys)
@@ -66,7 +66,7 @@ def test_from_jobs_to_report(spark, trips, tmp_path, capsys):
     (logs / "batch").mkdir(parents=True)
     (logs / "batch" / "job.log").write_text(capsys.readouterr().out)
     main(
-        ["replay", "--input", trips, "--output", f"{tmp_path}/sent", "--order", "trip", "--rate", "0",
+        ["replay", "--input", trips, "--output", f"{tmp_path}/sent", "--order", "trip", "--rate", "0", "--duration", "0",
          "--index", f"{tmp_path}/index", "--checkpoint", f"{tmp_path}/cp1", "--run-id", "SL1_r1", "--scenario", "SL1"]
     )
     (logs / "producer").mkdir()

@@ -18,7 +18,7 @@ from tidemark.streaming.microbatch import (
     zone_averages_writer,
     zones_schema,
 )
-from tidemark.streaming.progress import one_row_per_batch, progress_rows
+from tidemark.streaming.progress import RAW_PROGRESS, one_row_per_batch, progress_rows
 from tidemark.streaming.replay import (
     Replay,
     event_lines,
@@ -29,7 +29,8 @@ from tidemark.streaming.replay import (
     stamp,
     text_sink,
 )
-from tidemark.streaming.run import StreamRun, run_zone_averages
+from tidemark.streaming import run as stream_runs
+from tidemark.streaming.run import StreamRun, run_zone_averages, stream_summary
 
 NOW = 1_700_000_000
 
@@ -193,7 +194,27 @@ def test_empty_stream(spark):
         stream, "event_type", "value", StreamRun("r3", "s"), staging_path(spark, "o"), staging_path(spark, "c")
     )
     assert result.zones(spark).count() == 0
-    assert result.summary.count() == 0 or result.summary.first()["total_input_rows"] == 0
+    assert result.summary.first()["total_input_rows"] == 0
+
+
+def test_a_run_without_batches_has_a_row_of_zeros(spark):
+    progress = progress_rows(spark.createDataFrame([], RAW_PROGRESS)).drop("seq")
+    row = stream_summary(progress, StreamRun("r", "s", workers=2), 3.0).first()
+    assert (row["run_id"], row["workers"], row["total_input_rows"], row["micro_batch_count"]) == ("r", 2, 0, 0)
+    assert row["avg_input_rows_per_sec"] == row["throughput_rows_per_sec"] == 0.0
+
+
+def test_a_late_listener_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(stream_runs, "_LISTENER_SECONDS", 0.2)
+    monkeypatch.setattr(stream_runs.ProgressRecorder, "onQueryTerminated", lambda self, event: None)
+    lines = staging_path(spark, "late")
+    spark.createDataFrame([(trip(),)], "value string").write.text(lines)
+    events = with_latency(parse_events(text_stream(spark, lines)))
+    with pytest.raises(TimeoutError, match="no end of run"):
+        run_zone_averages(
+            events, "PULocationID", "fare_amount", StreamRun("late", "s"),
+            staging_path(spark, "late-out"), staging_path(spark, "late-cp"),
+        )
 
 
 def test_parquet_stream(spark, folder):
@@ -285,7 +306,7 @@ def test_replay_at_a_rate(spark, replayed):
     sent = parse_events(
         spark.read.text(f"{path}/batch_id=*"), {"k": "bigint", "event_time_ms": "bigint"}
     ).orderBy("event_time_ms").collect()
-    assert metrics["events_sent"] > 0 and len(sent) >= metrics["events_sent"]
+    assert metrics["events_sent"] > 0 and len(sent) == metrics["events_sent"]
     assert metrics["achieved_rate_eps"] <= 41
     counts = {}
     for row in sent:
@@ -293,10 +314,20 @@ def test_replay_at_a_rate(spark, replayed):
     assert max(counts.values()) - min(counts.values()) <= 1
 
 
-def test_replay_without_a_rate_sends_the_table_once(spark, replayed):
+@pytest.mark.parametrize("seconds, cycles", [(0, 1), (4, 2)])
+def test_replay_without_a_rate_cycles_until_the_end(spark, replayed, seconds, cycles):
+    indexed, rows = replayed
+    path = staging_path(spark, "sent")
+    replay = Replay("r", "s", "t", "p", rate=0, duration_sec=seconds)
+    metrics = run_replay(spark, indexed, rows, replay, text_sink(path), staging_path(spark, "cp")).first()
+    assert metrics["events_sent"] % 5 == 0 and metrics["events_sent"] >= 5 * cycles
+    assert spark.read.text(path).count() == metrics["events_sent"]
+
+
+def test_replay_at_a_broken_rate(spark, replayed):
     indexed, rows = replayed
     path = staging_path(spark, "sent")
-    replay = Replay("r", "s", "t", "p", rate=0, duration_sec=5)
+    replay = Replay("r", "s", "t", "p", rate=1.5, duration_sec=9)
     metrics = run_replay(spark, indexed, rows, replay, text_sink(path), staging_path(spark, "cp")).first()
-    assert metrics["events_sent"] == 5
-    assert spark.read.text(path).count() == 5
+    assert spark.read.text(path).count() == metrics["events_sent"]
+    assert 0 < metrics["achieved_rate_eps"] <= 1.6

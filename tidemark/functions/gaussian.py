@@ -2,8 +2,9 @@
 
 Spark has neither the distribution function nor its inverse, so both are
 written as rational approximations that stay inside generated code. The
-quantile is Wichura's AS 241 (1988); the tail is Hart's (1968) approximation.
-Both are good to about 1e-15 relative.
+quantile is Wichura's AS 241 (1988), good to about 1e-15 relative; the tail is
+Hart's (1968) approximation, good to about 1e-8 relative (its worst is at 7 to 9
+deviations, where the tail itself is below 1e-11).
 """
 
 from __future__ import annotations

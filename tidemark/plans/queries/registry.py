@@ -20,7 +20,8 @@ class Registered:
 REGISTRY: dict[str, Registered] = {}
 
 # Two engines add doubles in different orders. A decimal step absorbs the last
-# bits before the rounding proper, so that a tie falls the same way in both.
+# bits before the rounding proper, so that a tie falls the same way in both. It
+# holds values below 1e19; larger ones raise, here and in SQL.
 _EXACT = "decimal(28, 9)"
 
 

@@ -8,9 +8,11 @@ index it needs.
 from __future__ import annotations
 
 import math
+import threading
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -123,10 +125,16 @@ def run_replay(
     """Send events for the given time and return the producer's metrics row.
 
     With a rate, every micro-batch of a rate stream sends the events that fell
-    due. Without one the table is sent once, as fast as it goes.
+    due. Spark's source counts whole numbers a second; of ``n`` counted at the next
+    whole rate ``w``, ``floor(n * rate / w)`` events are due. Without a rate the table
+    is sent again and again, as fast as it goes, until the time is over; once at least.
+    The end never cuts a micro-batch: what was sent is what is counted.
     """
     started = time.monotonic()
     sent: dict[int, int] = {}
+    sending, over = threading.Lock(), threading.Event()
+    whole = math.ceil(replay.rate)
+    share = Fraction(str(replay.rate)) / whole if whole > 0 else Fraction(1)
 
     def send_due(due: DataFrame, batch_id: int) -> None:
         span = due.agg(
@@ -136,24 +144,34 @@ def run_replay(
         ).first()
         if span["first"] is None:
             return
-        count = span["last"] - span["first"] + 1
-        events = replay_slice(indexed, rows, span["first"], count)
-        sink(event_lines(stamp(events, span["first"], span["start_ms"], replay.rate)), batch_id)
-        sent[batch_id] = count
+        first = math.floor(span["first"] * share)
+        count = math.floor((span["last"] + 1) * share) - first
+        if not count:
+            return
+        with sending:
+            if over.is_set():
+                raise TimeoutError("the replay's time is over")
+            events = replay_slice(indexed, rows, first, count)
+            sink(event_lines(stamp(events, first, span["start_ms"], replay.rate)), batch_id)
+            sent[batch_id] = count
 
     if replay.rate > 0:
         query = (
-            rate_stream(spark, math.ceil(replay.rate))
+            rate_stream(spark, whole)
             .writeStream.foreachBatch(send_due)
             .option("checkpointLocation", checkpoint)
             .start()
         )
         query.awaitTermination(replay.duration_sec)
+        with sending:
+            over.set()
         query.stop()
     else:
-        now = int(time.time() * 1000)
-        sink(event_lines(stamp(replay_slice(indexed, rows, 0, rows), 0, now, 0)), 0)
-        sent[0] = rows
+        while rows and (not sent or time.monotonic() - started < replay.duration_sec):
+            cycle, now = len(sent), int(time.time() * 1000)
+            events = replay_slice(indexed, rows, cycle * rows, rows)
+            sink(event_lines(stamp(events, cycle * rows, now, 0)), cycle)
+            sent[cycle] = rows
     elapsed = time.monotonic() - started
     total = sum(sent.values())
     achieved = total / elapsed if elapsed > 0 else 0.0
