@@ -62,17 +62,18 @@ def least_overlap(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def _cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The counters of each shingle, one in either row of the sketch."""
-    shift = np.uint64(64 - _SKETCH_BITS)
+def _cells(shingles: np.ndarray, size: int = 1 << _SKETCH_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of each shingle, one in either row of a sketch of ``size``, a power of two."""
+    shift = np.uint64(65 - size.bit_length())
     return (shingles >> shift).astype(np.int64), (mixed(~shingles) >> shift).astype(np.int64)
 
 
 class _Counts:
     """Counts in how many texts of a task shingles stand; copies of a text count once."""
 
-    def __init__(self):
-        self.rows = np.zeros((2, 1 << _SKETCH_BITS), dtype=np.int32)
+    def __init__(self, bits: int = _SKETCH_BITS, counted: int = _COUNTED):
+        self.rows = np.zeros((2, 1 << bits), dtype=np.int32)
+        self._counted = counted
         self._sets: list[np.ndarray] = []
         self._held = 0
         self._seen: set[bytes] = set()
@@ -82,12 +83,12 @@ class _Counts:
             self._seen.add(digest)
             self._sets.append(own)
             self._held += len(own)
-            if self._held >= _COUNTED:
+            if self._held >= self._counted:
                 self.flush()
 
     def flush(self) -> None:
         if self._sets:
-            for row, cells in zip(self.rows, _cells(np.concatenate(self._sets))):
+            for row, cells in zip(self.rows, _cells(np.concatenate(self._sets), self.rows.shape[1])):
                 row += np.bincount(cells, minlength=len(row)).astype(np.int32)
         self._sets, self._held, self._seen = [], 0, set()
 
@@ -99,25 +100,30 @@ class _Frequencies:
     to it is alike for all, so that the order by it puts shingles of many texts last.
     """
 
+    region_rows = _REGION_ROWS
+
     def __init__(self, rows: np.ndarray):
         self._rows = rows
+        self.region_rows = _REGION_ROWS
         mean = float(rows.mean())
         self._noise = int(mean + 4 * mean**0.5) + 2
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
-        first, second = _cells(shingles)
+        first, second = _cells(shingles, self._rows.shape[1])
         return np.minimum(self._rows[0][first], self._rows[1][second])
 
     def deals(self, counts: np.ndarray) -> np.ndarray:
         """To how many tasks the texts of shingles with these estimates are dealt."""
-        return np.maximum(counts - self._noise, 0) // _REGION_ROWS + 1
+        return np.maximum(counts - self._noise, 0) // self.region_rows + 1
 
 
 def _facts(width: int):
     """One row per text (fingerprint and set size), and the task's counts of shingles."""
 
+    settings = _SKETCH_BITS, _COUNTED
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_text = _Counts(), False
+        counts, any_text = _Counts(*settings), False
         for batch in batches:
             digests, sizes = [], []
             for _, digest, own in shingle_sets(batch.column(1), width):
@@ -271,20 +277,23 @@ def _meetings(percent: int):
     return run
 
 
-def _bit(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = mixed(ids.view(np.uint64)) >> np.uint64(64 - _FILTER_BITS)
+def _bit(ids: np.ndarray, bits: int = _FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
+    place = mixed(ids.view(np.uint64)) >> np.uint64(64 - bits)
     return (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63))
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        word, bits = _bit(batch.column(0).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+def _marked(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, own = _bit(batch.column(0).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(own.view(np.int64))], names=["word", "bits"])
+
+    return run
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size with the hashed ids; wrong positives only cost room."""
-    marked = ids.mapInArrow(_marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    marked = ids.mapInArrow(_marked(_FILTER_BITS), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     found = marked.toArrow()
     bitmap = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
     bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
@@ -293,11 +302,12 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
 
 def _sets(width: int, wanted):
     """Shingles of the texts whose id passes the bitmap."""
+    bits = _FILTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            word, bit = _bit(batch.column(0).to_numpy())
+            word, bit = _bit(batch.column(0).to_numpy(), bits)
             batch = batch.filter(pa.array((wanted.value[word] & bit) != 0))
             held: list[np.ndarray] = []
             first = 0
@@ -371,7 +381,7 @@ def jaccard_classes(
     texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
 
     facts = staged.put("facts", texts.mapInArrow(_facts(width), _FACTS))
-    members = facts.where("kind = 0").select("id", "high", "low", "n")
+    members = staged.put("members", facts.where("kind = 0").select("id", "high", "low", "n"))
     points = members.where("n > 0 and id is not null")
     copied = staged.put(
         "copied",
@@ -381,6 +391,8 @@ def jaccard_classes(
 
     share = spark.sparkContext.broadcast
     frequencies = share(_frequencies(facts))
+    staged.drop("facts")
+    staged.release()
     met = staged.put(
         "met",
         texts.mapInArrow(_regions(width, percent, frequencies), _REGION)
@@ -388,6 +400,7 @@ def jaccard_classes(
         .sortWithinPartitions("region", "deal", "place", "n", "id")
         .mapInArrow(_meetings(percent), _MET),
     )
+    frequencies.destroy()
     staged.release()
 
     def tested_pairs(pairs: DataFrame) -> DataFrame:
@@ -395,10 +408,14 @@ def jaccard_classes(
         pairs = staged.put("pairs", pairs)
         wanted = share(_id_filter(pairs.select("a").union(pairs.select("b")).distinct()))
         found = texts.mapInArrow(_sets(width, wanted), "id long, shingles array<long>")
-        return _tested(pairs, staged.put("sets", found), percent)
+        sets = staged.put("sets", found)
+        wanted.destroy()
+        return _tested(pairs, sets, percent)
 
     pairs = met.where("near and pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     tested = staged.put("tested", tested_pairs(pairs))
+    staged.drop("pairs", "sets")
+    staged.release()
     links = staged.put("links-0", copies.union(tested.where("linked").select("a", "b")))
     classes = staged.put("classes-0", components(links, staged))
     staged.release()
@@ -410,6 +427,7 @@ def jaccard_classes(
         step, pivots = step + 1, pivots * _GROWTH
         found = tested_pairs(_split(open_texts, pivots, percent).distinct()).where("linked")
         staged.put(f"links-{step}", _contracted(found, classes))
+        staged.drop("pairs", "sets")
         open_texts = _still_open(open_texts, pivots, staged)
         staged.release()
     if step:
