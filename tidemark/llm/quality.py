@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.staged import struct
+from tidemark.llm.staged import Staged, struct
 from tidemark.llm.words import PLAIN_WORDS, mixed, sequence_digest, text_chunks, word_hashes, word_spans
 
 #: Bound on the annotated documents the scorers are fitted on.
@@ -34,6 +34,7 @@ MOST_FEATURES = 512
 _BUCKET_BITS = 40
 #: Documents of the sample that must have a feature.
 _LEAST_SEEN = 5
+_PLACE_BITS = 22
 _BEGINNINGS = (4, 5, 6)
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -262,6 +263,49 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _placed_features(doubtful: frozenset[int]):
+    """How many documents, toxic ones and bad ones have a feature, in a table of fixed size.
+
+    Features may share a place, so that a telling one may take others along. A
+    document counts once at a place, and once at place -1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((3, 1 << _PLACE_BITS), dtype=np.int32)
+        documents = np.zeros(3, dtype=np.int64)
+        for batch in batches:
+            columns = (batch.column(k).to_pylist() for k in (1, 3, 4))
+            for own, code, quality, toxic in zip(batch.column(2), *columns):
+                places = np.asarray(own.values, dtype=np.int64) & ((1 << _PLACE_BITS) - 1)
+                bad = quality == 0 if quality is not None else code in doubtful
+                for row, counts_it in enumerate((True, bool(toxic), bad)):
+                    if counts_it:
+                        counts[row, places] += 1
+                        documents[row] += 1
+        held = np.flatnonzero(counts[0])
+        sums = np.concatenate([documents[:, None], counts[:, held]], axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([[-1], held])), *map(pa.array, sums)], names=["place", "n", "toxic", "bad"]
+        )
+
+    return run
+
+
+def _common_features(common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = common.value
+        for batch in batches:
+            kept = []
+            for own in batch.column(2):
+                values = np.asarray(own.values, dtype=np.int64)
+                kept.append(values[table[values & (len(table) - 1)]])
+            columns = list(batch.columns)
+            columns[2] = pa.array(kept, type=columns[2].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return run
+
+
 @dataclass
 class QualityModel:
     labels: LabelModel
@@ -291,12 +335,34 @@ def train(
         .orderBy(F.xxhash64("id"), "id", "quality", "toxic")
         .limit(sample_rows)
     )
-    sample = (
+    staged = Staged(documents.sparkSession, "quality")
+    found = staged.put(
+        "sample",
         texts.join(F.broadcast(marked), "id")
         .select("text", "quality", "toxic")
-        .mapInArrow(_sampled, "digest binary, code long, features array<long>, quality int, toxic int")
-        .toArrow()
+        .mapInArrow(_sampled, "digest binary, code long, features array<long>, quality int, toxic int"),
     )
+    doubtful = codes[model.posterior(_ballots(codes, len(MEASURES))) < 0.5]
+    counted = (
+        found.mapInArrow(_placed_features(frozenset(doubtful.tolist())), "place long, n long, toxic long, bad long")
+        .groupBy("place")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "bad")])
+    )
+    # Place -1 counts the documents themselves.
+    counted = staged.put("places", counted)
+    totals = counted.where("place = -1").first()
+    common = np.zeros(1 << _PLACE_BITS, dtype=bool)
+    for name, least_odds in (("toxic", 3.0), ("bad", 0.3)):
+        own, total = F.col(name), totals[name] if totals else 0
+        rest, others = F.col("n") - own, (totals["n"] if totals else 0) - total
+        odds = F.log((own + 0.5) / (total + 1)) - F.log((rest + 0.5) / (others + 1))
+        strength = F.abs(odds) / F.sqrt(1 / (own + 0.5) + 1 / (rest + 0.5))
+        told = counted.where((F.col("place") >= 0) & (F.col("n") >= _LEAST_SEEN) & (F.abs(odds) >= least_odds))
+        best = told.orderBy(strength.desc(), "place").limit(4 * MOST_FEATURES).select("place").toArrow()
+        common[best.column("place").to_numpy()] = True
+    shared = documents.sparkSession.sparkContext.broadcast(common)
+    sample = found.mapInArrow(_common_features(shared), found.schema).toArrow()
+    staged.drop("sample", "places")
     rows, seen = [], set()
     for k, digest in enumerate(sample.column("digest").to_pylist()):
         if digest not in seen:
@@ -304,7 +370,7 @@ def train(
             rows.append(k)
     if not rows:
         return QualityModel(model, Scorer(np.empty(0, np.uint64), np.empty(0), 60.0), Scorer(np.empty(0, np.uint64), np.empty(0), -60.0))
-    features = _repeated(sample.column("features").combine_chunks(), rows)
+    features = [np.asarray(sample.column("features")[k].values, dtype=np.int64).astype(np.uint64) for k in rows]
     own_codes = sample.column("code").to_numpy()[rows]
     annotated = [
         np.array([GOOD if v else BAD if v is not None else NONE for v in sample.column(name).to_pylist()], dtype=np.int64)[rows]
@@ -323,24 +389,6 @@ def train(
     )
 
 
-def _repeated(lists: pa.ListArray, rows: list[int]) -> list[np.ndarray]:
-    """Each row's features, without most of those that fewer than ``_LEAST_SEEN`` rows have.
-
-    Features are counted in a table of fixed size, where some share a place; one that
-    enough rows have always stays.
-    """
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    places = np.int64((1 << 22) - 1)
-    counts = np.zeros(1 << 22, dtype=np.int32)
-    for k in rows:
-        counts[values[offsets[k] : offsets[k + 1]] & places] += 1  # a row counts once at a place
-    kept = []
-    for k in rows:
-        own = values[offsets[k] : offsets[k + 1]]
-        kept.append(own[counts[own & places] >= _LEAST_SEEN].astype(np.uint64))
-    return kept
-
-
 def _fit_toxic(features: list[np.ndarray], annotated: np.ndarray) -> Scorer:
     known = np.flatnonzero(annotated != NONE)
     yes = (annotated[known] == 1).astype(float)
