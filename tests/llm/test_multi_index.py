@@ -52,6 +52,33 @@ def test_recall(spark, folder):
     assert recall(vectors, found) >= 0.9
 
 
+def with_hot_cluster(spark, folder, share, seed):
+    """The vectors, and nearly equal ones that make up ``share`` of all rows."""
+    plain = spark.read.parquet(f"{folder.replace('sf0.01', 'sf0.1')}/embeddings.parquet").orderBy("vec_id").toPandas()
+    points, rng = np.stack(plain["embedding"]), np.random.default_rng(seed)
+    centre = points[rng.integers(len(points))]
+    noise = rng.normal(size=(int(len(points) * share / (1 - share)), points.shape[1])) * 0.01 / points.shape[1] ** 0.5
+    points = rng.permutation(np.vstack([points, centre + noise]))
+    return spark.createDataFrame([(i, p.tolist(), 0) for i, p in enumerate(points)], SCHEMA).repartition(4)
+
+
+@pytest.mark.parametrize("share, seed", [(1 / 3, 1), (1 / 3, 2), (0.5, 1)])
+def test_recall_beside_a_hot_cluster(spark, folder, share, seed):
+    vectors = with_hot_cluster(spark, folder, share, seed).persist()
+    found = search(vectors, vectors.where("vec_id % 20 = 0")).persist()
+    reached = recall(vectors, found, queries=200)
+    print(f"recall {reached:.4f} where {share:.2f} of all rows are one cluster, seed {seed}")
+    assert reached >= 0.93
+
+
+def test_recall_counts_what_is_missing(spark):
+    rows = [(i, [1.0, float(i)], 0) for i in range(30)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = search(table, table.where("vec_id = 0"), share=1.0)
+    assert recall(table, found) == 1.0
+    assert recall(table, found.where("rank <= 5")) == 0.25
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -7,9 +7,12 @@ negative inner products of the halves) until their cells hold a given share of
 all rows; these rows are ranked by the inner product of the vectors themselves.
 
 Equal vectors are one entry with the smallest ids it can need, so that a vector
-that a third of all rows repeat is no hot cell. Entries of neighbouring cells
-make blocks of bounded size; a query's block is one task's small matrix product.
-Codebooks are fitted on a bounded sample, every row is indexed.
+that a third of all rows repeat is no hot cell. Vectors that are nearly equal keep
+an entry each, but neither draw centroids nor use up the share: codebooks are
+fitted on a bounded sample of which one vector of each such group stays, and a
+cell counts at most as twice the median cell. All entries of a visited cell are
+ranked, every row is indexed. Entries of neighbouring cells make blocks of bounded
+size; a query's block is one task's small matrix product.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ CODES = 64
 #: Share of the rows that a query's cells hold together. High, since without
 #: structure in the data cells are a weak guide; see ``recall``.
 SHARE = 0.5
+#: Vectors of the sample nearer to each other than this part of a usual distance are
+#: nearly equal, and a cell counts as so many times the median cell at most.
+_NEARLY = 0.25
+_CELL_WEIGHT = 2
 #: First-half codes in a block, entries and queries that meet in one task.
 _BLOCK_CODES = 8
 _BLOCK_ROWS = 16_384
@@ -64,6 +71,24 @@ def _coded(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(1) - 2 * points @ centres.T).argmin(1)
 
 
+def _thinned(points: np.ndarray) -> np.ndarray:
+    """``points`` without those nearly equal to an earlier one that stays.
+
+    A usual distance is the upper quartile over random pairs: most pairs are of
+    different groups even if one group holds half of the points.
+    """
+    one, two = np.random.default_rng(7).integers(0, len(points), (2, 4096))
+    edge = _NEARLY**2 * np.quantile(((points[one] - points[two]) ** 2).sum(1), 0.75)
+    norms = (points**2).sum(1)
+    kept = np.ones(len(points), dtype=bool)
+    for at in range(0, len(points), 512):
+        near = norms[at : at + 512, None] + norms[at:] - 2 * points[at : at + 512] @ points[at:].T < edge
+        for k, own in enumerate(near):
+            if kept[at + k]:
+                kept[at + k + 1 :] &= ~own[k + 1 :]
+    return points[kept]
+
+
 def fit_codebooks(vectors: DataFrame, codes: int = CODES, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
     """Centroids of both halves from a bounded sample of ``usable`` rows; None without rows."""
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").toArrow()
@@ -72,7 +97,7 @@ def fit_codebooks(vectors: DataFrame, codes: int = CODES, sample_rows: int = SAM
     if not sizes:
         return None
     size = max(sorted(set(sizes)), key=sizes.count)
-    points = np.unique(np.array([p for p in points if len(p) == size]), axis=0)
+    points = _thinned(np.unique(np.array([p for p in points if len(p) == size]), axis=0))
     half = (size + 1) // 2
     return _centroids(points[:, :half], codes), _centroids(points[:, half:], codes) if size > 1 else np.zeros((1, 0))
 
@@ -94,6 +119,12 @@ def _cells(books, names: list[str]):
     return run
 
 
+def weights(sizes: np.ndarray) -> np.ndarray:
+    """What each cell counts in the share of a traversal: its entries, a hot cell's only up to a bound."""
+    held = sizes[sizes > 0]
+    return np.minimum(sizes, int(np.ceil(_CELL_WEIGHT * np.median(held)))) if len(held) else sizes
+
+
 def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
     """Cells, as a mask like ``sizes``, by summed distance until they hold ``wanted`` rows."""
     taken = np.zeros(sizes.shape, dtype=bool)
@@ -216,13 +247,14 @@ def search(
     sizes = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
     for cell in index.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[cell["first"], cell["second"]] = cell["n"]
-    wanted = max(int(np.ceil(share * sizes.sum())), 2 * kept)
+    counted = weights(sizes)
+    wanted = max(int(np.ceil(share * counted.sum())), 2 * kept)
     asked = usable(queries, id_column, vector_column).where(F.size("vector") == size).dropDuplicates(["id", "vector"])
-    routes = asked.mapInArrow(_routes(shared, sizes, wanted), "query_id long, vector array<double>, block int, mask binary")
+    routes = asked.mapInArrow(_routes(shared, counted, wanted), "query_id long, vector array<double>, block int, mask binary")
 
-    # A block of many rows or queries is dealt to several tasks.
+    # A block of many rows, also of more than its share of them, or of many queries is dealt to several tasks.
     per_block = np.add.reduceat(sizes.sum(axis=1), np.arange(0, len(sizes), _BLOCK_CODES))
-    parts = (per_block // _BLOCK_ROWS + 1).tolist()
+    parts = (per_block // max(1, min(_BLOCK_ROWS, 2 * per_block.sum() // len(per_block))) + 1).tolist()
     deals = F.element_at(F.array(*map(F.lit, parts)), F.col("block") + 1)
     blocks = max(1, asked.count() // _BLOCK_QUERIES + 1)
     left = routes.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
@@ -251,18 +283,51 @@ def search(
     )
 
 
-def recall(vectors: DataFrame, found: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", queries: int = 100) -> float:
-    """Share of the true nearest among ``found``, by brute force for the first ``queries`` queries."""
-    answers = found.toPandas()
-    chosen = sorted(answers["query_id"].unique())[:queries]
-    rows = usable(vectors, id_column, vector_column).toPandas()
-    points, ids = np.stack(rows["vector"]), rows["id"].to_numpy()
-    right = total = 0
-    for query in chosen:
-        mine = answers[answers["query_id"] == query]
-        scores = points @ points[np.flatnonzero(ids == query)[0]]
-        others = ids != query
-        best = np.lexsort((ids[others], -scores[others]))[: len(mine)]
-        right += len(set(ids[others][best]) & set(mine[id_column]))
-        total += len(mine)
+def _nearest(asked, nearest: int):
+    """The nearest rows of each batch for every query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, points = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for query, vector in asked.value:
+                scores = (points * vector).sum(axis=1)
+                order = np.lexsort((ids, -scores))
+                order = order[ids[order] != query][:nearest]
+                columns = pa.array(np.full(len(order), query)), pa.array(ids[order]), pa.array(scores[order])
+                yield pa.RecordBatch.from_arrays([*columns], names=["query_id", "id", "score"])
+
+    return run
+
+
+def recall(
+    vectors: DataFrame,
+    found: DataFrame,
+    id_column: str = "vec_id",
+    vector_column: str = "embedding",
+    queries: int = 100,
+    nearest: int = 20,
+) -> float:
+    """Share of the true ``nearest`` among ``found``, by brute force for the first ``queries`` queries.
+
+    Every row is compared on the executors; the driver holds the queries' vectors only.
+    A query with fewer rows in ``found`` than there are loses by each one that is missing.
+    """
+    rows = usable(vectors, id_column, vector_column)
+    chosen = found.select("query_id").distinct().orderBy("query_id").limit(queries)
+    asked = rows.join(F.broadcast(chosen), F.col("id") == F.col("query_id"), "left_semi").dropDuplicates(["id"]).collect()
+    if not asked:
+        return 0.0
+    size = len(asked[0]["vector"])
+    shared = vectors.sparkSession.sparkContext.broadcast([(r["id"], np.array(r["vector"])) for r in asked])
+    rows = rows.where(F.size("vector") == size).dropDuplicates(["id", "vector"])
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    true = (
+        rows.mapInArrow(_nearest(shared, nearest), "query_id long, id long, score double")
+        .withColumn("nth", F.row_number().over(best))
+        .where(F.col("nth") <= nearest)
+    )
+    hits = found.select("query_id", F.col(id_column).alias("id"), F.lit(1).alias("hit")).distinct()
+    right, total = true.join(hits, ["query_id", "id"], "left").agg(F.count("hit"), F.count(F.lit(1))).first()
     return right / max(1, total)
