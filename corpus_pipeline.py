@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.best_fit import pack
 from tidemark.llm.decontaminate import remove_contamination
@@ -25,20 +24,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by Jaccard similarity.
+    """One row of each group linked by Jaccard similarity; all other rows stay.
 
-    Rows that repeat an id are one document, of which the row with the least text
-    stays; rows without an id are left alone.
+    Every row is a text of its own, whatever its id: rows that repeat an id or have
+    none go only if they are linked to another row. Of a group the row with the least
+    ``doc_id`` stays, NULL last; of rows with the same, any one. Rows without words have
+    no links and stay. The rows are written with a key each, so that it is the same
+    in all scans.
     """
-    classes = jaccard_classes(docs)
-    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return (
-        docs.join(others, "doc_id", "left_anti")
-        .withColumn("row of the id", F.row_number().over(first))
-        .where("doc_id is null or `row of the id` = 1")
-        .select(docs.columns)
-    )
+    staged = Staged(spark, "near-duplicates")
+    keyed = staged.put("keyed", docs.withColumn("row key", F.monotonically_increasing_id()))
+    classes = jaccard_classes(keyed, "row key")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row key")
+    rows = classes.join(keyed.select("row key", "doc_id"), "row key")
+    first = rows.groupBy("component_id").agg(F.min(place).alias("first")).select("first.row key")
+    return keyed.join(first, "row key", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

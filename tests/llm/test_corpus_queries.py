@@ -55,3 +55,23 @@ def test_pipeline(spark):
     pieces = docs.collect()
     assert {p["doc_id"] for p in pieces} == set(before)
     assert docs.count() == contract.queries()["pipeline"](spark, SMALL).count()
+
+
+def test_near_duplicates_go_by_similarity_only(spark):
+    say = lambda word, n=30: " ".join(f"{word}{k}" for k in range(n))
+    rows = [
+        (7, say("a")), (7, say("b")), (7, say("c")), (7, None), (7, ""), (7, say("d")),  # an id of different texts
+        (3, say("d") + " more"), (None, say("d")), (9, say("d")),  # linked to one of them
+        (None, say("e")), (None, say("e")), (None, say("f")), (None, None), (None, None),
+        (5, say("g")), (5, say("g")), (None, say("g")),
+    ]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    found = corpus_pipeline.near_duplicates(spark, docs.repartition(5), SMALL)
+    assert found.columns == docs.columns
+    wanted = [
+        (7, say("a")), (7, say("b")), (7, say("c")), (7, None), (7, ""), (3, say("d") + " more"),
+        (None, say("e")), (None, say("f")), (None, None), (None, None), (5, say("g")),
+    ]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=key) == sorted(wanted, key=key)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SMALL).count() == 0
