@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import pytest
 
 from test_words import PLAIN, words
 from tidemark.llm import decontaminate
 from tidemark.llm.decontaminate import find_contamination, remove_contamination
+from tidemark.llm.queries import QUERIES, SQL
 
 
 def brute(texts, items, window=10):
@@ -77,3 +79,22 @@ def test_empty_tables(spark):
     assert find_contamination(none, items).count() == 0
     assert find_contamination(some, items).first()["n_hit"] == 0
     assert remove_contamination(some, items).collect() == some.collect()
+
+
+def test_items_without_an_id_are_hit_but_not_listed(spark, tmp_path):
+    passage = " ".join(f"w{k}" for k in range(12))
+    texts = [f"before {passage} after", "x short item y", passage + " other words", "clean words only"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, passage), (None, "short item"), (5, "other words")], "item_id long, text string")
+    found = find_contamination(documents, benchmark).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["items"]) for r in found] == [(12, []), (2, []), (14, ["5"]), (0, [])]
+    cleaned = remove_contamination(documents, benchmark, most_share=1.0).orderBy("doc_id").collect()
+    assert ["w3" in r["text"] or "short" in r["text"] for r in cleaned] == [False] * 4
+
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    with duckdb.connect() as base:
+        for table in ("documents", "benchmark"):
+            base.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+        wanted = sorted(base.execute(SQL["op4_decontaminate"]).fetchall())
+    assert sorted(map(tuple, QUERIES["op4_decontaminate"](spark, str(tmp_path)).collect())) == wanted

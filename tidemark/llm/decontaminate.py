@@ -26,7 +26,7 @@ from tidemark.llm.words import PLAIN_WORDS, encoded, with_texts, word_spans
 ITEM_WORDS = 100_000
 
 _FOUND = struct("n_words long, n_hit long, longest long")
-_FOUND.add("spans", T.ArrayType(struct("first long, last long"))).add("items", T.ArrayType(T.StringType()))
+_FOUND.add("spans", T.ArrayType(struct("first long, last long"))).add("items", T.ArrayType(T.StringType())).add("unnamed", T.BooleanType())
 
 
 class SuffixAutomaton:
@@ -40,11 +40,12 @@ class SuffixAutomaton:
         self.length = [0]
         self.words = 0
         self.shortest = window
-        self._items: list[tuple[str, list[int]]] = []
+        self._items: list[tuple[str | None, list[int]]] = []
         #: (length, items) of the windows that are suffixes of a state's sequences
-        self.ending: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+        self.ending: dict[int, list[tuple[int, tuple[str | None, ...]]]] = {}
 
-    def add(self, item: str, words: list[bytes]) -> None:
+    def add(self, item: str | None, words: list[bytes]) -> None:
+        """An item without an id has windows like any other, but no name to list."""
         symbols = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
         if not symbols:
             return
@@ -90,7 +91,7 @@ class SuffixAutomaton:
 
     def finish(self) -> "SuffixAutomaton":
         """Note the windows at their states, and pass them on along the suffix links."""
-        own: dict[int, dict[int, set[str]]] = {}
+        own: dict[int, dict[int, set[str | None]]] = {}
         for item, symbols in self._items:
             size = min(self.window, len(symbols))
             state = 0
@@ -101,7 +102,7 @@ class SuffixAutomaton:
                     own.setdefault(state, {}).setdefault(size, set()).add(item)
         for state in sorted(range(len(self.steps)), key=self.length.__getitem__):
             inherited = self.ending.get(self.link[state], []) if state else []
-            mine = [(size, tuple(sorted(items))) for size, items in own.get(state, {}).items()]
+            mine = [(size, tuple(items)) for size, items in own.get(state, {}).items()]
             if inherited or mine:
                 self.ending[state] = inherited + mine if mine else inherited
         self._items = []
@@ -148,7 +149,7 @@ def build_automata(benchmark: DataFrame, id_column: str, text_column: str, windo
     """Automata of the items, each broadcast; items are streamed to the driver block by block."""
     automata, current = [], SuffixAutomaton(window)
     rows = benchmark.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"))
-    for row in rows.where("id is not null and text is not null").toLocalIterator():
+    for row in rows.where("text is not null").toLocalIterator():
         current.add(row["id"], PLAIN_WORDS.split(encoded(row["text"])))
         if current.words >= ITEM_WORDS:
             automata.append(current.finish())
@@ -184,7 +185,7 @@ def find_contamination(
     item_text_column: str = "text",
     window: int = 10,
 ) -> DataFrame:
-    """Per row its id and ``n_words, n_hit, longest, spans, items``.
+    """Per row its id and ``n_words, n_hit, longest, spans, items, unnamed``.
 
     ``spans`` are maximal runs of hit words, from 0, both ends included; ``items``
     the ids, as strings, of the items with a window in the text; ``longest`` the
@@ -192,8 +193,9 @@ def find_contamination(
     short for any window count as 1.
 
     A-Z are lower-cased, words are digits, letters and all beyond ASCII. NULL and
-    empty texts have no words; items without an id or text take no part; repeated
-    rows are scanned each. Texts are used whole. Empty tables give no rows, or no hits.
+    empty texts have no words; items without a text take no part, those without an id
+    are hit like others, not listed, and noted in ``unnamed``; repeated rows are
+    scanned each. Texts are used whole. Empty tables give no rows, or no hits.
     """
     automata = build_automata(benchmark, item_column, item_text_column, window)
 
@@ -205,8 +207,8 @@ def find_contamination(
                 hit, items, longest = _scanned(words, automata)
                 spans = [] if hit is None else [{"first": a, "last": b} for a, b in _runs(hit)]
                 count = 0 if hit is None else int(hit.sum())
-                rows.append((len(words), count, longest, spans, sorted(items)))
-            columns = list(zip(*rows)) or [()] * 5
+                rows.append((len(words), count, longest, spans, sorted(items - {None}), None in items))
+            columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)] + [pa.array(c, type=t) for c, t in zip(columns, _ARROW)],
                 names=[id_column] + _FOUND.names,
@@ -222,6 +224,7 @@ _ARROW = [
     pa.int64(),
     pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])),
     pa.list_(pa.string()),
+    pa.bool_(),
 ]
 
 
