@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import multi_index
 from tidemark.llm.best_fit import pack
+from tidemark.llm.byte_bpe import Vocabulary, decode, encode, read_ranks
 from tidemark.llm.chat_format import canonical_turns, format_turns, read_back
 from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.html_text import extract_text
@@ -24,6 +25,7 @@ from tidemark.llm.token_count import count_tokens, ranked_vocabulary
 
 #: Files of the tokenizers the queries use.
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +215,15 @@ def op9_secret_scan(spark, folder):
 def op10_quality_classifier(spark, folder):
     scored = score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
     return scored.where("keep")
+
+
+@_query("op11_byte_bpe")
+def op11_byte_bpe(spark, folder):
+    vocabulary = Vocabulary(read_ranks(public_tokenizers.path(BYTE_BPE_RANKS)), public_tokenizers.PATTERN)
+    encoded = encode(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+    )
