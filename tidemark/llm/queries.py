@@ -19,9 +19,11 @@ from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.html_text import extract_text
 from tidemark.llm.jaccard_join import jaccard_classes
 from tidemark.llm.license_scan import scan_licenses
+from tidemark.llm.prefix_trie import prefix_trie
 from tidemark.llm.quality import score_documents
 from tidemark.llm.secret_scan import find_secrets
 from tidemark.llm.token_count import count_tokens, ranked_vocabulary
+from tidemark.llm.turn_repair import damaged, repair_conversations
 
 #: Files of the tokenizers the queries use.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -227,3 +229,55 @@ def op11_byte_bpe(spark, folder):
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
     )
+
+
+_TURN = "sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+
+
+@_query(
+    "op12_prefix_trie",
+    f"""
+    with
+    own as (
+        select conv_id as c, crc32(cast(conv_id as varchar)) % 6 as h, {_TURN} as t, length(coalesce(text, '')) as l,
+               row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k
+        from conversations where conv_id is not null
+    ),
+    convs as (select c, h, c - c % 100 as base, count(*) as n from own group by all),
+    heads as (select v.c, o.k, o.t, o.l from convs v join own o on o.c = v.base and o.k <= v.h),
+    turns as (
+        select c, row_number() over (partition by c order by part, k) as d, t, l
+        from (select c, 0 as part, k, t, l from heads union all select c, 1, k, t, l from own where k > h)
+    ),
+    prefixes as (
+        select c, 0 as d, '' as p, 0 as l from convs
+        union all
+        select c, d, string_agg(t, ',') over (partition by c order by d), l from turns
+    ),
+    nodes as (select d, p, min(c) as c, count(*) as n, min(l) as l from prefixes group by d, p),
+    placed as (select n.*, x.p as above from nodes n left join prefixes x on x.c = n.c and x.d = n.d - 1),
+    children as (select above as p, count(*) as k from placed where above is not null group by above),
+    parents as (select a.p, b.c as parent from placed a join nodes b on b.p = a.above),
+    full_nodes as (select n.*, coalesce(k.k, 0) as k from placed n left join children k on k.p = n.p),
+    sums as (
+        select x.p, sum(case when f.k = 0 then 1 else 0 end) as leaves, sum((f.n - 1) * f.l) as saved
+        from full_nodes f join prefixes x on x.c = f.c and x.d <= f.d group by x.p
+    ),
+    ends as (
+        select p, sha256(string_agg(cast(c as varchar), ',' order by c)) as s
+        from (select p, c from prefixes qualify row_number() over (partition by c order by d desc) = 1) group by p
+    )
+    select f.c as conv_id, cast(f.d as bigint) as depth, q.parent as parent_conv_id, f.n as n_convs, cast(f.k as bigint) as n_children,
+           cast(s.leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens,
+           coalesce(e.s, sha256('')) as ends_sha256
+    from full_nodes f join sums s on s.p = f.p left join parents q on q.p = f.p left join ends e on e.p = f.p
+    """,
+)
+def op12_prefix_trie(spark, folder):
+    return prefix_trie(_table(spark, folder, "conversations"))
+
+
+@_query("op13_turn_repair")
+def op13_turn_repair(spark, folder):
+    conversations = _table(spark, folder, "conversations")
+    return repair_conversations(conversations, damaged(conversations))
