@@ -28,6 +28,7 @@ is refused. ``decode`` gives NULL for NULL ids, and NULL for ids that the vocabu
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -228,7 +229,9 @@ class _Splitter:
                 if c in kept:
                     classes[c] = stand_in
         self._classes = str.maketrans(classes)
-        self._odd = regex.compile("[" + "".join(map(regex.escape, classes)) + "]") if classes else None
+        self._odd = frozenset(classes)
+        # Most texts have no character as late as the first of these.
+        self._late = re.compile(f"[{re.escape(min(classes, default=chr(0x10FFFF)))}-\U0010ffff]")
         self._find = regex.compile(self._pattern)
 
     def words(self, text: str | None) -> list[str]:
@@ -236,7 +239,7 @@ class _Splitter:
             self._prepare()
         if not text:
             return []
-        if self._odd is None or text.isascii() or not self._odd.search(text):
+        if not self._late.search(text) or self._odd.isdisjoint(text):
             return self._find.findall(text)
         return [text[m.start() : m.end()] for m in self._find.finditer(text.translate(self._classes))]
 
