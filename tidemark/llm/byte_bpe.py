@@ -43,7 +43,9 @@ from tidemark.llm.staged import Staged
 #: Words of more bytes are cut and merged in rounds, and are never in the table of frequent words.
 SHORT = 64
 #: Most words whose ids are worked out in advance.
-MOST = 1 << 20
+MOST = 1 << 18
+#: Texts cut at a time.
+TEXTS = 1000
 
 #: Bits of a rank, and of a place in a short word.
 _RANK, _PLACE = 24, 7
@@ -343,16 +345,15 @@ def encode(table: DataFrame, vocabulary: Vocabulary, text: str = "text", most: i
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value.places()
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             found, ends, rare = [], [0], []
-            for value in batch.column(n).to_pylist():
+            for value in batch.column(n):
                 own: dict[str, int] = {}
-                for word in split.words(value):
-                    place = known.get(word)
-                    found.append(own.setdefault(word, -1 - len(own)) if place is None else place)
-                ends.append(len(found))
+                places = (known[word] if word in known else own.setdefault(word, -1 - len(own)) for word in split.words(value.as_py()))
+                found.append(np.fromiter(places, np.int32))
+                ends.append(ends[-1] + len(found[-1]))
                 rare.append(list(own))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
             columns = [*batch.columns[:n], lists, pa.array(rare, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:n], "p", "r"])
 
