@@ -43,7 +43,7 @@ from tidemark.llm.staged import Staged
 #: Words of more bytes are cut and merged in rounds, and are never in the table of frequent words.
 SHORT = 64
 #: Most words whose ids are worked out in advance.
-MOST = 1 << 18
+MOST = 1 << 19
 #: Texts cut at a time.
 TEXTS = 1000
 
@@ -231,9 +231,14 @@ class _Splitter:
                 if c in kept:
                     classes[c] = stand_in
         self._classes = str.maketrans(classes)
-        self._odd = frozenset(classes)
-        # Most texts have no character as late as the first of these.
-        self._late = re.compile(f"[{re.escape(min(classes, default=chr(0x10FFFF)))}-\U0010ffff]")
+        ranges: list[list[int]] = []
+        for code in sorted(map(ord, classes)):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+        odd = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+        self._odd = re.compile(f"[{odd}]" if odd else "(?!)")
         self._find = regex.compile(self._pattern)
 
     def words(self, text: str | None) -> list[str]:
@@ -241,7 +246,7 @@ class _Splitter:
             self._prepare()
         if not text:
             return []
-        if not self._late.search(text) or self._odd.isdisjoint(text):
+        if not self._odd.search(text):
             return self._find.findall(text)
         return [text[m.start() : m.end()] for m in self._find.finditer(text.translate(self._classes))]
 
@@ -371,4 +376,4 @@ def encode(table: DataFrame, vocabulary: Vocabulary, text: str = "text", most: i
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The bytes that ``ids`` stand for, as binary."""
     pieces = vocabulary.piece_hex()
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(pieces, i), F.lit("-"))), ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "", "-"))
