@@ -231,14 +231,9 @@ class _Splitter:
                 if c in kept:
                     classes[c] = stand_in
         self._classes = str.maketrans(classes)
-        ranges: list[list[int]] = []
-        for code in sorted(map(ord, classes)):
-            if ranges and ranges[-1][1] == code - 1:
-                ranges[-1][1] = code
-            else:
-                ranges.append([code, code])
-        odd = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-        self._odd = re.compile(f"[{odd}]" if odd else "(?!)")
+        self._odd = frozenset(classes)
+        # No earlier character is one of these; most texts have few that are later.
+        self._late = re.compile(f"[{re.escape(min(classes, default=chr(0x10FFFF)))}-\U0010ffff]")
         self._find = regex.compile(self._pattern)
 
     def words(self, text: str | None) -> list[str]:
@@ -246,7 +241,7 @@ class _Splitter:
             self._prepare()
         if not text:
             return []
-        if not self._odd.search(text):
+        if self._odd.isdisjoint(self._late.findall(text)):
             return self._find.findall(text)
         return [text[m.start() : m.end()] for m in self._find.finditer(text.translate(self._classes))]
 

@@ -231,6 +231,12 @@ def op11_byte_bpe(spark, folder):
     )
 
 
+# CRC-32 of a text of ASCII characters.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::bigint)),"
+    " lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),"
+    " lambda x, z: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint)"
+)
 _TURN = "sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
 
 
@@ -239,7 +245,7 @@ _TURN = "sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coale
     f"""
     with
     own as (
-        select conv_id as c, crc32(cast(conv_id as varchar)) % 6 as h, {_TURN} as t, length(coalesce(text, '')) as l,
+        select conv_id as c, {_CRC.format('cast(conv_id as varchar)')} % 6 as h, {_TURN} as t, length(coalesce(text, '')) as l,
                row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k
         from conversations where conv_id is not null
     ),
