@@ -3,4 +3,4 @@
 Importing the modules fills the registry.
 """
 
-from tidemark.plans.queries import aggregates, events, marts, runs, summaries, volumes  # noqa: F401
+from tidemark.plans.queries import aggregates, events, incremental, marts, runs, summaries, volumes  # noqa: F401
