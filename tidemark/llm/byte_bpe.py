@@ -31,11 +31,13 @@ import base64
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm.staged import Staged
@@ -202,48 +204,49 @@ def _merged(word: Column, table: Column, start: Column, single: Column, beside:
     return _let(F.transform(latin, lambda x: F.ascii(x)), folded)
 
 
-class _Splitter:
-    """Cuts texts as the tokenizer's own library does.
+@lru_cache
+def _other_classes() -> dict[int, str]:
+    """Stand-ins for characters that the two regular expression engines class differently.
 
-    The two regular expression engines know different versions of Unicode. Characters that
-    they class differently are cut as stand-ins of the class that the tokenizer's library
-    gives them.
+    They know different versions of Unicode. Such a character is cut as a stand-in of the
+    class that the tokenizer's library gives it.
     """
+    single = {bytes([b]): b for b in range(256)}
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    classes: dict[int, str] = {}
+    for stand_in, kind in (("a", r"\p{L}"), ("1", r"\p{N}"), (" ", r"\s")):
+        own = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks=single, special_tokens={})
+        kept = set(bytes(own.encode_ordinary(every)).decode())
+        for c in kept ^ set(regex.findall(kind, every)):
+            classes.setdefault(ord(c), "+")
+            if c in kept:
+                classes[ord(c)] = stand_in
+    return classes
+
+
+class _Splitter:
+    """Cuts texts as the tokenizer's own library does; made on the driver, sent to the tasks."""
 
     def __init__(self, pattern: str):
         self._pattern = pattern
+        self._classes = _other_classes()
         self._find = None
 
     def __getstate__(self):
-        return {"_pattern": self._pattern, "_find": None}
-
-    def _prepare(self) -> None:
-        import tiktoken
-
-        single = {bytes([b]): b for b in range(256)}
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        classes = {}
-        for stand_in, kind in (("a", r"\p{L}"), ("1", r"\p{N}"), (" ", r"\s")):
-            own = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks=single, special_tokens={})
-            kept = set(bytes(own.encode_ordinary(every)).decode())
-            for c in kept ^ set(regex.findall(kind, every)):
-                classes.setdefault(c, "+")
-                if c in kept:
-                    classes[c] = stand_in
-        self._classes = str.maketrans(classes)
-        self._odd = frozenset(classes)
-        # No earlier character is one of these; most texts have few that are later.
-        self._late = re.compile(f"[{re.escape(min(classes, default=chr(0x10FFFF)))}-\U0010ffff]")
-        self._find = regex.compile(self._pattern)
+        return {"_pattern": self._pattern, "_classes": self._classes, "_find": None}
 
     def words(self, text: str | None) -> list[str]:
         if self._find is None:
-            self._prepare()
+            self._find = regex.compile(self._pattern).findall
+            # No earlier character is one of these; most texts have few that are later.
+            first = min(self._classes, default=0x10FFFF)
+            self._late = re.compile(f"[\\U{first:08x}-\U0010ffff]").findall
         if not text:
             return []
-        if self._odd.isdisjoint(self._late.findall(text)):
-            return self._find.findall(text)
-        return [text[m.start() : m.end()] for m in self._find.finditer(text.translate(self._classes))]
+        if not any(ord(c) in self._classes for c in self._late(text)):
+            return self._find(text)
+        places = regex.finditer(self._pattern, text.translate(self._classes))
+        return [text[m.start() : m.end()] for m in places]
 
 
 _COUNTED = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
@@ -262,8 +265,8 @@ def count_words(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(split.words(text))
+            for text in batch.column(0):
+                seen.update(split.words(text.as_py()))
                 if len(seen) > 1 << 18:
                     yield flushed()
         yield flushed()
