@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = contract.queries()
-    for number in range(1, 11):
+    for number in range(1, 14):
         assert sum(name.startswith(f"op{number}_") for name in names) == 1
     assert "pipeline" in names and set(SQL) <= set(QUERIES)
 

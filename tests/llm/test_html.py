@@ -1,8 +1,10 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from tidemark.llm.html_text import extract_text, main_text, smoothed, threshold
 
@@ -51,3 +53,27 @@ def test_clashing_columns_and_empty_table(spark):
     row = extract_text(table).first()
     assert row.asDict() == {"page_id": 1, "lines": "x", "text": "new", "n_chars": 3}
     assert extract_text(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>one</p><![foo[x]]><p>two</p></article>", "one\ntwo"),
+        ("<head><title>x</title><body><article><p>text</p></article></body>", "text"),
+        (f"<article><p class=notice>Cookies<p>{LONG}</article>", LONG),
+    ],
+)
+def test_broken_pages_keep_their_text(page, text):
+    assert main_text(page) == text
+
+
+def test_unclosed_paragraphs_take_linear_time():
+    started = time.monotonic()
+    assert main_text("<article>" + "<p>x <b>y</b>" * 16_000).count("x y") == 16_000
+    assert time.monotonic() - started < 5
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "<!", "<![", "]]>", "<p", "<article>", "</", "&#x", "x", " ", "--", "<?", "<script>", "=", "'", "CDATA["]), max_size=30))
+def test_no_page_raises(parts):
+    main_text("".join(parts))

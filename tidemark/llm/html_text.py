@@ -52,6 +52,8 @@ _CLOSES = {
     "td": frozenset({"td", "th"}),
     "th": frozenset({"td", "th"}),
     "option": frozenset({"option"}),
+    "p": frozenset({"p"}),
+    "body": frozenset({"head"}),
 }
 
 SMOOTHING = 1.0
@@ -119,6 +121,13 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self._text.append("\n")
 
+    def parse_html_declaration(self, i):
+        # A marked section that the parser refuses is a comment in HTML.
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attributes):
         self._tag(tag)
         if tag in _EMPTY:
