@@ -115,3 +115,19 @@ def test_constants_come_first_and_replace(spark):
     table = spark.createDataFrame([(1, "x")], "a int, mode string")
     tagged = with_constants(table, git_commit="abc", mode="stream")
     assert tagged.columns == ["git_commit", "mode", "a"] and tagged.first()["mode"] == "stream"
+
+
+def test_files_are_taken_in_under_the_bound(spark, trips, tmp_path, capsys):
+    lines = spark.range(0, 4000, 1, 8).selectExpr(
+        """to_json(named_struct('PULocationID', id % 5, 'fare_amount', '1.5', 'event_time_ms', 1704067200000 + id)) as value"""
+    )
+    lines.write.text(f"{tmp_path}/events")
+    size = sum(f.stat().st_size for f in (tmp_path / "events").glob("*.txt"))
+    main(
+        ["stream", "--input", f"{tmp_path}/events", "--output", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/cp",
+         "--max-rows", "1000", "--event-bytes", str(size // 4000)]
+    )
+    (streamed,), _ = metrics_of(capsys)
+    assert streamed["total_input_rows"] == 4000
+    assert streamed["max_offsets_per_trigger"] == 1000
+    assert streamed["micro_batch_count"] >= 4

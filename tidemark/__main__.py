@@ -63,12 +63,13 @@ def batch(spark: SparkSession, args) -> None:
 
 
 def stream(spark: SparkSession, args) -> None:
-    limit = rows_per_trigger(args.trigger_sec, args.rate)
+    limit = args.max_rows or rows_per_trigger(args.trigger_sec, args.rate)
     if args.servers:
         options = kafka_source_options(args.servers, args.topic, limit, args.starting_offsets)
         source = kafka_stream(spark, options, args.min_partitions)
     else:
-        source = text_stream(spark, args.input)
+        # Files are bounded by size: a batch ends with the file that reaches it.
+        source = text_stream(spark, args.input, max_bytes=str(limit * args.event_bytes))
     run = StreamRun(
         args.run_id, args.scenario, args.workers, args.trigger_sec, args.duration, limit
     )
@@ -219,6 +220,8 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--trigger-sec", type=int, default=2)
     sub.add_argument("--duration", type=float, default=None, help="seconds; all there is without")
     sub.add_argument("--rate", type=int, default=0, help="expected events a second")
+    sub.add_argument("--max-rows", type=int, default=0, help="most events of a micro-batch, in place of the rate's bound")
+    sub.add_argument("--event-bytes", type=int, default=512, help="size of an event in files, by which their bound is kept")
     sub.add_argument("--starting-offsets", default="earliest")
     sub.add_argument("--min-partitions", type=int, default=None)
     sub.add_argument("--precise", action="store_true", help="latency in milliseconds")
