@@ -65,3 +65,14 @@ def test_ranks_do_not_shuffle_the_values_again(spark, folder):
 def test_boxplot_shuffles_little(spark, folder):
     plan = plan_of(QUERIES["boxplot_stats_split"](spark, folder))
     assert plan.count("Exchange") <= 5
+
+
+CHARTS = ["throughput_by_mode", "cpu_by_container", "metric_by_workers", "scaling_by_workers", "highlights", "report_lines"]
+
+
+@pytest.mark.parametrize("name", CHARTS)
+def test_means_need_no_ranks(spark, folder, name):
+    plan = plan_of(QUERIES[name](spark, folder))
+    assert "/ranks-" not in plan and "rangepartitioning(group" not in plan
+    tables = plan.count("FileScan parquet")
+    assert plan.count("Exchange hashpartitioning") <= 2 * tables

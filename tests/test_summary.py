@@ -127,3 +127,22 @@ def test_whisker_never_lies_inside_the_box(spark):
     table = spark.createDataFrame(rows + low, "k string, x double")
     row = boxplot_statistics(table, ["k"], "x").first()
     assert row["whisker_low"] <= row["q1"] and row["whisker_high"] >= row["q3"]
+
+
+@pytest.mark.parametrize("carried", [(), ("tag",)])
+def test_moments_without_ranks_are_the_same(spark, carried):
+    rows = [("a", 1.0, None, "p"), ("a", 4.5, 2.0, "q"), ("a", -3.0, float("nan"), "r"), ("b", 7.0, None, "s"), (None, None, 1.0, "t")]
+    table = spark.createDataFrame(rows, "k string, x double, y double, tag string")
+    ranked = summarize(table, ["k"], ["x", "y"], "n", carried, "tag", normality=False)
+    plain = summarize(table, ["k"], ["x", "y"], "n", carried, "tag", normality=False, quartiles=False)
+    assert set(ranked.columns) - set(plain.columns) == {f"{m}_{s}" for m in "xy" for s in ("median", "iqr")}
+    by_key = lambda frame: sorted(frame.select(plain.columns).collect(), key=lambda r: r["k"] or "")
+    for left, right in zip(by_key(ranked), by_key(plain), strict=True):
+        assert [v if isinstance(v, str) else v and pytest.approx(v) for v in left] == list(right)
+
+
+def test_moments_start_no_job(spark):
+    table = spark.range(100).selectExpr("id % 3 as k", "cast(id as double) as x")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    summarize(table, ["k"], ["x"], "n", normality=False, quartiles=False)
+    assert sorted(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == sorted(before)

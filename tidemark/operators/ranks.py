@@ -21,6 +21,8 @@ from tidemark.session import shared_folder, staging_path
 
 #: Values per slice, counting repeats; what one task sorts.
 VALUES_PER_SLICE = 4_000_000
+#: Below that, values are still dealt to all cores, at least so many to each.
+LEAST_PER_SLICE = 50_000
 
 
 @dataclass(frozen=True)
@@ -91,13 +93,16 @@ def rank_values(
     """Rank every metric's values inside its group.
 
     The metrics must be doubles without NaN. The values are written to the shared
-    folder, in at least one slice and one per ``values_per_slice`` values. Slices feed
+    folder, in a slice per ``values_per_slice`` values, and in one per core if that
+    leaves ``LEAST_PER_SLICE`` or more to each. Slices feed
     both the offsets and the ranks and must be the same in both, also after an executor
     is lost: hence a written table.
     """
     spark = table.sparkSession
     shared_folder(spark)  # a cluster without one is refused before any work
-    slices = -(-table.count() * len(metrics) // values_per_slice) or 1
+    values = table.count() * len(metrics)
+    cores = min(values // LEAST_PER_SLICE, spark.sparkContext.defaultParallelism)
+    slices = max(-(-values // values_per_slice), cores, 1)
     counted = (
         _values(table, keys, metrics).groupBy("group", "metric", "value").agg(F.count(F.lit(1)).alias("rows"))
     )

@@ -21,6 +21,7 @@ STATISTICS = (
     "mean", "median", "std", "min", "max", "iqr", "ci95", "shapiro_stat", "shapiro_p", "normal",
 )
 _NORMALITY = ("shapiro_stat", "shapiro_p", "normal")
+_RANKED = ("median", "iqr")
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 _MOMENTS = ("n", "mean", "deviation", "low", "high")
 
@@ -31,7 +32,7 @@ def clean_metrics(table: DataFrame, metrics: Sequence[str]) -> dict[str, Column]
     return {name: clean_number(F.col(name), is_text(name)).alias(name) for name in metrics}
 
 
-def _statistics(metric: str, normality: bool) -> list[Column]:
+def _statistics(metric: str, quartiles: bool, normality: bool) -> list[Column]:
     column = lambda name: F.col(f"_{metric}_{name}")
     n = column("n")
     # One value has no spread; no values have no statistics at all.
@@ -44,10 +45,17 @@ def _statistics(metric: str, normality: bool) -> list[Column]:
         "max": column("high"),
         "iqr": column("q3") - column("q1"),
         "ci95": F.when(n > 0, F.lit(_NORMAL_95) * spread / F.sqrt(n)),
+        **{name: column(name) for name in _NORMALITY},
     }
-    if normality:
-        values.update({name: column(name) for name in _NORMALITY})
-    return [value.alias(f"{metric}_{name}") for name, value in values.items()]
+    absent = {*(() if quartiles else _RANKED), *(() if normality else _NORMALITY)}
+    return [value.alias(f"{metric}_{name}") for name, value in values.items() if name not in absent]
+
+
+def _moments(metric: str) -> list[Column]:
+    """The columns ``_MOMENTS`` of a metric as plain aggregates of ``_value_<metric>``."""
+    value = F.col(f"_value_{metric}")
+    found = (F.count(value), F.avg(value), F.stddev_samp(value), F.min(value), F.max(value))
+    return [of.alias(f"_{metric}_{name}") for of, name in zip(found, _MOMENTS)]
 
 
 def _widen(long: DataFrame, metrics: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -70,6 +78,7 @@ def summarize(
     order: str | None = None,
     distinct: dict[str, str] | None = None,
     normality: bool = True,
+    quartiles: bool = True,
     values_per_slice: int = VALUES_PER_SLICE,
 ) -> DataFrame:
     """Rows, distinct counts, carried columns and the metrics' statistics per key.
@@ -79,14 +88,19 @@ def summarize(
     ``distinct`` maps a result name to the column counted, a missing value
     counting as one. Bad and missing metric values are left out.
 
-    Two passes over the table: one for counts and carried columns, one for the
-    metrics' values, which are counted, ranked and written once; moments, quartiles
-    and the normality test are read from there.
+    With ``quartiles`` or ``normality`` the values are counted, ranked and written once,
+    in a second pass over the table; moments, quartiles and the normality test are read
+    from there. Without both there are no ranks: the moments are plain aggregates, nothing
+    is written and no job runs before the result is asked for.
     """
     distinct = distinct or {}
     clean = clean_metrics(table, metrics)
     extra = {*carried, *distinct.values(), *([order] if order else [])}
-    source = table.select(group_struct(keys), *[F.col(n).alias(f"_src_{n}") for n in sorted(extra)])
+    source = table.select(
+        group_struct(keys),
+        *[F.col(n).alias(f"_src_{n}") for n in sorted(extra)],
+        *[value.alias(f"_value_{name}") for name, value in clean.items()],
+    )
     aggregates = [F.count(F.lit(1)).alias(count_name)]
     aggregates += [
         F.count_distinct(F.coalesce(F.col(f"_src_{column}").cast("string"), F.lit(""))).alias(name)
@@ -97,19 +111,29 @@ def summarize(
         first = F.struct(*[F.col(f"_src_{name}").alias(name) for name in carried])
         least = F.min(F.struct(place.isNull().alias("late"), place.alias("place"), first.alias("row")))
         aggregates.append(least["row"].alias("_carried"))
-    result = source.groupBy("group").agg(*aggregates)
 
-    ranked = rank_values(table.select(*keys, *clean.values()), keys, metrics, values_per_slice)
-    placed = order_statistics(ranked, _QUARTILES)
-    result = result.join(_widen(placed, metrics, [*_MOMENTS, *_QUARTILES]), "group", "left")
-    if normality:
-        result = result.join(_widen(shapiro_wilk(ranked), metrics, _NORMALITY), "group", "left")
+    if quartiles or normality:
+        result = source.groupBy("group").agg(*aggregates)
+        ranked = rank_values(table.select(*keys, *clean.values()), keys, metrics, values_per_slice)
+        placed = order_statistics(ranked, _QUARTILES if quartiles else {})
+        names = [*_MOMENTS, *(_QUARTILES if quartiles else ())]
+        result = result.join(_widen(placed, metrics, names), "group", "left")
+        if normality:
+            result = result.join(_widen(shapiro_wilk(ranked), metrics, _NORMALITY), "group", "left")
+    else:
+        moments = [column for metric in metrics for column in _moments(metric)]
+        if carried or distinct:
+            # Structs are aggregated by sorting; the numbers needn't be.
+            numbers = source.groupBy("group").agg(*moments)
+            result = source.groupBy("group").agg(*aggregates).join(numbers, "group")
+        else:
+            result = source.groupBy("group").agg(*aggregates, *moments)
 
     columns = [F.col(f"group.{name}") for name in keys]
     columns += [F.col(count_name), *[F.col(name) for name in distinct]]
     columns += [F.col(f"_carried.{name}") for name in carried]
     for metric in metrics:
-        columns += _statistics(metric, normality)
+        columns += _statistics(metric, quartiles, normality)
     return result.select(*columns)
 
 

@@ -15,7 +15,7 @@ def _mean(spark, folder, source, keys, metric, name):
     rows = table(spark, folder, source).select(
         *[F.col(column).alias(key) for key, column in keys.items()], F.col(metric).alias(name)
     )
-    summary = summarize(rows, list(keys), [name], "runs", normality=False)
+    summary = summarize(rows, list(keys), [name], "runs", normality=False, quartiles=False)
     return summary.select(*keys, f"{name}_mean")
 
 
@@ -126,7 +126,7 @@ _HIGHLIGHTS = """
 def _micro(spark, folder):
     events = table(spark, folder, "events").withColumn("user", F.col("user_id").cast("string"))
     rows = events.select(F.col("user").alias("scenario"), F.col("value").alias("avg_latency_s"))
-    return summarize(rows, ["scenario"], ["avg_latency_s"], "micro_batches", normality=False)
+    return summarize(rows, ["scenario"], ["avg_latency_s"], "micro_batches", normality=False, quartiles=False)
 
 
 @query("highlights", f"with {_SUMMARIES} {_HIGHLIGHTS}", {"value": 6})
@@ -175,5 +175,6 @@ def whole_report(spark, folder):
         ["stream_throughput_rows_per_sec", "stream_avg_trigger_latency_ms"],
         "runs",
         normality=False,
+        quartiles=False,
     )
     return report.report_lines(_batch(spark, folder), stream, _micro(spark, folder))
