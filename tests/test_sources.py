@@ -26,6 +26,7 @@ from tidemark.sources.logs import log_lines, tagged_records
 from tidemark.sources.streams import kafka_source_options, rows_per_trigger
 from tidemark.sources.tables import (
     input_volume,
+    csv_headers,
     read_csv_table,
     read_csv_text,
     read_table,
@@ -217,6 +218,29 @@ def test_csv(spark, tmp_path):
     assert not os.path.exists(f"{tmp_path}/out")
 
 
+def test_csv_folder_with_several_headers(spark, tmp_path):
+    folder = tmp_path / "runs +é%20"
+    folder.mkdir()
+    (folder / "a 1.csv").write_text('a,c\n1,"x\na,c"\n2,\n', encoding="utf-8")
+    (folder / "b%2+.csv").write_text("\ufeffc,b,a\ny,2.5,3\n", encoding="utf-8")
+    (folder / "c.csv").write_text("\na,c\n4,z\n", encoding="utf-8")
+    (folder / "d.csv").write_text("", encoding="utf-8")
+    (folder / "_hidden.csv").write_text("a,c\n9,9\n", encoding="utf-8")
+    assert sorted(len(r["files"]) for r in csv_headers(spark, str(folder)).collect()) == [1, 2]
+    found = read_csv_text(spark, str(folder), T.StructType.fromDDL("a int, b double, c string"))
+    assert sorted(map(tuple, found.collect()), key=str) == [
+        ("1", None, "x\na,c"), ("2", None, ""), ("3", "2.5", "y"), ("4", None, "z"),
+    ]
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+
+
+def test_csv_folder_of_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("a\n", encoding="utf-8")
+    found = read_csv_table(spark, str(tmp_path), T.StructType.fromDDL("a int, b double"))
+    assert found.count() == 0 and found.columns == ["a", "b"]
+
+
 def test_csv_quotes_survive(spark, tmp_path):
     table = spark.createDataFrame([(1, 'say "hi", now\nplease'), (2, "back\\slash")], "a int, b string")
     assert write_csv(table, f"{tmp_path}/q")

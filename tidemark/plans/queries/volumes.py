@@ -161,3 +161,22 @@ def csv_round_trip(spark, folder):
     path = staging_path(spark, "csv")
     write_csv(customers, path)
     return read_csv_table(spark, path, T.StructType(customers.schema.fields))
+
+
+@query(
+    "csv_two_headers",
+    """
+    select c_custkey, case when c_custkey % 3 > 0 then c_name end as c_name, c_acctbal, c_mktsegment
+    from customer
+    """,
+)
+def csv_two_headers(spark, folder):
+    """Files of one folder with other columns, in another order."""
+    customers = table(spark, folder, "customer").select(
+        "c_custkey", "c_name", "c_acctbal", "c_mktsegment"
+    )
+    path = staging_path(spark, "csv")
+    third = F.col("c_custkey") % 3 == 0
+    write_csv(customers.where(~third), path)
+    write_csv(customers.where(third).select("c_mktsegment", "c_acctbal", "c_custkey"), path, "append")
+    return read_csv_table(spark, path, customers.schema)

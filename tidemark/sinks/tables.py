@@ -35,11 +35,11 @@ def write_if_missing(table: DataFrame, path: str, force: bool = False) -> bool:
     return True
 
 
-def write_csv(table: DataFrame, path: str) -> bool:
+def write_csv(table: DataFrame, path: str, mode: str = "overwrite") -> bool:
     """CSV with a header, quotes doubled; nothing is written for an empty table."""
     if table.isEmpty():
         return False
-    table.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    table.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
     return True
 
 
