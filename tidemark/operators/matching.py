@@ -18,20 +18,31 @@ def overlay_last(
     Shared columns take the right value where a record matched, NULL included,
     and the left one where none did. Every left row is kept once.
     """
+    latest = last_record(right, keys, order).select(*keys, laid_over(left, right, keys))
+    return merge_over(left.join(latest, list(keys), "left"), left, right, keys)
+
+
+def _added(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [name for name in right.columns if name not in left.columns and name not in keys]
+
+
+def laid_over(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """A right record as one column ``_over``, which is NULL where none matched."""
     shared = [name for name in right.columns if name in left.columns and name not in keys]
-    added = [name for name in right.columns if name not in left.columns and name not in keys]
-    latest = last_record(right, keys, order).select(
-        *keys, F.struct(*shared, *added).alias("_over")
-    )
+    return F.struct(*shared, *_added(left, right, keys)).alias("_over")
+
+
+def merge_over(joined: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Columns of left rows with ``_over`` laid over them, then those only the right has."""
     matched = F.col("_over").isNotNull()
-    joined = left.join(latest, list(keys), "left")
     merged = [
         F.when(matched, F.col(f"_over.{name}")).otherwise(F.col(name)).alias(name)
-        if name in shared
+        if name in right.columns and name not in keys
         else F.col(name)
         for name in left.columns
     ]
-    return joined.select(*merged, *[F.col(f"_over.{name}").alias(name) for name in added])
+    added = [F.col(f"_over.{name}").alias(name) for name in _added(left, right, keys)]
+    return joined.select(*merged, *added)
 
 
 def missing_members(expected: DataFrame, seen: DataFrame, key: str) -> DataFrame:

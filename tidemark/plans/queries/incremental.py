@@ -15,7 +15,7 @@ from tidemark.operators.incremental import (
 from tidemark.plans.queries.registry import query, table
 from tidemark.session import staging_path
 from tidemark.sources.streams import parquet_stream
-from tidemark.streaming.keyed import last_of_stream, run_keyed, window_averages
+from tidemark.streaming.keyed import last_of_stream, overlay_stream, run_keyed, window_averages
 
 _FRAGMENTS = 4
 _SKETCH = 800
@@ -96,10 +96,9 @@ def _event_stream(spark, folder, twice: bool = False):
     return parquet_stream(spark, path, events.schema, max_files=1)
 
 
-def _run(spark, updates, keys, table_name):
-    return run_keyed(
-        updates, keys, table_name, "stream-check", staging_path(spark, "keyed-tables"), staging_path(spark, "keyed-checkpoint")
-    )
+def _run(spark, updates, keys, table_name, mode="update"):
+    output, checkpoint = staging_path(spark, "keyed-tables"), staging_path(spark, "keyed-checkpoint")
+    return run_keyed(updates, keys, table_name, "stream-check", output, checkpoint, mode)
 
 
 @query(
@@ -131,3 +130,56 @@ def stream_last_record(spark, folder):
     updates = last_of_stream(_event_stream(spark, folder, twice=True), ["user_id"], ["at", "event_id"])
     result = _run(spark, updates, ["user_id"], "last")
     return result.current(spark).select("user_id", "event_id", "event_type", "value")
+
+
+@query(
+    "stream_progress_join",
+    """
+    with runs as (
+        select c_custkey, c_mktsegment, c_acctbal, timestamp '1995-01-01' + to_days((c_custkey % 1000)::integer) as opened
+        from customer
+    ), latest as (
+        select c_custkey, o_orderkey, o_totalprice,
+               row_number() over (partition by c_custkey order by o_orderkey desc) as place
+        from runs join orders on o_custkey = c_custkey
+        where o_orderpriority = '1-URGENT' and o_orderdate between opened and opened + to_days(1000)
+    )
+    select c_custkey as run, c_mktsegment as scenario,
+           case when place is not null then o_totalprice else c_acctbal end as amount,
+           o_orderkey as report
+    from runs left join latest using (c_custkey) where coalesce(place, 1) = 1
+    """,
+)
+def stream_progress_join(spark, folder):
+    """Both sides come as streams of files in no order of time; the last file of each, later
+    than all, closes what is open."""
+    day = lambda text: F.expr(f"interval {text} days")
+    runs = table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("long").alias("run"),
+        F.col("c_mktsegment").alias("scenario"),
+        F.col("c_acctbal").alias("amount"),
+        F.expr("timestamp '1995-01-01 00:00:00 UTC' + make_dt_interval(cast(c_custkey % 1000 as int))").alias("opened"),
+    )
+    orders = table(spark, folder, "orders")
+    reports = orders.where("o_orderpriority = '1-URGENT'").select(
+        F.col("o_custkey").cast("long").alias("run"),
+        F.col("o_totalprice").alias("amount"),
+        F.col("o_orderkey").alias("report"),
+        utc_instant(F.col("o_orderdate")).alias("seen"),
+    )
+    end = orders.agg((F.max(utc_instant(F.col("o_orderdate"))) + day(8000)).alias("end"))
+
+    def stream(name, rows, time):
+        path = staging_path(spark, name)
+        rows.repartition(_FRAGMENTS).write.parquet(path)
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in ("run", time)]
+        # Rows without a key wouldn't reach the watermark.
+        end.select(F.lit(-1).cast("long").alias("run"), F.col("end").alias(time), *empty).select(*rows.columns).write.mode("append").parquet(path)
+        return parquet_stream(spark, path, rows.schema, max_files=1)
+
+    updates = overlay_stream(
+        stream("runs-stream", runs, "opened"), stream("reports-stream", reports, "seen"), ["run"], "opened", "seen", "3000 days", "1000 days"
+    )
+    result = _run(spark, updates, ["run"], "joined", "append")
+    rows = result.current(spark, "report").where(F.col("run") >= 0)
+    return rows.select("run", "scenario", "amount", "report")

@@ -1,6 +1,6 @@
-"""Streams with state: averages per event-time window, and the last record per key.
+"""Streams with state: averages per event-time window, the last record per key, joins of two streams.
 
-Both are Spark's own streaming aggregates in update mode. Each micro-batch writes the rows
+They are Spark's own streaming aggregates in update mode and its stream–stream join. Each micro-batch writes the rows
 that it changed to its own folder, which a repeated batch overwrites; the row of a key's last
 batch holds. A restart with the same checkpoint goes on with the state it had.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from tidemark.operators.grouping import last_record
+from tidemark.operators.matching import laid_over, merge_over
 from tidemark.streaming.microbatch import MicroBatchTables
 
 _LISTENER_SECONDS = 120
@@ -48,6 +49,31 @@ def last_of_stream(events: DataFrame, keys: Sequence[str], order: Sequence[str])
     return found.select(*keys, *[F.col("record")[c].alias(c) for c in [*order, *rest]])
 
 
+def overlay_stream(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, delay: str, within: str
+) -> DataFrame:
+    """Left rows with each right record of their key laid over them, from two streams.
+
+    A right record belongs to a left row from the row's time on, for ``within``. There is a row
+    per pair at once, and one for a left row without any record as soon as the watermarks (each
+    ``delay`` behind the latest time of its side) say that none can come any more. Until then
+    both sides are state, spread by key; later rows are left out, ``run_keyed`` counts them.
+    Stored in append mode and read with the records' order, the result has one row per left row,
+    like ``overlay_last``. A NULL key or time matches nothing; a record without a key doesn't
+    move its side's watermark on.
+    """
+    records = right.withWatermark(right_time, delay).select(
+        *[F.col(key).alias(f"_key_{key}") for key in keys],
+        F.col(right_time).alias("_time"),
+        laid_over(left, right, keys),
+    )
+    rows = left.withWatermark(left_time, delay)
+    condition = (F.col("_time") >= F.col(left_time)) & (F.col("_time") <= F.col(left_time) + F.expr(f"interval {within}"))
+    for key in keys:
+        condition = condition & (F.col(key) == F.col(f"_key_{key}"))
+    return merge_over(rows.join(records, condition, "left_outer"), left, right, keys)
+
+
 class _LateRows(StreamingQueryListener):
     """Adds up what the state operators of one query turn away."""
 
@@ -89,17 +115,24 @@ class KeyedResult:
     keys: Sequence[str] = field(default_factory=tuple)
     late_rows: int = 0
 
-    def current(self, spark: SparkSession) -> DataFrame:
-        """One row per key: that of the last batch that changed it."""
+    def current(self, spark: SparkSession, order: str | None = None) -> DataFrame:
+        """One row per key: that of the last batch that changed it, or the last by ``order``."""
         rows = self.tables.read(spark, self.table, self.schema)
-        return last_record(rows, list(self.keys), "batch_id").select(*self.schema.names)
+        # In a struct a missing order comes first, and doesn't lose the row.
+        place = F.struct(order) if order else "batch_id"
+        return last_record(rows, list(self.keys), place).select(*self.schema.names)
 
 
-def run_keyed(updates: DataFrame, keys: Sequence[str], table: str, run_id: str, output: str, checkpoint: str) -> KeyedResult:
-    """Run a streaming aggregate over all there is and store the rows each batch changes.
+def run_keyed(
+    updates: DataFrame, keys: Sequence[str], table: str, run_id: str, output: str, checkpoint: str, mode: str = "update"
+) -> KeyedResult:
+    """Run a stream with state over all there is and store the rows each batch changes or adds.
 
     ``checkpoint`` belongs to this query alone and must be a folder of the shared file system.
     """
+    clash = {"run_id", "batch_id"}.intersection(name.lower() for name in updates.columns)
+    if clash:
+        raise ValueError(f"the folders of batches have columns of these names: {sorted(clash)}")
     spark = updates.sparkSession
     tables = MicroBatchTables(output)
     late = _LateRows()
@@ -110,7 +143,7 @@ def run_keyed(updates: DataFrame, keys: Sequence[str], table: str, run_id: str,
     spark.streams.addListener(late)
     try:
         query = (
-            updates.writeStream.outputMode("update")
+            updates.writeStream.outputMode(mode)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .foreachBatch(store)
