@@ -50,3 +50,44 @@ def test_statements_in_use(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_blocks(w, statement):
+    """Best window apart from those taken, again and again, looking at all windows each time."""
+    t = set(words(statement, PLAIN))
+    size, taken = -(-3 * len(words(statement, PLAIN)) // 2), []
+    while t:
+        best = None
+        for first in range(len(w)):
+            for last in range(first, min(first + size, len(w))):
+                held = len(t & set(w[first : last + 1]))
+                apart = all(last < f or first > l for f, l, _ in taken)
+                if held / len(t) >= THRESHOLD and apart:
+                    best = min(best or (1,), (-held, last - first, first))
+        if best is None:
+            break
+        taken.append((best[2], best[2] + best[1], -best[0] / len(t)))
+    return sorted(taken)
+
+
+def test_blocks_against_all_windows(spark):
+    rng = random.Random(2)
+    pool = "alpha beta gamma delta epsilon the of omega zeta other".split()
+    whole = TEMPLATES[0][1]
+    texts = [f"{whole} {whole}", f"{whole} {whole} {whole}", f"beta gamma delta epsilon {whole}", f"{whole} x {whole[:16]}"]
+    texts += [" ".join(rng.choices(pool, k=rng.choice([8, 20, 40]))) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for row in scan_licenses(table, templates=TEMPLATES).collect():
+        w = words(texts[row["doc_id"]], PLAIN)
+        wanted = [(label, *block) for label, statement in TEMPLATES for block in brute_blocks(w, statement)]
+        assert sorted(tuple(b) for b in row["blocks"]) == sorted(wanted)
+        if row["doc_id"] < 4:
+            assert sum(b["label"] == "one" for b in row["blocks"]) == (3 if row["doc_id"] == 1 else 2 - (row["doc_id"] == 3))
+
+
+def test_long_text_repeated_rows_and_clashing_columns(spark):
+    text = "word " * 50_000 + (TEMPLATES[0][1] + " ") * 5_000
+    table = spark.createDataFrame([(1, text, "x", 0.5), (1, text, "x", 0.5)], "doc_id long, text string, labels string, score double")
+    rows = scan_licenses(table, templates=TEMPLATES).collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+    assert rows[0]["n_words"] == 75_000 and len(rows[0]["blocks"]) == 5_000 and rows[0]["labels"] == "one"

@@ -10,7 +10,9 @@ template's first ``n - least + 1`` words (prefix filter), so that only windows a
 those are looked at, and only in texts with ``least`` different words (length
 filter). When the first of the template's words that the block holds stands at place
 ``p`` of the order, at most ``n - p`` can be shared (positional filter). All windows
-that pass are counted exactly; none is dropped.
+that pass are counted exactly. Blocks are the best of them that don't overlap: the window
+with most of the template's words, then the shortest, then the first is taken, and the next
+among those apart from it, until no window that meets the template is apart from all blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from dataclasses import dataclass
 from itertools import repeat
 from math import ceil
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -117,28 +118,36 @@ def ordered_templates(
 
 
 def _blocks(words: list[bytes], template: Template) -> list[tuple[int, int, int]]:
-    """(first word, last word, template's words held) of the best window of each run that meets it."""
+    """(first word, last word, template's words held) of windows that meet it, none overlapping.
+
+    Windows begin and end with a word of the template, and end where they hold one more.
+    """
     place = {w: k for k, w in enumerate(template.words)}
-    held = np.fromiter(map(place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-    anchors = np.flatnonzero((held >= 0) & (held < len(template.prefix)))
-    found: list[tuple[int, int, int]] = []
+    held = list(map(place.get, words, repeat(-1)))
+    size, n, prefix = template.window, len(template.words), len(template.prefix)
+    windows: list[tuple[int, int, int]] = []
     done = -1
-    size, n = template.window, len(template.words)
-    for anchor in anchors.tolist():
+    for anchor in (at for at, word in enumerate(held) if 0 <= word < prefix):
         for first in range(max(done + 1, anchor - size + 1, 0), anchor + 1):
             done = first
+            if held[first] < 0:
+                continue
             inside = held[first : first + size]
-            inside = np.unique(inside[inside >= 0])
-            if not len(inside) or n - inside[0] < template.least:  # positional filter
+            if n - min(word for word in inside if word >= 0) < template.least:  # positional filter
                 continue
-            if len(inside) >= template.least:
-                block = (first, min(first + size, len(words)) - 1, len(inside))
-                if found and block[0] <= found[-1][1]:
-                    if block[2] > found[-1][2]:
-                        found[-1] = block
-                else:
-                    found.append(block)
-    return found
+            seen: set[int] = set()
+            for step, word in enumerate(inside):
+                if word >= 0 and word not in seen:
+                    seen.add(word)
+                    if len(seen) >= template.least:
+                        windows.append((-len(seen), step, first))
+    found: list[tuple[int, int, int]] = []
+    taken = bytearray(len(words))
+    for count, step, first in sorted(windows):
+        if 1 not in taken[first : first + step + 1]:
+            taken[first : first + step + 1] = b"\x01" * (step + 1)
+            found.append((first, first + step, -count))
+    return sorted(found)
 
 
 def scan_text(
@@ -185,12 +194,13 @@ def scan_licenses(
     ``n_base`` counts the places of phrases, ``first_word`` and ``last_word`` are the
     least and greatest of them (NULL without any), ``base_labels`` and ``labels`` are
     distinct, sorted and comma-joined; ``score`` is 1 where a phrase stands, else the
-    largest share of a template that a block holds, 0 without blocks. ``blocks`` has,
-    per template and run of overlapping windows that meet it, the best window.
+    largest share of a template that a block holds, 0 without blocks. ``blocks`` has, per
+    template, the best windows that meet it and don't overlap: two statements directly
+    after each other are two blocks.
 
     A-Z are lower-cased, words are digits, letters and all beyond ASCII. NULL and
     empty texts have no words; repeated rows are scanned each; texts are read whole.
-    An empty table gives no rows.
+    An empty table gives no rows. Other columns don't matter.
     """
     made = ordered_templates(documents, text_column, templates, threshold)
     shared = documents.sparkSession.sparkContext.broadcast(made)
