@@ -33,12 +33,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     in all scans.
     """
     staged = Staged(spark, "near-duplicates")
-    keyed = staged.put("keyed", docs.withColumn("row key", F.monotonically_increasing_id()))
-    classes = jaccard_classes(keyed, "row key")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row key")
-    rows = classes.join(keyed.select("row key", "doc_id"), "row key")
-    first = rows.groupBy("component_id").agg(F.min(place).alias("first")).select("first.row key")
-    return keyed.join(first, "row key", "left_semi").select(docs.columns)
+    key = "row key"
+    while key in {name.lower() for name in docs.columns}:
+        key += " of pipeline"
+    keyed = staged.put("keyed", docs.withColumn(key, F.monotonically_increasing_id()))
+    classes = jaccard_classes(keyed, key)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", key)
+    rows = classes.join(keyed.select(key, "doc_id"), key)
+    first = rows.groupBy("component_id").agg(F.min(place).alias("first")).select(F.col("first")[key].alias(key))
+    return keyed.join(first, key, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
