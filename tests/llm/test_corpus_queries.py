@@ -75,3 +75,12 @@ def test_near_duplicates_go_by_similarity_only(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=key) == sorted(wanted, key=key)
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (2, text, "b"), (3, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `Row key` string")
+    found = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect())) == [rows[0], rows[2]]
