@@ -12,11 +12,15 @@ annotations that cover some documents, marker words and marker beginnings of
 words; markers are found by their log odds among annotated documents. The scorers are
 fitted on a sample of at most ``SAMPLE_ROWS`` annotated documents, those with the
 least hash of their id; vote patterns are counted over all documents.
+
+A scorer has a weight for every bucket of a table of fixed size, and no feature is left
+out. The sample stays on the executors: they add up what a step of the fit needs by
+bucket, and the driver holds the sums alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -29,12 +33,13 @@ from tidemark.llm.words import PLAIN_WORDS, mixed, sequence_digest, text_chunks,
 
 #: Bound on the annotated documents the scorers are fitted on.
 SAMPLE_ROWS = 8192
-#: Bound on the features a scorer has weights for.
-MOST_FEATURES = 512
-_BUCKET_BITS = 40
-#: Documents of the sample that must have a feature.
-_LEAST_SEEN = 5
-_PLACE_BITS = 22
+#: Features are buckets of a table of two to this power.
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS
+#: Tasks that hold the sample.
+_SAMPLE_TASKS = 8
+#: Passes over the sample in the fit.
+_MOST_PASSES = 40
 _BEGINNINGS = (4, 5, 6)
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -164,11 +169,11 @@ def _level_features(values: list[float | None]) -> np.ndarray:
         k * 64 + (63 if v is None else min(62, int(np.sqrt(max(v, 0.0)) * 15)))
         for k, v in enumerate(values)
     ]
-    return mixed(np.array(found, dtype=np.uint64) + np.uint64(1 << 50)) >> np.uint64(64 - _BUCKET_BITS)
+    return mixed(np.array(found, dtype=np.uint64) + np.uint64(1 << 50)) >> np.uint64(64 - BUCKET_BITS)
 
 
 def document_features(column: pa.Array) -> Iterator[tuple[int, bytes, list[float | None], np.ndarray]]:
-    """(row, digest of the words, measures, sorted distinct feature hashes) of each text."""
+    """(row, digest of the words, measures, sorted distinct buckets) of each text."""
     for first, offsets, data in text_chunks(column):
         starts, ends, bounds = word_spans(data, offsets, PLAIN_WORDS)
         whole = word_hashes(data, starts, ends, PLAIN_WORDS)
@@ -176,7 +181,7 @@ def document_features(column: pa.Array) -> Iterator[tuple[int, bytes, list[float
         for k in _BEGINNINGS:
             cut = np.minimum(ends, starts + k)
             parts.append(mixed(word_hashes(data, starts, cut, PLAIN_WORDS) + np.uint64(k)))
-        hashed = np.stack([p >> np.uint64(64 - _BUCKET_BITS) for p in parts])
+        hashed = np.stack([p >> np.uint64(64 - BUCKET_BITS) for p in parts])
         for k in range(len(offsets) - 1):
             mine = slice(bounds[k], bounds[k + 1])
             values = measures(data[offsets[k] : offsets[k + 1]].tobytes())
@@ -186,59 +191,65 @@ def document_features(column: pa.Array) -> Iterator[tuple[int, bytes, list[float
 
 @dataclass
 class Scorer:
-    """A logistic model on hashed features; those without a weight count nothing."""
+    """A logistic model with a weight per bucket."""
 
-    features: np.ndarray
     weights: np.ndarray
     bias: float
 
     def score(self, found: np.ndarray) -> float:
-        if not len(self.features):
-            return 1 / (1 + float(np.exp(-self.bias)))
-        at = np.minimum(np.searchsorted(self.features, found), len(self.features) - 1)
-        total = self.bias + self.weights[at[self.features[at] == found]].sum()
+        total = self.bias + float(self.weights[found].sum(dtype=np.float64))
         return 1 / (1 + float(np.exp(-np.clip(total, -60, 60))))
 
 
-def _telling(samples: list[np.ndarray], target: np.ndarray, least_share: float, least_odds: float) -> np.ndarray:
-    """Features whose log odds between the classes stand out; the clearest, if there are too many."""
-    rows = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
-    values, place = np.unique(np.concatenate(samples), return_inverse=True)
-    yes = np.bincount(place, weights=target[rows], minlength=len(values))
-    no = np.bincount(place, weights=1 - target[rows], minlength=len(values))
-    all_yes, all_no = target.sum(), (1 - target).sum()
+def constant_scorer(bias: float) -> Scorer:
+    return Scorer(np.zeros(BUCKETS, dtype=np.float32), bias)
+
+
+def clearness(yes: np.ndarray, no: np.ndarray, all_yes: float, all_no: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per bucket the log odds between the classes, and those in standard errors."""
     odds = np.log((yes + 0.5) / (all_yes + 1)) - np.log((no + 0.5) / (all_no + 1))
-    spread = np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
-    share = np.maximum(yes / max(all_yes, 1), no / max(all_no, 1))
-    often = (yes + no >= _LEAST_SEEN) & (share >= least_share) & (np.abs(odds) >= least_odds)
-    strength = np.where(often, np.abs(odds) / spread, 0)
-    chosen = np.argsort(-strength, kind="stable")[:MOST_FEATURES]
-    return np.sort(values[chosen[strength[chosen] > 3]])
-
-
-def fit_scorer(samples: list[np.ndarray], target: np.ndarray, features: np.ndarray, penalty: float = 1.0) -> Scorer:
-    """Ridge logistic regression on the presence of ``features``, by Newton's method."""
-    if not len(features) or not len(samples):
-        share = float(np.clip(target.mean() if len(target) else 0.5, 0.01, 0.99))
-        return Scorer(features[:0], np.empty(0), float(np.log(share / (1 - share))))
-    held = np.zeros((len(samples), len(features) + 1), dtype=np.float32)
-    held[:, -1] = 1
-    for k, own in enumerate(samples):
-        at = np.minimum(np.searchsorted(features, own), len(features) - 1)
-        held[k, at[features[at] == own]] = 1
-    ridge = np.full(held.shape[1], penalty)
-    ridge[-1] = 1e-3
-    weights = np.zeros(held.shape[1])
-    for _ in range(30):
-        guess = 1 / (1 + np.exp(-np.clip(held @ weights, -30, 30)))
-        slope = held.T @ (guess - target) + ridge * weights
-        bend = held.T @ (held * np.maximum(guess * (1 - guess), 1e-4)[:, None].astype(np.float32)) + np.diag(ridge)
-        step = np.linalg.solve(bend, slope)
-        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        weights -= step
-        if np.abs(step).max() < 1e-4:
-            break
-    return Scorer(features, weights[:-1], float(weights[-1]))
+    return odds, odds / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
+
+
+def _spread(clear: np.ndarray) -> np.ndarray:
+    """How far a bucket's weight may go from 0: little below three standard errors, never not at all."""
+    return (clear**4 + 1e-6) / (clear**4 + 81)
+
+
+Fit = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
+
+
+def minimise(start: np.ndarray, memory: int = 8, least: float = 1e-3) -> Fit:
+    """Limited-memory BFGS that asks for value and slope at the points it yields."""
+    x = start
+    value, slope = yield x
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    while np.abs(slope).max(initial=0) > least:
+        way, used = -slope, []
+        for moved, turned in reversed(pairs):
+            share = moved @ way / (moved @ turned)
+            way = way - share * turned
+            used.append(share)
+        if pairs:
+            moved, turned = pairs[-1]
+            way = way * (moved @ turned) / (turned @ turned)
+        else:
+            way = way / max(1.0, float(np.linalg.norm(slope)))
+        for (moved, turned), share in zip(pairs, reversed(used)):
+            way = way + (share - turned @ way / (moved @ turned)) * moved
+        step = 1.0
+        while True:
+            ahead = x + step * way
+            there, new_slope = yield ahead
+            if there <= value + 1e-4 * step * float(slope @ way):
+                break
+            step *= 0.3
+            if step < 1e-4:
+                return x
+        if (ahead - x) @ (new_slope - slope) > 1e-12:
+            pairs = [*pairs, (ahead - x, new_slope - slope)][-memory:]
+        x, value, slope = ahead, there, new_slope
+    return x
 
 
 def _counted_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +261,12 @@ def _counted_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(digest, _code(votes(values)), found.astype(np.int64)) for _, digest, values, found in document_features(batch.column(0))]
+        rows = [(digest, _code(votes(values)), found.astype(np.int32)) for _, digest, values, found in document_features(batch.column(0))]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.binary()),
                 pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                pa.array([r[2] for r in rows], pa.list_(pa.int32())),
                 batch.column(1).cast(pa.int32()),
                 batch.column(2).cast(pa.int32()),
             ],
@@ -263,47 +274,125 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _placed_features(doubtful: frozenset[int]):
-    """How many documents, toxic ones and bad ones have a feature, in a table of fixed size.
+@dataclass
+class Batch:
+    """Documents of the sample: their buckets one after the other, votes and annotations."""
+
+    buckets: np.ndarray
+    starts: np.ndarray
+    codes: np.ndarray
+    quality: np.ndarray
+    toxic: np.ndarray
+
+    def totals(self, table: np.ndarray) -> np.ndarray:
+        """Per document the sum of its buckets' entries; every document has a bucket."""
+        return np.add.reduceat(table[self.buckets], self.starts[:-1], dtype=np.float64)
+
+
+def _batch(batch: pa.RecordBatch) -> Batch:
+    lists = batch.column(2)
+    return Batch(
+        lists.flatten().to_numpy(zero_copy_only=False),
+        np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]),
+        batch.column(1).to_numpy(zero_copy_only=False),
+        *(batch.column(k).fill_null(NONE).to_numpy(zero_copy_only=False) for k in (3, 4)),
+    )
+
+
+def bucket_sums(sample: DataFrame, values: Callable[[Batch], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the documents of ``values`` (rows of ``width`` numbers), and those per bucket.
 
-    Features may share a place, so that a telling one may take others along. A
-    document counts once at a place, and once at place -1.
+    Tasks add up their documents, Spark adds up the tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((3, 1 << _PLACE_BITS), dtype=np.int32)
-        documents = np.zeros(3, dtype=np.int64)
+        sums, whole = np.zeros((width, BUCKETS)), np.zeros(width)
         for batch in batches:
-            columns = (batch.column(k).to_pylist() for k in (1, 3, 4))
-            for own, code, quality, toxic in zip(batch.column(2), *columns):
-                places = np.asarray(own.values, dtype=np.int64) & ((1 << _PLACE_BITS) - 1)
-                bad = quality == 0 if quality is not None else code in doubtful
-                for row, counts_it in enumerate((True, bool(toxic), bad)):
-                    if counts_it:
-                        counts[row, places] += 1
-                        documents[row] += 1
-        held = np.flatnonzero(counts[0])
-        sums = np.concatenate([documents[:, None], counts[:, held]], axis=1)
+            if not batch.num_rows:
+                continue
+            held = _batch(batch)
+            rows = values(held)
+            whole += rows.sum(axis=1)
+            lengths = np.diff(held.starts)
+            for k in range(width):
+                sums[k] += np.bincount(held.buckets, weights=np.repeat(rows[k], lengths), minlength=BUCKETS)
+        places = np.flatnonzero(sums.any(axis=0))
+        columns = np.concatenate([whole[:, None], sums[:, places]], axis=1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([[-1], held])), *map(pa.array, sums)], names=["place", "n", "toxic", "bad"]
+            [pa.array(np.concatenate([[-1], places])), *map(pa.array, columns)], names=["place", *names]
         )
 
-    return run
+    names = [f"v{k}" for k in range(width)]
+    parts = sample.mapInArrow(run, ", ".join(["place long", *(f"{n} double" for n in names)]))
+    added = parts.groupBy("place").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    places = added.column("place").to_numpy()
+    sums, whole = np.zeros((width, BUCKETS)), np.zeros(width)
+    for k, name in enumerate(names):
+        column = added.column(name).to_numpy()
+        sums[k, places[places >= 0]] = column[places >= 0]
+        whole[k] = column[places < 0].sum()
+    return whole, sums
 
 
-def _common_features(common):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = common.value
-        for batch in batches:
-            kept = []
-            for own in batch.column(2):
-                values = np.asarray(own.values, dtype=np.int64)
-                kept.append(values[table[values & (len(table) - 1)]])
-            columns = list(batch.columns)
-            columns[2] = pa.array(kept, type=columns[2].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+def fit_scorers(sample: DataFrame, targets: Callable[[Batch], np.ndarray], width: int, penalty: float = 1.0) -> list[Scorer]:
+    """Ridge logistic regressions on the presence of buckets, one per row of ``targets``.
 
-    return run
+    The ridge is weaker the more clearly a bucket tells the classes apart. All
+    regressions ask for values and slopes in the same passes over the sample.
+    """
+    context = sample.sparkSession.sparkContext
+
+    def classes(batch: Batch) -> np.ndarray:
+        good = targets(batch)
+        return np.concatenate([good, 1 - good])
+
+    whole, sums = bucket_sums(sample, classes, 2 * width)
+    held = np.flatnonzero(sums.any(axis=0))
+    spreads = [
+        np.append(_spread(clearness(sums[k, held], sums[width + k, held], whole[k], whole[width + k])[1]), 1.0)
+        for k in range(width)
+    ]
+    ridge = np.append(np.full(len(held), penalty), 1e-3)
+    fits: list[Fit] = []
+    points: list[np.ndarray] = []
+    for k in range(width):
+        start = np.zeros(len(held) + 1)
+        start[-1] = np.log((whole[k] + 0.5) / (whole[width + k] + 0.5))
+        fits.append(minimise(start))
+        points.append(next(fits[-1]))
+    open_fits = set(range(width))
+    for _ in range(_MOST_PASSES):
+        if not open_fits:
+            break
+        tables = np.zeros((width, BUCKETS), dtype=np.float32)
+        for k in range(width):
+            tables[k, held] = (spreads[k] * points[k])[:-1]
+        shared = context.broadcast((tables, [float(p[-1]) for p in points]))
+
+        def slopes(batch: Batch) -> np.ndarray:
+            rows, (weights, biases) = [], shared.value
+            for good, table, bias in zip(targets(batch), weights, biases):
+                raw = np.clip(bias + batch.totals(table), -60, 60)
+                rows.append(1 / (1 + np.exp(-raw)) - good)
+                rows.append(np.logaddexp(0, raw) - good * raw)
+            return np.stack(rows)
+
+        whole, sums = bucket_sums(sample, slopes, 2 * width)
+        shared.destroy()
+        for k in sorted(open_fits):
+            value = whole[2 * k + 1] + 0.5 * float(ridge @ points[k] ** 2)
+            slope = spreads[k] * np.append(sums[2 * k, held], whole[2 * k]) + ridge * points[k]
+            try:
+                points[k] = fits[k].send((value, slope))
+            except StopIteration as end:
+                points[k] = end.value
+                open_fits.discard(k)
+    scorers = []
+    for spread, point in zip(spreads, points):
+        scorer = constant_scorer(float(point[-1]))
+        scorer.weights[held] = (spread * point)[:-1]
+        scorers.append(scorer)
+    return scorers
 
 
 @dataclass
@@ -313,6 +402,32 @@ class QualityModel:
     toxic: Scorer
 
 
+def annotated_sample(
+    texts: DataFrame, labels: DataFrame, sample_rows: int
+) -> DataFrame:
+    """``text, quality, toxic`` of at most ``sample_rows`` annotated ids, one row each.
+
+    Rows without an id or annotation, and those of ids that no document has, take no room.
+    Of several annotations of an id the least counts for quality and the greatest for
+    toxicity; of several texts the least.
+    """
+    notes = (
+        labels.where("id is not null and (quality is not null or toxic is not null)")
+        .join(texts.select("id"), "id", "left_semi")
+        .groupBy("id")
+        .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        .orderBy(F.xxhash64("id"), "id")
+        .limit(sample_rows)
+    )
+    # At most ``sample_rows`` short rows, so that a broadcast is bounded.
+    return (
+        texts.join(F.broadcast(notes), "id")
+        .groupBy("id", "quality", "toxic")
+        .agg(F.min("text").alias("text"))
+        .select("text", "quality", "toxic")
+    )
+
+
 def train(
     documents: DataFrame,
     labels: DataFrame,
@@ -329,79 +444,87 @@ def train(
     counts = np.array([r["n"] for r in patterns], dtype=float)
     model = fit_labels(_ballots(codes, len(MEASURES)), counts)
 
-    marked = (
-        labels.select(F.col(id_column).alias("id"), F.col(quality_column).alias("quality"), F.col(toxic_column).alias("toxic"))
-        .where("id is not null")
-        .orderBy(F.xxhash64("id"), "id", "quality", "toxic")
-        .limit(sample_rows)
+    notes = labels.select(
+        F.col(id_column).alias("id"),
+        F.col(quality_column).cast("int").alias("quality"),
+        F.col(toxic_column).cast("int").alias("toxic"),
     )
     staged = Staged(documents.sparkSession, "quality")
-    found = staged.put(
-        "sample",
-        texts.join(F.broadcast(marked), "id")
-        .select("text", "quality", "toxic")
-        .mapInArrow(_sampled, "digest binary, code long, features array<long>, quality int, toxic int"),
+    found = annotated_sample(texts, notes, sample_rows).mapInArrow(
+        _sampled, "digest binary, code long, features array<int>, quality int, toxic int"
     )
-    doubtful = codes[model.posterior(_ballots(codes, len(MEASURES))) < 0.5]
-    counted = (
-        found.mapInArrow(_placed_features(frozenset(doubtful.tolist())), "place long, n long, toxic long, bad long")
-        .groupBy("place")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "bad")])
+    # Copies of a text count once.
+    once = found.groupBy("digest").agg(F.min(F.struct("quality", "toxic", "code", "features")).alias("row"))
+    sample = staged.put(
+        "sample",
+        once.select("digest", "row.code", "row.features", "row.quality", "row.toxic").repartition(_SAMPLE_TASKS, "digest"),
     )
-    # Place -1 counts the documents themselves.
-    counted = staged.put("places", counted)
-    totals = counted.where("place = -1").first()
-    common = np.zeros(1 << _PLACE_BITS, dtype=bool)
-    for name, least_odds in (("toxic", 3.0), ("bad", 0.3)):
-        own, total = F.col(name), totals[name] if totals else 0
-        rest, others = F.col("n") - own, (totals["n"] if totals else 0) - total
-        odds = F.log((own + 0.5) / (total + 1)) - F.log((rest + 0.5) / (others + 1))
-        strength = F.abs(odds) / F.sqrt(1 / (own + 0.5) + 1 / (rest + 0.5))
-        told = counted.where((F.col("place") >= 0) & (F.col("n") >= _LEAST_SEEN) & (F.abs(odds) >= least_odds))
-        best = told.orderBy(strength.desc(), "place").limit(4 * MOST_FEATURES).select("place").toArrow()
-        common[best.column("place").to_numpy()] = True
-    shared = documents.sparkSession.sparkContext.broadcast(common)
-    sample = found.mapInArrow(_common_features(shared), found.schema).toArrow()
-    staged.drop("sample", "places")
-    rows, seen = [], set()
-    for k, digest in enumerate(sample.column("digest").to_pylist()):
-        if digest not in seen:
-            seen.add(digest)
-            rows.append(k)
-    if not rows:
-        return QualityModel(model, Scorer(np.empty(0, np.uint64), np.empty(0), 60.0), Scorer(np.empty(0, np.uint64), np.empty(0), -60.0))
-    features = [np.asarray(sample.column("features")[k].values, dtype=np.int64).astype(np.uint64) for k in rows]
-    own_codes = sample.column("code").to_numpy()[rows]
-    annotated = [
-        np.array([GOOD if v else BAD if v is not None else NONE for v in sample.column(name).to_pylist()], dtype=np.int64)[rows]
-        for name in ("quality", "toxic")
-    ]
-    del sample
+    cast = sample.groupBy("code", "quality").count().collect()
+    if not cast:
+        staged.drop("sample")
+        return QualityModel(model, constant_scorer(60.0), constant_scorer(-60.0))
+
     # Every document's ballot, and the annotator's vote beside it where there is one.
+    own_codes = np.array([r["code"] for r in cast], dtype=np.int64)
+    annotated = np.array([NONE if r["quality"] is None else int(r["quality"] != 0) for r in cast], dtype=np.int64)
     heuristic = _ballots(own_codes, len(MEASURES))
-    both = np.concatenate([heuristic, annotated[0][:, None]], axis=1)
-    joint = fit_labels(both, np.ones(len(both)), start=np.where(annotated[0] == NONE, model.posterior(heuristic), np.clip(annotated[0], 0.1, 0.9)))
-    target = joint.posterior(both)
-    return QualityModel(
-        model,
-        fit_scorer(features, target, _telling(features, target, 0.02, 0.3)),
-        _fit_toxic(features, annotated[1]),
-    )
+    both = np.concatenate([heuristic, annotated[:, None]], axis=1)
+    start = np.where(annotated == NONE, model.posterior(heuristic), np.clip(annotated, 0.1, 0.9))
+    joint = fit_labels(both, np.array([r["count"] for r in cast], dtype=float), start=start)
+    good_of = dict(zip(zip(own_codes.tolist(), annotated.tolist()), joint.posterior(both).tolist()))
+
+    toxic_of, markers = _toxic_labels(sample)
+
+    def targets(batch: Batch) -> np.ndarray:
+        noted = np.where(batch.quality == NONE, NONE, batch.quality != 0)
+        good = [good_of[pair] for pair in zip(batch.codes.tolist(), noted.tolist())]
+        return np.stack([good, toxic_of[_toxic_note(batch), _marked(batch, markers)]])
+
+    quality, toxic = fit_scorers(sample, targets, 2)
+    staged.drop("sample")
+    return QualityModel(model, quality, toxic if toxic_of.max() >= 0.5 else constant_scorer(-60.0))
+
 
+def _toxic_note(batch: Batch) -> np.ndarray:
+    return np.where(batch.toxic == NONE, NONE, batch.toxic != 0).astype(np.int64)
+
+
+def _marked(batch: Batch, markers: np.ndarray) -> np.ndarray:
+    table = np.zeros(BUCKETS, dtype=np.float32)
+    table[markers] = 1
+    return (batch.totals(table) > 0).astype(np.int64)
+
+
+def _toxic_labels(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) by annotation (no, yes, none) and by whether a marker occurs, and the markers."""
+    whole, sums = bucket_sums(sample, lambda batch: np.stack([_toxic_note(batch) == k for k in (1, 0)]).astype(float), 2)
+    if not whole[0]:
+        return np.zeros((3, 2)), np.empty(0, dtype=np.int64)
+    odds, clear = clearness(sums[0], sums[1], whole[0], whole[1])
+    markers = np.flatnonzero((odds >= 3) & (clear >= 4))
+
+    def cells(batch: Batch) -> np.ndarray:
+        cell = _toxic_note(batch) * 2 + _marked(batch, markers)
+        return (cell == np.arange(6)[:, None]).astype(float)
+
+    counts = _totals(sample, cells, 6)
+    ballots = np.array([(note, mark) for note in (0, 1, NONE) for mark in (0, 1)])
+    start = np.where(ballots[:, 0] == NONE, np.where(ballots[:, 1], 0.9, 0.1), np.clip(ballots[:, 0], 0.05, 0.95))
+    return fit_labels(ballots, counts, start=start).posterior(ballots).reshape(3, 2), markers
+
+
+def _totals(sample: DataFrame, values: Callable[[Batch], np.ndarray], width: int) -> np.ndarray:
+    """Sums over the documents of ``values``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = values(_batch(batch)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in rows], names=names)
 
-def _fit_toxic(features: list[np.ndarray], annotated: np.ndarray) -> Scorer:
-    known = np.flatnonzero(annotated != NONE)
-    yes = (annotated[known] == 1).astype(float)
-    if not yes.sum():
-        return Scorer(np.empty(0, np.uint64), np.empty(0), -60.0)
-    probe_features = [features[k] for k in known]
-    probe = fit_scorer(probe_features, yes, _telling(probe_features, yes, 0.008, 3.0))
-    strong = probe.features[probe.weights > 0.5]
-    marks = [np.isin(f, strong, assume_unique=True).any() for f in features]
-    ballots = np.stack([annotated, np.where(marks, 1, 0)], axis=1)
-    start = np.where(annotated == NONE, np.where(marks, 0.9, 0.1), np.clip(annotated, 0.05, 0.95))
-    target = fit_labels(ballots, np.ones(len(ballots)), start=start).posterior(ballots)
-    return fit_scorer(features, target, _telling(features, target, 0.008, 3.0))
+    names = [f"v{k}" for k in range(width)]
+    added = sample.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n).alias(n) for n in names])
+    return np.array(added.first(), dtype=float)
 
 
 RESULT = struct("weak_label double, quality_score double, toxic_score double, keep boolean")
