@@ -453,7 +453,7 @@ def train(
     found = annotated_sample(texts, notes, sample_rows).mapInArrow(
         _sampled, "digest binary, code long, features array<int>, quality int, toxic int"
     )
-    # Copies of a text count once.
+    # Texts of the same words count once.
     once = found.groupBy("digest").agg(F.min(F.struct("quality", "toxic", "code", "features")).alias("row"))
     sample = staged.put(
         "sample",
@@ -501,15 +501,17 @@ def _toxic_labels(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not whole[0]:
         return np.zeros((3, 2)), np.empty(0, dtype=np.int64)
     odds, clear = clearness(sums[0], sums[1], whole[0], whole[1])
-    markers = np.flatnonzero((odds >= 3) & (clear >= 4))
+    markers = np.flatnonzero((odds >= 3) & (clear >= 3))
 
     def cells(batch: Batch) -> np.ndarray:
         cell = _toxic_note(batch) * 2 + _marked(batch, markers)
         return (cell == np.arange(6)[:, None]).astype(float)
 
     counts = _totals(sample, cells, 6)
-    ballots = np.array([(note, mark) for note in (0, 1, NONE) for mark in (0, 1)])
-    start = np.where(ballots[:, 0] == NONE, np.where(ballots[:, 1], 0.9, 0.1), np.clip(ballots[:, 0], 0.05, 0.95))
+    # Without markers there is nothing to conclude from their absence.
+    absent = BAD if len(markers) else NONE
+    ballots = np.array([(note, mark) for note in (0, 1, NONE) for mark in (absent, 1)])
+    start = np.where(ballots[:, 0] == NONE, np.where(ballots[:, 1] == 1, 0.9, 0.1), np.clip(ballots[:, 0], 0.05, 0.95))
     return fit_labels(ballots, counts, start=start).posterior(ballots).reshape(3, 2), markers
 
 
