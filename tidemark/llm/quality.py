@@ -219,7 +219,7 @@ def _spread(clear: np.ndarray) -> np.ndarray:
 Fit = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
 
 
-def minimise(start: np.ndarray, memory: int = 8, least: float = 1e-3) -> Fit:
+def minimise(start: np.ndarray, memory: int = 8, least: float = 0.01) -> Fit:
     """Limited-memory BFGS that asks for value and slope at the points it yields."""
     x = start
     value, slope = yield x
