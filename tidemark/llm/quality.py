@@ -219,8 +219,12 @@ def _spread(clear: np.ndarray) -> np.ndarray:
 Fit = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
 
 
-def minimise(start: np.ndarray, memory: int = 8, least: float = 0.01) -> Fit:
-    """Limited-memory BFGS that asks for value and slope at the points it yields."""
+def minimise(start: np.ndarray, memory: int = 8, least: float = 0.01, gain: float = 1e-5) -> Fit:
+    """Limited-memory BFGS that asks for value and slope at the points it yields.
+
+    It ends at a slope of ``least``, or after a step that lowers the value by less than
+    ``gain`` of it.
+    """
     x = start
     value, slope = yield x
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -248,7 +252,9 @@ def minimise(start: np.ndarray, memory: int = 8, least: float = 0.01) -> Fit:
                 return x
         if (ahead - x) @ (new_slope - slope) > 1e-12:
             pairs = [*pairs, (ahead - x, new_slope - slope)][-memory:]
-        x, value, slope = ahead, there, new_slope
+        x, before, value, slope = ahead, value, there, new_slope
+        if before - value < gain * value:
+            break
     return x
 
 
@@ -299,38 +305,37 @@ def _batch(batch: pa.RecordBatch) -> Batch:
     )
 
 
-def bucket_sums(sample: DataFrame, values: Callable[[Batch], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over the documents of ``values`` (rows of ``width`` numbers), and those per bucket.
+Values = Callable[[Batch], tuple[np.ndarray, np.ndarray]]
+
 
-    Tasks add up their documents, Spark adds up the tasks.
+def bucket_sums(sample: DataFrame, values: Values, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the documents: of the second rows of ``values``, and per bucket of the ``width`` first.
+
+    The sample's few tasks add up their documents. What each gives is bounded by the
+    number of buckets and goes to the driver without a shuffle, of which every pass would
+    leave its files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, whole = np.zeros((width, BUCKETS)), np.zeros(width)
+        sums, whole = np.zeros((width, BUCKETS)), 0.0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held = _batch(batch)
-            rows = values(held)
-            whole += rows.sum(axis=1)
+            by_bucket, plain = values(held)
+            whole = whole + plain.sum(axis=1)
             lengths = np.diff(held.starts)
             for k in range(width):
-                sums[k] += np.bincount(held.buckets, weights=np.repeat(rows[k], lengths), minlength=BUCKETS)
-        places = np.flatnonzero(sums.any(axis=0))
-        columns = np.concatenate([whole[:, None], sums[:, places]], axis=1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([[-1], places])), *map(pa.array, columns)], names=["place", *names]
-        )
-
-    names = [f"v{k}" for k in range(width)]
-    parts = sample.mapInArrow(run, ", ".join(["place long", *(f"{n} double" for n in names)]))
-    added = parts.groupBy("place").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-    places = added.column("place").to_numpy()
-    sums, whole = np.zeros((width, BUCKETS)), np.zeros(width)
-    for k, name in enumerate(names):
-        column = added.column(name).to_numpy()
-        sums[k, places[places >= 0]] = column[places >= 0]
-        whole[k] = column[places < 0].sum()
+                sums[k] += np.bincount(held.buckets, weights=np.repeat(by_bucket[k], lengths), minlength=BUCKETS)
+        places = np.flatnonzero(sums.any(axis=0)).astype(np.int32)
+        parts = places.tobytes(), sums[:, places].astype(np.float32).tobytes(), np.atleast_1d(whole).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=["places", "sums", "whole"])
+
+    sums, whole = np.zeros((width, BUCKETS)), 0.0
+    for row in sample.mapInArrow(run, "places binary, sums binary, whole binary").collect():
+        places = np.frombuffer(row["places"], dtype=np.int32)
+        sums[:, places] += np.frombuffer(row["sums"], dtype=np.float32).reshape(width, len(places))
+        whole = whole + np.frombuffer(row["whole"])
     return whole, sums
 
 
@@ -342,9 +347,10 @@ def fit_scorers(sample: DataFrame, targets: Callable[[Batch], np.ndarray], width
     """
     context = sample.sparkSession.sparkContext
 
-    def classes(batch: Batch) -> np.ndarray:
+    def classes(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         good = targets(batch)
-        return np.concatenate([good, 1 - good])
+        rows = np.concatenate([good, 1 - good])
+        return rows, rows
 
     whole, sums = bucket_sums(sample, classes, 2 * width)
     held = np.flatnonzero(sums.any(axis=0))
@@ -369,19 +375,20 @@ def fit_scorers(sample: DataFrame, targets: Callable[[Batch], np.ndarray], width
             tables[k, held] = (spreads[k] * points[k])[:-1]
         shared = context.broadcast((tables, [float(p[-1]) for p in points]))
 
-        def slopes(batch: Batch) -> np.ndarray:
-            rows, (weights, biases) = [], shared.value
+        def slopes(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+            errors, losses = [], []
+            weights, biases = shared.value
             for good, table, bias in zip(targets(batch), weights, biases):
                 raw = np.clip(bias + batch.totals(table), -60, 60)
-                rows.append(1 / (1 + np.exp(-raw)) - good)
-                rows.append(np.logaddexp(0, raw) - good * raw)
-            return np.stack(rows)
+                errors.append(1 / (1 + np.exp(-raw)) - good)
+                losses.append(np.logaddexp(0, raw) - good * raw)
+            return np.stack(errors), np.stack(errors + losses)
 
-        whole, sums = bucket_sums(sample, slopes, 2 * width)
+        whole, sums = bucket_sums(sample, slopes, width)
         shared.destroy()
         for k in sorted(open_fits):
-            value = whole[2 * k + 1] + 0.5 * float(ridge @ points[k] ** 2)
-            slope = spreads[k] * np.append(sums[2 * k, held], whole[2 * k]) + ridge * points[k]
+            value = whole[width + k] + 0.5 * float(ridge @ points[k] ** 2)
+            slope = spreads[k] * np.append(sums[k, held], whole[k]) + ridge * points[k]
             try:
                 points[k] = fits[k].send((value, slope))
             except StopIteration as end:
@@ -497,17 +504,22 @@ def _marked(batch: Batch, markers: np.ndarray) -> np.ndarray:
 
 def _toxic_labels(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """P(toxic) by annotation (no, yes, none) and by whether a marker occurs, and the markers."""
-    whole, sums = bucket_sums(sample, lambda batch: np.stack([_toxic_note(batch) == k for k in (1, 0)]).astype(float), 2)
+
+    def notes(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        rows = (_toxic_note(batch) == np.array([[1], [0]])).astype(float)
+        return rows, rows
+
+    whole, sums = bucket_sums(sample, notes, 2)
     if not whole[0]:
         return np.zeros((3, 2)), np.empty(0, dtype=np.int64)
     odds, clear = clearness(sums[0], sums[1], whole[0], whole[1])
     markers = np.flatnonzero((odds >= 3) & (clear >= 3))
 
-    def cells(batch: Batch) -> np.ndarray:
+    def cells(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         cell = _toxic_note(batch) * 2 + _marked(batch, markers)
-        return (cell == np.arange(6)[:, None]).astype(float)
+        return np.empty((0, len(cell))), (cell == np.arange(6)[:, None]).astype(float)
 
-    counts = _totals(sample, cells, 6)
+    counts, _ = bucket_sums(sample, cells, 0)
     # Without markers there is nothing to conclude from their absence.
     absent = BAD if len(markers) else NONE
     ballots = np.array([(note, mark) for note in (0, 1, NONE) for mark in (absent, 1)])
@@ -515,20 +527,6 @@ def _toxic_labels(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return fit_labels(ballots, counts, start=start).posterior(ballots).reshape(3, 2), markers
 
 
-def _totals(sample: DataFrame, values: Callable[[Batch], np.ndarray], width: int) -> np.ndarray:
-    """Sums over the documents of ``values``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = values(_batch(batch)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in rows], names=names)
-
-    names = [f"v{k}" for k in range(width)]
-    added = sample.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n).alias(n) for n in names])
-    return np.array(added.first(), dtype=float)
-
-
 RESULT = struct("weak_label double, quality_score double, toxic_score double, keep boolean")
 
 
