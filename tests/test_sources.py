@@ -21,7 +21,7 @@ from tidemark.sinks.tables import (
     write_if_missing,
     write_parquet,
 )
-from tidemark.sources.drifting import file_layouts, normalize, read_drifting_parquet, scan_units
+from tidemark.sources.drifting import FooterIndex, file_layouts, normalize, read_drifting_parquet, scan_units
 from tidemark.sources.logs import log_lines, tagged_records
 from tidemark.sources.streams import kafka_source_options, rows_per_trigger
 from tidemark.sources.tables import (
@@ -97,6 +97,42 @@ def test_drifting_files_become_one_table(spark, drifted):
     assert plan.count("parquet") == 2
 
 
+def test_only_new_and_changed_footers_are_read(spark, tmp_path):
+    path, index = str(tmp_path / "a table"), FooterIndex(str(tmp_path / "footers"))
+    spark.range(40).selectExpr("cast(id as int) as a").repartition(4).write.parquet(f"{path}/x")
+    spark.range(20).selectExpr("cast(id as string) as a").repartition(2).write.parquet(f"{path}/y")
+    casts = {"a": "bigint"}
+    assert read_drifting_parquet(spark, path, casts, {}, index).count() == 60
+    assert index.refresh(spark, path) == 0
+    assert len(list((tmp_path / "footers").iterdir())) == 1
+    # A file more, in another layout.
+    spark.range(5).selectExpr("cast(id as double) as a").coalesce(1).write.parquet(f"{path}/z")
+    assert index.refresh(spark, path) == 1
+    assert read_drifting_parquet(spark, path, casts, {}, index).count() == 65
+    # Both files of a folder replaced by one of a new layout.
+    spark.range(7).selectExpr("cast(id as float) as a").coalesce(1).write.mode("overwrite").parquet(f"{path}/y")
+    assert index.refresh(spark, path) == 1
+    assert read_drifting_parquet(spark, path, casts, {}, index).count() == 52
+    # A file less opens nothing, and is not read.
+    next((tmp_path / "a table" / "z").glob("*.parquet")).unlink()
+    assert index.refresh(spark, path) == 0
+    assert index.files(spark).count() == 5
+    assert read_drifting_parquet(spark, path, casts, {}, index).count() == 47
+    # A version that was never finished doesn't count.
+    (tmp_path / "footers" / "version=99").mkdir()
+    assert index.refresh(spark, path) == 0
+    expected = {(r["path"], r["layout"]) for r in file_layouts(spark, path).collect()}
+    assert {(r["path"], r["layout"]) for r in index.layouts(spark, path).collect()} == expected
+
+
+def test_index_of_an_empty_folder(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    index = FooterIndex(str(tmp_path / "footers"))
+    assert index.refresh(spark, str(tmp_path / "none")) == 0
+    assert index.refresh(spark, str(tmp_path / "none")) == 0
+    assert scan_units(spark, str(tmp_path / "none"), index) == []
+
+
 def test_single_file(spark, drifted):
     paths = [r["path"] for r in file_layouts(spark, drifted).collect()]
     for path in paths:

@@ -8,7 +8,7 @@ from tidemark.operators.volume import replicate, sample_rows, shape_to_volume
 from tidemark.plans.queries.registry import query, table
 from tidemark.session import staging_path
 from tidemark.sinks.tables import append_rows, write_csv, write_if_missing, write_parquet
-from tidemark.sources.drifting import normalize, read_drifting_parquet, union_by_name
+from tidemark.sources.drifting import FooterIndex, normalize, read_drifting_parquet, union_by_name
 from tidemark.sources.tables import input_volume, parquet_listing, read_csv_table
 
 _CASTS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"}
@@ -51,6 +51,16 @@ def drifting_scan(spark, folder):
     return read_drifting_parquet(spark, path, _CASTS, _SPELLINGS)
 
 
+@query("indexed_drifting_scan", _DRIFTED)
+def indexed_drifting_scan(spark, folder):
+    """The same with footers kept in an index: the second part's are all that the second read opens."""
+    path, index = staging_path(spark, "drifted"), FooterIndex(staging_path(spark, "footers"))
+    for place, part in enumerate(_drifted_orders(spark, folder)):
+        write_parquet(part, f"{path}/year={2000 + place}")
+        result = read_drifting_parquet(spark, path, _CASTS, _SPELLINGS, index)
+    return result
+
+
 @query(
     "replicate_3x",
     """

@@ -94,6 +94,21 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(target) and fs.getFileStatus(target).isFile())
 
 
+def finished_versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the folders ``version=N`` below ``root`` whose write finished, ascending."""
+    target, fs = _hadoop_path(spark, root)
+    if not fs.exists(target):
+        return []
+    names = [entry.getPath().getName() for entry in fs.listStatus(target)]
+    found = [name for name in names if name.startswith("version=") and path_exists(spark, f"{root}/{name}/_SUCCESS")]
+    return sorted(int(name.removeprefix("version=")) for name in found)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target, fs = _hadoop_path(spark, path)
+    fs.delete(target, True)
+
+
 def discard_staged(spark: SparkSession) -> None:
     """Delete what this application staged; call it once the results are written."""
     target, fs = _hadoop_path(spark, shared_folder(spark))

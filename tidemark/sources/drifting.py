@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.schemas import TRIP_CASTS, TRIP_SPELLINGS
-from tidemark.session import is_file, staging_path
+from tidemark.session import finished_versions, is_file, remove_path, staging_path
+from tidemark.sinks.tables import write_parquet
 from tidemark.sources.tables import parquet_listing
 
 _FILES_PER_TASK = 64
@@ -65,26 +67,85 @@ def _footer_reader():
     return read
 
 
-def file_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """Columns ``path, folder, layout``: the files under ``path`` and their footer schemas.
+def _with_layouts(files: DataFrame) -> DataFrame:
+    """``files`` and their footer schemas, read in tasks, a few dozen files each."""
+    tasks = max(1, -(-files.count() // _FILES_PER_TASK))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.repartition(tasks, "path").mapInPandas(_footer_reader(), f"{kinds}, layout string")
 
-    The footers are read in tasks, a few dozen files each.
-    """
-    listing = parquet_listing(spark, path).select("path")
-    tasks = max(1, -(-listing.count() // _FILES_PER_TASK))
-    files = listing.repartition(tasks, "path").mapInPandas(_footer_reader(), "path string, layout string")
+
+def _with_folders(files: DataFrame) -> DataFrame:
     return files.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
 
 
-def scan_units(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+def file_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """Columns ``path, folder, layout``: the files under ``path`` and their footer schemas."""
+    return _with_folders(_with_layouts(parquet_listing(spark, path).select("path")))
+
+
+_FILE_KEY = ["path", "length", "modified"]
+
+
+@dataclass(frozen=True)
+class FooterIndex:
+    """Footer schemas kept beside a table, so that an unchanged file's footer is read once.
+
+    A file is known by path, length and time of change. Each refresh that finds a difference
+    writes a new version below ``root``; a version counts when its write has finished, and
+    the one before it stays for readers that have begun. ``root`` must not be
+    below the table, unless in a folder whose name begins with ``_``. One writer at a time.
+    """
+
+    root: str
+
+    def _version(self, number: int) -> str:
+        return f"{self.root}/version={number}"
+
+    def files(self, spark: SparkSession) -> DataFrame | None:
+        """Path, length, time of change and layout of the files last seen."""
+        versions = finished_versions(spark, self.root)
+        return spark.read.parquet(self._version(versions[-1])) if versions else None
+
+    def refresh(self, spark: SparkSession, path: str) -> int:
+        """Make the index that of the files now under ``path``; tells how many footers it read."""
+        listing, known = parquet_listing(spark, path), self.files(spark)
+        versions = finished_versions(spark, self.root)
+        if known is None:
+            fresh, kept = listing, None
+        else:
+            fresh = listing.join(known, _FILE_KEY, "left_anti")
+            kept = known.join(listing, _FILE_KEY, "left_semi")
+        opened = fresh.count()
+        if kept is not None and not opened and kept.count() == known.count():
+            return 0
+        if kept is None:
+            rows = _with_layouts(fresh)
+        else:
+            rows = kept.unionByName(_with_layouts(fresh)) if opened else kept
+        write_parquet(rows, self._version(versions[-1] + 1 if versions else 0))
+        for number in versions[:-1]:
+            remove_path(spark, self._version(number))
+        return opened
+
+    def layouts(self, spark: SparkSession, path: str) -> DataFrame:
+        """What ``file_layouts`` gives, with the footers of new and changed files read only."""
+        self.refresh(spark, path)
+        return _with_folders(self.files(spark).select("path", "layout"))
+
+
+def scan_units(spark: SparkSession, path: str, index: FooterIndex | None = None) -> list[tuple[str, list[str]]]:
     """(layout, what to read) for each layout, in the order of its first file.
 
     A folder whose own files share a layout is read as a folder, so that only names of
-    folders go to the driver; the files of a mixed folder are named one by one.
+    folders go to the driver; the files of a mixed folder are named one by one. With
+    an ``index`` only new and changed footers are read.
     """
-    staged = staging_path(spark, "layouts")
-    file_layouts(spark, path).write.parquet(staged)
-    files = spark.read.parquet(staged)
+    if index is not None:
+        files = index.layouts(spark, path)
+    else:
+        staged = staging_path(spark, "layouts")
+        file_layouts(spark, path).write.parquet(staged)
+        files = spark.read.parquet(staged)
     folders = files.groupBy("folder").agg(
         F.min("layout").alias("layout"), F.max("layout").alias("other"), F.min("path").alias("first")
     )
@@ -107,6 +168,7 @@ def read_drifting_parquet(
     path: str,
     casts: Mapping[str, str] = TRIP_CASTS,
     spellings: Mapping[str, Sequence[str]] = TRIP_SPELLINGS,
+    index: FooterIndex | None = None,
 ) -> DataFrame:
     """Every parquet file under ``path`` normalised and put together by name.
 
@@ -116,7 +178,7 @@ def read_drifting_parquet(
     """
     if is_file(spark, path):
         return normalize(spark.read.parquet(path), casts, spellings)
-    units = scan_units(spark, path)
+    units = scan_units(spark, path, index)
     if len(units) < 2:
         whole = spark.read.option("recursiveFileLookup", "true") if units else spark.read
         return normalize(whole.parquet(path), casts, spellings)

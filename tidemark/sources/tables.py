@@ -22,13 +22,13 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def parquet_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Path and length of every parquet file under ``path``; no content is read."""
+    """Path, length and time of change of every parquet file under ``path``; no content is read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
         .load(path)
-        .select("path", "length")
+        .select("path", "length", F.col("modificationTime").alias("modified"))
     )
 
 
