@@ -15,7 +15,9 @@ from tidemark.operators.incremental import (
 from tidemark.plans.queries.registry import query, table
 from tidemark.session import staging_path
 from tidemark.sources.streams import parquet_stream
+from tidemark.streaming.compaction import CompactedTables
 from tidemark.streaming.keyed import last_of_stream, overlay_stream, run_keyed, window_averages
+from tidemark.streaming.microbatch import ZONES, MicroBatchTables, merge_batches, zone_partials, zones_schema
 
 _FRAGMENTS = 4
 _SKETCH = 800
@@ -183,3 +185,25 @@ def stream_progress_join(spark, folder):
     result = _run(spark, updates, ["run"], "joined", "append")
     rows = result.current(spark, "report").where(F.col("run") >= 0)
     return rows.select("run", "scenario", "amount", "report")
+
+
+@query(
+    "compacted_batches",
+    """
+    select event_type, avg(value) as avg_fare_amount, count(*) as row_count
+    from events group by event_type
+    """,
+    {"avg_fare_amount": 6},
+)
+def compacted_batches(spark, folder):
+    """Averages from eight batches compacted on the way, two of which were written again after that."""
+    events = table(spark, folder, "events").withColumn("latency_s", F.lit(None).cast("double"))
+    batches = MicroBatchTables(staging_path(spark, "batches"))
+    compacted = CompactedTables(batches)
+    schema = zones_schema(events.schema["event_type"])
+    for batch in (0, 1, 2, 3, 1, 4, 5, 6, 2, 7):
+        own = events.where(F.col("event_id") % 8 == batch)
+        batches.write(ZONES, "r1", batch, zone_partials(own, "event_type", "value"))
+        if batch in (3, 5, 6):
+            compacted.compact(spark, ZONES, "r1", schema, batch)
+    return merge_batches(compacted.read(spark, ZONES, schema), "event_type")

@@ -94,14 +94,23 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(target) and fs.getFileStatus(target).isFile())
 
 
-def finished_versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the folders ``version=N`` below ``root`` whose write finished, ascending."""
+def folder_names(spark: SparkSession, root: str, prefix: str, finished: bool = True) -> list[str]:
+    """Names of the folders right below ``root`` that begin with ``prefix``; those of finished writes only, or all."""
     target, fs = _hadoop_path(spark, root)
     if not fs.exists(target):
         return []
     names = [entry.getPath().getName() for entry in fs.listStatus(target)]
-    found = [name for name in names if name.startswith("version=") and path_exists(spark, f"{root}/{name}/_SUCCESS")]
-    return sorted(int(name.removeprefix("version=")) for name in found)
+    return [n for n in names if n.startswith(prefix) and (not finished or path_exists(spark, f"{root}/{n}/_SUCCESS"))]
+
+
+def finished_versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the folders ``version=N`` below ``root`` whose write finished, ascending."""
+    return sorted(int(name.removeprefix("version=")) for name in folder_names(spark, root, "version="))
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    target, fs = _hadoop_path(spark, path)
+    return int(fs.getContentSummary(target).getLength()) if fs.exists(target) else 0
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
