@@ -1,5 +1,6 @@
 """Every registered query against its SQL over whole tables."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as contract
@@ -33,3 +34,18 @@ def test_query(spark, connection, folder, name):
 def test_oracles_have_queries():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(QUERIES) <= set(contract.queries())
+
+
+def test_json_events_with_whole_seconds(spark, tmp_path):
+    events = spark.sql(
+        """
+        select id as event_id, id as user_id, 'view' as event_type, 1.5D as value,
+               case id when 0 then timestamp_ntz '2024-01-02 03:04:05' when 1 then timestamp_ntz '2024-01-02 03:04:05.5' end as ts
+        from range(3)
+        """
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    found = spark_digest(QUERIES["json_events"](spark, str(tmp_path)))
+    assert found == sql_digest(connection, ORACLES["json_events"])

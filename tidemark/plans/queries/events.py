@@ -45,7 +45,9 @@ def _event_json(spark, folder):
     """,
 )
 def json_events(spark, folder):
-    return parse_events(_event_json(spark, folder), {**_COLUMNS, "ts": "string"})
+    """Events have whole seconds without a fraction; here all times have six decimals."""
+    events = parse_events(_event_json(spark, folder), {**_COLUMNS, "ts": "timestamp_ntz"})
+    return events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query(
