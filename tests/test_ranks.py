@@ -66,6 +66,19 @@ def test_a_large_group_is_split(skewed):
     assert hot.select("part").distinct().count() > 1
 
 
+def test_many_slices_share_few_tasks(spark, skewed):
+    """What is sent to the driver follows the tasks: one file each, and a sample for its bounds."""
+    ranked = rank_values(skewed, ["k"], ["x"], 10)
+    parts = ranked.counts.select("part").distinct().count()
+    tasks = ranked.counts.select(F.shiftright("part", 32)).distinct().count()
+    assert 1 < tasks <= 3 * spark.sparkContext.defaultParallelism < parts
+    hot = sorted((r["before"], r["value"]) for r in ranked.frame.where("group.k = 'hot'").collect())
+    own = values_by_key()["hot"]
+    assert hot == [(k, x) for k, x in enumerate(own) if k == 0 or own[k - 1] != x]
+    sizes = ranked.slices.groupBy("group", "metric").agg(F.max("offset").alias("last"), F.max("n").alias("n"))
+    assert sizes.where("last >= n").count() == 0
+
+
 @pytest.mark.parametrize("per_slice", SLICES)
 def test_percentiles(skewed, per_slice):
     points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}

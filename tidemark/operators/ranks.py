@@ -1,15 +1,16 @@
 """Ranks of values inside groups, exact and safe for groups of any size.
 
 There is one way for all sizes. Equal values become one row first; these rows are
-range-partitioned by (group, metric, value) into slices whose number follows from
-the number of values, so that a large group covers many slices. Each slice counts
-its rows up in order and is written to the shared folder; a group's ranks in a
-slice start at the sum of its rows in the slices before.
+range-partitioned by (group, metric, value) and dealt in order to slices whose number
+follows from the number of values, so that a large group covers many slices. Each slice
+counts its rows up in order and is written to the shared folder; a group's ranks in a
+slice start at the sum of its rows in the slices before. Small slices share a task: what
+tasks and the ranges' bounds send to the driver doesn't grow with the number of slices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.session import shared_folder, staging_path
 
-#: Values per slice, counting repeats; what one task sorts.
+#: Values per slice, counting repeats; also what one task sorts.
 VALUES_PER_SLICE = 4_000_000
 #: Below that, values are still dealt to all cores, at least so many to each.
 LEAST_PER_SLICE = 50_000
+#: Smaller slices have tasks of their own up to this many per core; more of them share tasks.
+_TASKS_PER_CORE = 3
 
 
 @dataclass(frozen=True)
@@ -63,25 +66,32 @@ def _rows_before(amount: str, window) -> Column:
     return F.coalesce(F.sum(amount).over(earlier), F.lit(0))
 
 
-def _counted_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the slice's number and the running count of each group of a sorted slice."""
-    part = TaskContext.get().partitionId()
-    last, carried = None, 0
-    for batch in batches:
-        run, rows = batch.column("run").to_numpy(), batch.column("rows").to_numpy()
-        if not len(run):
-            continue
-        inside = np.cumsum(rows) - rows
-        first = np.ones(len(run), dtype=bool)
-        first[1:] = run[1:] != run[:-1]
-        first[0] = run[0] != last
-        start = np.maximum.accumulate(np.where(first, np.arange(len(run)), -1))
-        inside = np.where(start >= 0, inside - inside[np.maximum(start, 0)], inside + carried)
-        last, carried = run[-1], inside[-1] + rows[-1]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:4], pa.array(np.full(len(run), part, np.int32)), pa.array(inside)],
-            names=["group", "metric", "value", "rows", "part", "inside"],
-        )
+def _counted_up(values_per_slice: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the slice's number and the running count of each group in it to a task's sorted rows."""
+
+    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Slices are numbered in the order of the tasks and of the values in them.
+        first_part = TaskContext.get().partitionId() << 32
+        last, carried, passed = None, 0, 0
+        for batch in batches:
+            run, rows = batch.column("run").to_numpy(), batch.column("rows").to_numpy()
+            if not len(run):
+                continue
+            inside = np.cumsum(rows) - rows
+            part = first_part + (passed + inside) // values_per_slice
+            passed += int(rows.sum())
+            first = np.ones(len(run), dtype=bool)
+            first[1:] = (run[1:] != run[:-1]) | (part[1:] != part[:-1])
+            first[0] = (run[0], part[0]) != last
+            start = np.maximum.accumulate(np.where(first, np.arange(len(run)), -1))
+            inside = np.where(start >= 0, inside - inside[np.maximum(start, 0)], inside + carried)
+            last, carried = (run[-1], part[-1]), inside[-1] + rows[-1]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(part), pa.array(inside)],
+                names=["group", "metric", "value", "rows", "part", "inside"],
+            )
+
+    return run_task
 
 
 def rank_values(
@@ -94,30 +104,32 @@ def rank_values(
 
     The metrics must be doubles without NaN. The values are written to the shared
     folder, in a slice per ``values_per_slice`` values, and in one per core if that
-    leaves ``LEAST_PER_SLICE`` or more to each. Slices feed
+    leaves ``LEAST_PER_SLICE`` or more to each. Tasks are as many as slices until they
+    are a few per core, then as many as slices of ``VALUES_PER_SLICE`` would be. Slices feed
     both the offsets and the ranks and must be the same in both, also after an executor
     is lost: hence a written table.
     """
     spark = table.sparkSession
     shared_folder(spark)  # a cluster without one is refused before any work
     values = table.count() * len(metrics)
-    cores = min(values // LEAST_PER_SLICE, spark.sparkContext.defaultParallelism)
-    slices = max(-(-values // values_per_slice), cores, 1)
+    parallel = spark.sparkContext.defaultParallelism
+    slices = max(-(-values // values_per_slice), min(values // LEAST_PER_SLICE, parallel), 1)
+    tasks = min(slices, max(-(-values // VALUES_PER_SLICE), _TASKS_PER_CORE * parallel))
     counted = (
         _values(table, keys, metrics).groupBy("group", "metric", "value").agg(F.count(F.lit(1)).alias("rows"))
     )
     order = ["group", "metric", "value"]
-    # A stated number of slices: adaptive execution must not join them up again.
+    # A stated number of tasks: adaptive execution must not join them up again.
     sliced = (
         counted.withColumn("run", F.xxhash64("group", "metric"))
-        .repartitionByRange(slices, *order)
+        .repartitionByRange(tasks, *order)
         .sortWithinPartitions(*order)
     )
     schema = T.StructType(
-        [*counted.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("inside", T.LongType())]
+        [*counted.schema.fields, T.StructField("part", T.LongType()), T.StructField("inside", T.LongType())]
     )
     path = staging_path(spark, "ranks")
-    sliced.mapInArrow(_counted_up, schema).write.parquet(path)
+    sliced.mapInArrow(_counted_up(values_per_slice), schema).write.parquet(path)
     counts = spark.read.schema(schema).parquet(path)
 
     # At most one row per group and slice; written, so that both sides of the joins
