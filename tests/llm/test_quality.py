@@ -7,6 +7,7 @@ from tidemark.llm.quality import (
     NONE,
     _spread,
     annotated_sample,
+    bucket_sums,
     clearness,
     document_features,
     fit_labels,
@@ -163,3 +164,15 @@ def test_clashing_columns(spark):
     notes = spark.createDataFrame([(1, 1, 0, "own text")], "doc_id long, quality int, toxic int, text string")
     assert keep_good(documents, notes).columns == documents.columns
     assert score_documents(documents, notes).count() == 1
+
+
+def test_the_driver_gets_few_sums_of_many_files(spark, monkeypatch):
+    rows = [(k % 3, [k % 5, 7], 1, 0) for k in range(120)]
+    sample = spark.createDataFrame(rows, "code long, features array<int>, quality int, toxic int")
+    sample = sample.selectExpr("cast(cast(code as string) as binary) as digest", "*").repartition(40)
+    got, collect = [], type(sample).collect
+    monkeypatch.setattr(type(sample), "collect", lambda frame: got.append(collect(frame)) or got[-1])
+    whole, sums = bucket_sums(sample, lambda batch: (np.ones((2, len(batch.codes))), np.ones((1, len(batch.codes)))), 2)
+    assert [len(rows) <= 8 for rows in got] == [True]
+    assert whole.tolist() == [120]
+    assert sums[:, :8].tolist() == [[24.0] * 5 + [0, 0, 120.0]] * 2

@@ -311,9 +311,9 @@ Values = Callable[[Batch], tuple[np.ndarray, np.ndarray]]
 def bucket_sums(sample: DataFrame, values: Values, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums over the documents: of the second rows of ``values``, and per bucket of the ``width`` first.
 
-    The sample's few tasks add up their documents. What each gives is bounded by the
-    number of buckets and goes to the driver without a shuffle, of which every pass would
-    leave its files.
+    Few tasks add up the documents, however many files the sample has. What each gives is
+    bounded by the number of buckets and goes to the driver without a shuffle, of which every
+    pass would leave its files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +332,10 @@ def bucket_sums(sample: DataFrame, values: Values, width: int) -> tuple[np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=["places", "sums", "whole"])
 
     sums, whole = np.zeros((width, BUCKETS)), 0.0
-    for row in sample.mapInArrow(run, "places binary, sums binary, whole binary").collect():
+    for row in sample.coalesce(_SAMPLE_TASKS).mapInArrow(run, "places binary, sums binary, whole binary").collect():
         places = np.frombuffer(row["places"], dtype=np.int32)
-        sums[:, places] += np.frombuffer(row["sums"], dtype=np.float32).reshape(width, len(places))
+        for own, part in zip(sums, np.frombuffer(row["sums"], dtype=np.float32).reshape(width, len(places))):
+            own[places] += part
         whole = whole + np.frombuffer(row["whole"])
     return whole, sums
 
@@ -354,8 +355,9 @@ def fit_scorers(sample: DataFrame, targets: Callable[[Batch], np.ndarray], width
 
     whole, sums = bucket_sums(sample, classes, 2 * width)
     held = np.flatnonzero(sums.any(axis=0))
+    sums = sums[:, held]
     spreads = [
-        np.append(_spread(clearness(sums[k, held], sums[width + k, held], whole[k], whole[width + k])[1]), 1.0)
+        np.append(_spread(clearness(sums[k], sums[width + k], whole[k], whole[width + k])[1]), 1.0)
         for k in range(width)
     ]
     ridge = np.append(np.full(len(held), penalty), 1e-3)
@@ -374,6 +376,7 @@ def fit_scorers(sample: DataFrame, targets: Callable[[Batch], np.ndarray], width
         for k in range(width):
             tables[k, held] = (spreads[k] * points[k])[:-1]
         shared = context.broadcast((tables, [float(p[-1]) for p in points]))
+        del tables
 
         def slopes(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
             errors, losses = [], []
@@ -386,9 +389,10 @@ def fit_scorers(sample: DataFrame, targets: Callable[[Batch], np.ndarray], width
 
         whole, sums = bucket_sums(sample, slopes, width)
         shared.destroy()
+        sums = sums[:, held]
         for k in sorted(open_fits):
             value = whole[width + k] + 0.5 * float(ridge @ points[k] ** 2)
-            slope = spreads[k] * np.append(sums[k, held], whole[k]) + ridge * points[k]
+            slope = spreads[k] * np.append(sums[k], whole[k]) + ridge * points[k]
             try:
                 points[k] = fits[k].send((value, slope))
             except StopIteration as end:
