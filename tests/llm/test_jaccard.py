@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from test_words import words
@@ -77,3 +80,29 @@ def test_one_very_long_text(spark):
     rows = [(1, long), (2, long + " end"), (3, "short text")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard_classes(table).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def _batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+
+
+def test_a_task_of_few_texts_sends_few_counters():
+    few = _batch([" ".join(f"w{k}x{i}" for i in range(200)) for k in range(3)])
+    sent = [x for b in jaccard_join._facts(5)([few]) for x in b.column(5).to_pylist() if x is not None]
+    assert sum(map(len, sent)) < 10_000
+    make = np.random.default_rng(5)
+    for share in (0, 0.1, 0.6, 0.7, 1):
+        counts = np.where(make.random(4096) < share, make.integers(1, 1 << 30, 4096), 0).astype(np.int32)
+        back = np.ones(4096, np.int64)
+        jaccard_join._add_sparse(back, jaccard_join._sparse(counts))
+        assert (back == counts + 1).all()
+
+
+def test_a_task_holds_few_shingles_at_a_time():
+    many = _batch([" ".join(f"{k}x{i}" for i in range(800)) for k in range(3000)])
+    tracemalloc.start()
+    rows = sum(int((b.column(0).to_numpy() == 0).sum()) for b in jaccard_join._facts(5)([many]))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows == 3000
+    assert peak < 60e6  # 17 MB of them the sketch

@@ -5,6 +5,7 @@ from tidemark.llm.quality import (
     BAD,
     GOOD,
     NONE,
+    _sampled,
     _spread,
     annotated_sample,
     bucket_sums,
@@ -176,3 +177,12 @@ def test_the_driver_gets_few_sums_of_many_files(spark, monkeypatch):
     assert [len(rows) <= 8 for rows in got] == [True]
     assert whole.tolist() == [120]
     assert sums[:, :8].tolist() == [[24.0] * 5 + [0, 0, 120.0]] * 2
+
+
+def test_features_are_made_of_few_rows_at_a_time():
+    texts = [f"some words of text {k}" for k in range(2500)]
+    notes = pa.array([1] * len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), notes, notes], names=["text", "quality", "toxic"])
+    parts = [*_sampled([batch])]
+    assert max(p.num_rows for p in parts) <= 1000
+    assert [f for p in parts for f in p.column(2).to_pylist()] == [f.tolist() for *_, f in document_features(batch.column(0))]

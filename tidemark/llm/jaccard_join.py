@@ -37,14 +37,18 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.components import components
 from tidemark.llm.staged import Staged
-from tidemark.llm.words import mixed, shingle_sets
+from tidemark.llm.words import mixed, shingle_sets, slices
 
 #: Counters of one row of the frequency sketch, as a power of two. Its size is fixed
 #: (two rows of four bytes, 16 MB), and it only orders pivots.
 _SKETCH_BITS = 21
 _SKETCH_PART = 4096
-#: Shingles of so many values are counted at a time.
+#: Copies of a text count once within so many values.
 _COUNTED = 1 << 21
+#: Shingles of so many values are held and counted at a time.
+_HELD = 1 << 17
+#: Parts of the sketch that a task sends at a time.
+_PARTS = 64
 #: A region known to hold more texts than this is dealt to several tasks.
 _REGION_ROWS = 20_000
 #: Size of the bitmap that picks the texts whose sets are needed (4 MB, always).
@@ -75,7 +79,7 @@ class _Counts:
         self.rows = np.zeros((2, 1 << bits), dtype=np.int32)
         self._counted = counted
         self._sets: list[np.ndarray] = []
-        self._held = 0
+        self._held = self._counting = 0
         self._seen: set[bytes] = set()
 
     def add(self, digest: bytes, own: np.ndarray) -> None:
@@ -83,14 +87,36 @@ class _Counts:
             self._seen.add(digest)
             self._sets.append(own)
             self._held += len(own)
-            if self._held >= self._counted:
+            self._counting += len(own)
+            if self._held >= _HELD:
                 self.flush()
+            if self._counting >= self._counted:
+                self._counting, self._seen = 0, set()
 
     def flush(self) -> None:
         if self._sets:
             for row, cells in zip(self.rows, _cells(np.concatenate(self._sets), self.rows.shape[1])):
-                row += np.bincount(cells, minlength=len(row)).astype(np.int32)
-        self._sets, self._held, self._seen = [], 0, set()
+                np.add.at(row, cells, np.int32(1))
+        self._sets, self._held = [], 0
+
+
+def _sparse(counts: np.ndarray) -> bytes:
+    """Counters as bytes: places and counts of those above 0, or all counters where that is shorter.
+
+    The number of counters is a power of two, so that the length tells which.
+    """
+    places = np.flatnonzero(counts)
+    if 6 * len(places) >= 4 * len(counts):
+        return counts.tobytes()
+    return places.astype(np.uint16).tobytes() + counts[places].tobytes()
+
+
+def _add_sparse(sums: np.ndarray, found: bytes) -> None:
+    if len(found) == 4 * len(sums):
+        sums += np.frombuffer(found, dtype=np.int32)
+    else:
+        n = len(found) // 6
+        sums[np.frombuffer(found, np.uint16, n)] += np.frombuffer(found[2 * n :], np.int32)
 
 
 class _Frequencies:
@@ -124,7 +150,7 @@ def _facts(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, any_text = _Counts(*settings), False
-        for batch in batches:
+        for batch in slices(batches):
             digests, sizes = [], []
             for _, digest, own in shingle_sets(batch.column(1), width):
                 digests.append(digest)
@@ -146,46 +172,51 @@ def _facts(width: int):
         counts.flush()
         if any_text:
             parts = counts.rows.reshape(-1, min(_SKETCH_PART, counts.rows.shape[1]))
-            nothing = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.ones(len(parts), np.int32)),
-                    nothing,
-                    pa.array(np.arange(len(parts))),
-                    nothing,
-                    nothing,
-                    pa.array([p.tobytes() for p in parts], pa.binary()),
-                ],
-                names=["kind", "id", "high", "low", "n", "counts"],
-            )
+            held = np.flatnonzero(parts.any(axis=1))
+            for own in (held[at : at + _PARTS] for at in range(0, len(held), _PARTS)):
+                nothing = pa.nulls(len(own), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.ones(len(own), np.int32)),
+                        nothing,
+                        pa.array(own),
+                        nothing,
+                        nothing,
+                        pa.array([_sparse(parts[k]) for k in own], pa.binary()),
+                    ],
+                    names=["kind", "id", "high", "low", "n", "counts"],
+                )
 
     return run
 
 
-def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the counters of each part of the sketch that a task gets; parts are streamed."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.frombuffer(counts, dtype=np.int32)
-            sums[part] = sums[part] + own if part in sums else own.astype(np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(list(sums), pa.int64()),
-            pa.array([np.minimum(c, 2**31 - 1).astype(np.int32).tobytes() for c in sums.values()], pa.binary()),
-        ],
-        names=["part", "counts"],
-    )
+def _added_up(size: int):
+    """Sums of the counters of each part of the sketch that a task gets; parts of ``size`` are streamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _add_sparse(sums.setdefault(part, np.zeros(size, np.int64)), counts.as_py())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(sums), pa.int64()),
+                pa.array([_sparse(np.minimum(c, 2**31 - 1).astype(np.int32)) for c in sums.values()], pa.binary()),
+            ],
+            names=["part", "counts"],
+        )
+
+    return run
 
 
 def _frequencies(facts: DataFrame) -> _Frequencies:
     """The sketch of all texts: counters of the tasks added up, part by part."""
     parts = facts.where("kind = 1").select(F.col("high").alias("part"), "counts").repartition("part")
-    found = parts.mapInArrow(_added_up, "part long, counts binary").toArrow()
     rows = np.zeros((2, 1 << _SKETCH_BITS), dtype=np.int32)
     flat = rows.reshape(-1, min(_SKETCH_PART, rows.shape[1]))
-    for part, counts in zip(found.column("part").to_pylist(), found.column("counts").to_pylist()):
-        flat[part] = np.frombuffer(counts, dtype=np.int32)
+    found = parts.mapInArrow(_added_up(flat.shape[1]), "part long, counts binary").toArrow()
+    for part, counts in zip(found.column("part").to_pylist(), found.column("counts")):
+        _add_sparse(flat[part], counts.as_py())
     return _Frequencies(rows)
 
 
@@ -194,7 +225,7 @@ def _regions(width: int, percent: int, frequencies):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             regions, deal, texts, sizes, places = [], [], [], [], []
             for row, digest, own in shingle_sets(batch.column(1), width):
@@ -305,7 +336,7 @@ def _sets(width: int, wanted):
     bits = _FILTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(batch.column(0).is_valid())
             word, bit = _bit(batch.column(0).to_numpy(), bits)
             batch = batch.filter(pa.array((wanted.value[word] & bit) != 0))

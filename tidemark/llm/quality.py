@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.staged import Staged, struct
-from tidemark.llm.words import PLAIN_WORDS, mixed, sequence_digest, text_chunks, word_hashes, word_spans
+from tidemark.llm.words import PLAIN_WORDS, mixed, sequence_digest, slices, text_chunks, word_hashes, word_spans
 
 #: Bound on the annotated documents the scorers are fitted on.
 SAMPLE_ROWS = 8192
@@ -223,7 +223,7 @@ def minimise(start: np.ndarray, memory: int = 8, least: float = 0.01, gain: floa
     """Limited-memory BFGS that asks for value and slope at the points it yields.
 
     It ends at a slope of ``least``, or after a step that lowers the value by less than
-    ``gain`` of it.
+    ``gain`` of it. Earlier steps are kept in half the precision, and so in half the room.
     """
     x = start
     value, slope = yield x
@@ -251,7 +251,7 @@ def minimise(start: np.ndarray, memory: int = 8, least: float = 0.01, gain: floa
             if step < 1e-4:
                 return x
         if (ahead - x) @ (new_slope - slope) > 1e-12:
-            pairs = [*pairs, (ahead - x, new_slope - slope)][-memory:]
+            pairs = [*pairs, ((ahead - x).astype(np.float32), (new_slope - slope).astype(np.float32))][-memory:]
         x, before, value, slope = ahead, value, there, new_slope
         if before - value < gain * value:
             break
@@ -259,14 +259,14 @@ def minimise(start: np.ndarray, memory: int = 8, least: float = 0.01, gain: floa
 
 
 def _counted_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         codes = [_code(votes(measures(data or b""))) for data in batch.column(0).cast(pa.binary()).to_pylist()]
         codes, counts = np.unique(np.array(codes, dtype=np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], names=["code", "n"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [(digest, _code(votes(values)), found.astype(np.int32)) for _, digest, values, found in document_features(batch.column(0))]
         yield pa.RecordBatch.from_arrays(
             [
@@ -560,7 +560,7 @@ def score_documents(
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, id_column, text_column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(zip(*_judged(batch.column(1), model.value))) or [()] * 4
             kinds = (pa.float64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
@@ -578,7 +578,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     at = documents.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = [row[3] for row in _judged(batch.column(at), model.value)]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 

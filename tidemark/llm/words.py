@@ -51,6 +51,13 @@ def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows at most: what a task makes of a part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_chunks(
     column: pa.Array, limit: int = _CHUNK_BYTES
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
