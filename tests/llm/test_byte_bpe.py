@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -100,3 +101,29 @@ def test_query(spark, folder):
         assert row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_words_merged_together_are_like_each_alone(vocabulary):
+    make = random.Random(12)
+    letters = "aaabcdeehnst äöß01日本é😀"
+    words = ["".join(make.choice(letters) for _ in range(make.choice([1, 2, 7, 30, SHORT, 90]))) for _ in range(2000)]
+    words += [c * size for c in "a 日" for size in (1, 2, SHORT - 1, SHORT, SHORT + 1, 700)]
+    ids, sizes = vocabulary.merger.ids([w.encode() for w in words])
+    found = [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert found == [LIBRARY._encode_single_piece(w.encode()) for w in words]
+    assert [len(x) for x in vocabulary.merger.ids([])] == [0, 0]
+
+
+def test_texts_are_read_once_and_not_shuffled(spark, vocabulary):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame([(k, f"text number {k}") for k in range(50)], "doc_id long, text string").coalesce(2)
+    encoded = encode(table.mapInArrow(counted, table.schema), vocabulary)
+    assert read.value == 0
+    encoded.write.format("noop").mode("overwrite").save()
+    assert read.value == 50

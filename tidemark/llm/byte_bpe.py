@@ -2,21 +2,18 @@
 
 A text is cut into words by the tokenizer's pattern. A word's UTF-8 bytes start as
 pieces of one byte each; of all neighbours, the pair whose joined bytes have the lowest
-rank is merged, the leftmost first, until no pair has a rank. The merges are a fold by
-Spark's higher-order functions over an array of pieces. Ranks come from a literal in the
-plan: a hash table of all pairs that can be merged, whose size is that of the vocabulary.
-
-Words repeat, so words are counted over all texts and the fold runs once for each of the
-most frequent (``most`` of them at most, each of 64 bytes at most, which bounds their table
-of ids). That table goes to the tasks; the other distinct words of a text are folded beside
-it. Texts are never shuffled; counting shuffles words already summed up in each batch.
-
-A word of more than 64 bytes is first cut where no piece of the vocabulary holds the
-two bytes side by side, since no merge crosses such a place. Then a round merges every
-place of the lowest rank at once, in time linear in the length, which matters for
-very long runs of one character. That gives the same as merging one by one, provided that
-merging the bytes of a piece gives the piece by way of pieces of lower rank: so it is in
-vocabularies trained as BPE.
+rank is merged, the leftmost first, until no pair has a rank. The pieces of many words lie
+in one array, and a round merges in all of them at once. Ranks come from a hash table of
+all pairs that can be merged, whose size is that of the vocabulary.
+
+Words repeat, so a task merges a word where it first meets it and remembers its ids, for
+some more than ``most`` words at a time. Texts are never shuffled.
+
+A word is first cut where no piece of the vocabulary holds the two bytes side by side,
+since no merge crosses such a place. In a word of more than 64 bytes a round merges every
+place of the lowest rank at once, which matters for very long runs of one character. That
+gives the same as merging one by one, provided that merging the bytes of a piece gives the
+piece by way of pieces of lower rank: so it is in vocabularies trained as BPE.
 
 Defined results: a NULL or empty text has no ids and decodes to no bytes. Strings of special
 tokens are ordinary text. Each row of the input is one row of the result, repeated rows and
@@ -29,28 +26,28 @@ from __future__ import annotations
 
 import base64
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.staged import Staged
+from tidemark.llm.words import slices
 
-#: Words of more bytes are cut and merged in rounds, and are never in the table of frequent words.
+#: Words of more bytes are merged at all places of a rank at once.
 SHORT = 64
-#: Most words whose ids are worked out in advance.
-MOST = 1 << 19
+#: Words whose ids a task remembers; it forgets them after the batch that goes beyond.
+MOST = 1 << 18
 #: Texts cut at a time.
-TEXTS = 1000
+TEXTS = 500
 
-#: Bits of a rank, and of a place in a short word.
-_RANK, _PLACE = 24, 7
+#: Bits of a rank.
+_RANK = 24
 _NONE = 1 << _RANK
 
 
@@ -60,11 +57,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _packed(rows: dict[int, dict[int, int]]) -> tuple[dict[int, int], list[int]]:
     """Sparse rows laid over each other: entry (left, right) is at ``start[left] + right``.
 
@@ -86,11 +78,6 @@ def _packed(rows: dict[int, dict[int, int]]) -> tuple[dict[int, int], list[int]]
     return start, table
 
 
-def _numbers(values, kind: str) -> Column:
-    """A literal array."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 class Vocabulary:
     """Ranks and pattern of a byte-level BPE; plain values, made without a session."""
 
@@ -110,20 +97,8 @@ class Vocabulary:
                 left, right = ranks.get(piece[:at]), ranks.get(piece[at:])
                 if left is not None and right is not None:
                     rows.setdefault(left, {})[right] = rank
-        self._beside = bytes(beside)
         start, table = _packed(rows)
-        self._start = [start.get(left, -_NONE) for left in range(max(self.pieces) + 1)]
-        self._table = table
-
-    def word_ids(self, word: Column) -> Column:
-        """Ids of one word, by merging its bytes."""
-        literals = F.struct(
-            _numbers(self._table, "bigint").alias("table"),
-            _numbers(self._start, "int").alias("start"),
-            _numbers(self._single, "int").alias("single"),
-            F.lit(self._beside).alias("beside"),
-        )
-        return _let(literals, lambda of: _merged(word, of["table"], of["start"], of["single"], of["beside"]))
+        self.merger = Merger(self._single, beside, start, table, max(self.pieces))
 
     def piece_hex(self) -> Column:
         """Literal array: the bytes of each rank in hexadecimal digits."""
@@ -131,77 +106,64 @@ class Vocabulary:
         return F.split(F.lit(",".join(self.pieces[r].hex() if r in self.pieces else "-" for r in range(most + 1))), ",")
 
 
-def _merged(word: Column, table: Column, start: Column, single: Column, beside: Column) -> Column:
-    def rank(left, right):
-        entry = F.get(table, F.get(start, left) + right)
-        return F.when(F.shiftright(entry, _RANK) == left, entry.bitwiseAND(_NONE - 1)).otherwise(F.lit(_NONE).cast("long"))
-
-    def turns(pieces):
-        return F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1)))
-
-    def one_by_one(pieces):
-        def step(p, _):
-            places = F.transform(p, lambda x, i: F.shiftleft(rank(x, F.get(p, i + 1)), _PLACE) + i)
-
-            def merged(least):
-                at = least.bitwiseAND((1 << _PLACE) - 1)
-                low = F.shiftright(least, _PLACE).cast("int")
-                new = F.transform(p, lambda x, i: F.when(i == at, low).when(i == at + 1, F.lit(-1)).otherwise(x))
-                return F.when(least >= _NONE << _PLACE, p).otherwise(F.filter(new, lambda x: x >= 0))
-
-            return _let(F.array_min(places), merged)
-
-        return F.aggregate(turns(pieces), pieces, step)
-
-    def in_rounds(pieces):
-        def state(p):
-            ranks = F.transform(p, lambda x, i: rank(x, F.get(p, i + 1)))
-            return _let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("low")))
-
-        def merge(s):
-            marks = F.array_join(F.transform(s["r"], lambda x: F.when(x == s["low"], "1").otherwise("0")), "")
+class Merger:
+    """Merges the bytes of words; arrays of the vocabulary's size, sent to the tasks."""
+
+    def __init__(self, single: list[int], beside: bytearray, start: dict[int, int], table: list[int], most: int):
+        self._single = np.array(single, dtype=np.int64)
+        self._apart = np.frombuffer(bytes(beside), dtype=np.uint8) == 0
+        # Beyond the table there is room for all that pairs without an entry look for.
+        self._table = np.array(table + [-1] * (most + 1), dtype=np.int64)
+        self._start = np.full(most + 1, len(table), dtype=np.int64)
+        self._start[list(start)] = list(start.values())
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        entries = self._table[self._start[left] + right]
+        return np.where(entries >> _RANK == left, entries & (_NONE - 1), _NONE)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has; no word is empty."""
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        data = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+        ends = np.cumsum(sizes)
+        if not len(data):
+            return np.empty(0, np.int32), sizes
+        # Runs of bytes that no merge leaves.
+        first = np.ones(len(data), dtype=bool)
+        first[1:] = self._apart[data[:-1] << 8 | data[1:]]
+        first[ends[:-1]] = True
+        found = np.full(len(data), -1, dtype=np.int32)
+        pieces, home, run = self._single[data], np.arange(len(data)), np.cumsum(first) - 1
+        at_once = np.repeat(sizes > SHORT, sizes)[first]
+        ranks = np.full(len(data), _NONE)
+        within = np.flatnonzero(~first[1:])
+        ranks[within] = self._ranks(pieces[within], pieces[within + 1])
+        while len(pieces):
+            begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            low = np.repeat(np.minimum.reduceat(ranks, begins), np.diff(begins, append=len(run)))
+            done = low == _NONE
+            if done.any():
+                found[home[done]] = pieces[done]
+                pieces, home, run, ranks, low = (x[~done] for x in (pieces, home, run, ranks, low))
+            places = np.flatnonzero(ranks == low)
+            if not len(places):
+                break
+            new = np.concatenate([[True], run[places[1:]] != run[places[:-1]]])
             # Of places side by side every other one, from the left.
-            chosen = F.split(F.replace(marks, F.lit("11"), F.lit("10")), "")
-
-            def merged(flags):
-                def piece(x, i):
-                    left_half = F.get(flags, i) == "1"
-                    return F.when(left_half, s["low"].cast("int")).when(F.get(flags, i - 1) == "1", F.lit(-1)).otherwise(x)
-
-                return F.filter(F.transform(s["p"], piece), lambda x: x >= 0)
-
-            return _let(_let(chosen, merged), state)
-
-        def step(s, _):
-            return F.when(s["low"] == _NONE, s).otherwise(merge(s))
-
-        return F.aggregate(turns(pieces), _let(pieces, state), step, lambda s: s["p"])
-
-    def chunks(codes, pieces):
-        n = F.size(codes)
-
-        def apart(i):
-            return F.substr(beside, F.get(codes, i - 1) * 256 + F.get(codes, i) + 1, F.lit(1)) == F.lit(b"\x00")
-
-        def between(ends):
-            return F.zip_with(
-                F.concat(F.array(F.lit(0)), ends),
-                F.concat(ends, F.array(n)),
-                lambda a, b: F.slice(pieces, a + 1, b - a),
-            )
-
-        return _let(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), apart), between)
-
-    def folded(codes):
-        return _let(
-            F.transform(codes, lambda c: F.get(single, c)),
-            lambda p: F.when(F.size(p) <= SHORT, one_by_one(p)).otherwise(
-                F.flatten(F.transform(chunks(codes, p), in_rounds))
-            ),
-        )
-
-    latin = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    return _let(F.transform(latin, lambda x: F.ascii(x)), folded)
+            aside = np.arange(len(places))
+            aside -= np.maximum.accumulate(np.where(new | (np.diff(places, prepend=-2) > 1), aside, 0))
+            places = places[np.where(at_once[run[places]], aside % 2 == 0, new)]
+            pieces[places] = low[places]
+            stays = np.ones(len(pieces), dtype=bool)
+            stays[places + 1] = False
+            pieces, home, run, ranks = (x[stays] for x in (pieces, home, run, ranks))
+            places -= np.arange(len(places))
+            for left in (places, places[places > 0] - 1):
+                right = np.minimum(left + 1, len(pieces) - 1)
+                inside = (run[left] == run[right]) & (left < right)
+                ranks[left] = np.where(inside, self._ranks(pieces[left], pieces[right]), _NONE)
+        own = np.add.reduceat(found >= 0, ends - sizes, dtype=np.int64)
+        return found[found >= 0], own
 
 
 @lru_cache
@@ -249,77 +211,29 @@ class _Splitter:
         return [text[m.start() : m.end()] for m in places]
 
 
-_COUNTED = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+class _Known:
+    """Ids of the words that a task has met, flat and with their lengths."""
 
+    def __init__(self, merger: Merger):
+        self._merger = merger
+        self.forget()
 
-def count_words(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, n) of all texts, ``texts`` having the one column of texts."""
-    split = _Splitter(vocabulary.pattern)
+    def forget(self) -> None:
+        self.places: defaultdict[str, int] = defaultdict(count().__next__)
+        self._flat, self._lengths = np.empty(0, np.int32), np.empty(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-
-        def flushed():
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(split.words(text.as_py()))
-                if len(seen) > 1 << 18:
-                    yield flushed()
-        yield flushed()
-
-    return texts.mapInArrow(run, _COUNTED).groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent_words(counts: DataFrame, most: int = MOST) -> DataFrame:
-    """Words that occur at least so often that they are ``most`` at most."""
-    short = counts.where(F.octet_length("word") <= SHORT)
-    band = F.floor(F.log2("n") * 8).cast("int").alias("band")
-    threshold, words = None, 0
-    for row in short.groupBy(band).count().orderBy(F.desc("band")).collect():
-        words += row["count"]
-        if words > most:
-            break
-        threshold = row["band"]
-    return short.where(F.lit(False) if threshold is None else band >= threshold).select("word")
-
-
-class _Frequent:
-    """Ids of frequent words, flat and with the ends; made a mapping once in each Python worker."""
-
-    def __init__(self, table: pa.Table):
-        self._words = table.column("word").combine_chunks()
-        lists = table.column("ids").combine_chunks()
-        self.lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self._places: dict[str, int] | None = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_places": None}
-
-    def places(self) -> dict[str, int]:
-        if self._places is None:
-            self._places = dict(zip(self._words.to_pylist(), range(len(self._words))))
-        return self._places
-
-    def joined(self, places: pa.ListArray, rare: pa.ListArray) -> pa.ListArray:
-        """Ids of rows of words: places here, or -1 - k for the row's k-th rare word."""
-        at = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        words = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
-        inner = rare.flatten()
-        before = np.concatenate([[0], np.cumsum(pc.list_value_length(rare).to_numpy(zero_copy_only=False).astype(np.int64))])
-        at = np.where(at >= 0, at, len(self.lengths) + np.repeat(before[:-1], words) - 1 - at)
-        lengths = np.concatenate([self.lengths, pc.list_value_length(inner).to_numpy(zero_copy_only=False).astype(np.int64)])
-        flat = np.concatenate([self.flat, inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
-        starts = np.cumsum(lengths) - lengths
-        own = lengths[at]
-        ends = np.cumsum(own)
-        tokens = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - own), own)
-        rows = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
-        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(flat[tokens], pa.int32()))
+    def joined(self, places: np.ndarray, ends: list[int]) -> pa.ListArray:
+        """Ids of texts, given the places of their words; what new words have is worked out first."""
+        new = [w.encode() for w in islice(self.places, len(self._lengths), None)]
+        flat, lengths = self._merger.ids(new)
+        self._flat, self._lengths = np.concatenate([self._flat, flat]), np.concatenate([self._lengths, lengths])
+        starts = np.cumsum(self._lengths) - self._lengths
+        own = self._lengths[places]
+        until = np.cumsum(own)
+        tokens = np.repeat(starts[places] - (until - own), own)
+        tokens += np.arange(len(tokens))
+        rows = np.concatenate([[0], until])[ends]
+        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(self._flat[tokens], pa.int32()))
 
 
 def _column(name: str) -> Column:
@@ -331,43 +245,25 @@ def encode(table: DataFrame, vocabulary: Vocabulary, text: str = "text", most: i
     others = [f for f in table.schema.fields if f.name != text]
     if "ids" in {f.name.lower() for f in others}:
         raise ValueError("the table has a column ids")
-    spark = table.sparkSession
-    staged = Staged(spark, "byte-bpe")
-    counts = staged.put("counts", count_words(table.select(_column(text)), vocabulary))
-    ids = vocabulary.word_ids(F.col("word")).alias("ids")
-    known = staged.put("frequent", frequent_words(counts, most).select("word", ids))
-    staged.drop("counts")
-    frequent = spark.sparkContext.broadcast(_Frequent(known.toArrow()))
-    staged.drop("frequent")
-
+    merger = table.sparkSession.sparkContext.broadcast(vocabulary.merger)
     split, n = _Splitter(vocabulary.pattern), len(others)
-    ints = T.ArrayType(T.IntegerType())
     # Positions count from here on, so that no name can clash.
     given = table.select(*[_column(f.name).alias(f"c{k}") for k, f in enumerate(others)], _column(text).alias("t"))
-    kept = given.schema.fields[:-1]
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value.places()
-        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
-            found, ends, rare = [], [0], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(merger.value)
+        for batch in slices(batches, TEXTS):
+            place = known.places.__getitem__
+            found, ends = [np.empty(0, np.int32)], [0]
             for value in batch.column(n):
-                own: dict[str, int] = {}
-                places = (known[word] if word in known else own.setdefault(word, -1 - len(own)) for word in split.words(value.as_py()))
-                found.append(np.fromiter(places, np.int32))
+                found.append(np.fromiter(map(place, split.words(value.as_py())), np.int32))
                 ends.append(ends[-1] + len(found[-1]))
-                rare.append(list(own))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
-            columns = [*batch.columns[:n], lists, pa.array(rare, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:n], "p", "r"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = frequent.value.joined(batch.column(n), batch.column(n + 1))
+            lists = known.joined(np.concatenate(found), ends)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], lists], [*batch.schema.names[:n], "ids"])
+            if len(known.places) > most:
+                known.forget()
 
-    words = T.StructType([*kept, T.StructField("p", ints), T.StructField("r", T.ArrayType(T.StringType()))])
-    folded = given.mapInArrow(places, words).withColumn("r", F.transform("r", vocabulary.word_ids))
-    encoded = folded.mapInArrow(joined, T.StructType([*kept, T.StructField("ids", ints)]))
+    encoded = given.mapInArrow(run, T.StructType([*given.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return encoded.select(*[F.col(f"c{k}").alias(f.name) for k, f in enumerate(others)], "ids")
 
 
