@@ -223,7 +223,7 @@ def minimise(start: np.ndarray, memory: int = 8, least: float = 0.01, gain: floa
     """Limited-memory BFGS that asks for value and slope at the points it yields.
 
     It ends at a slope of ``least``, or after a step that lowers the value by less than
-    ``gain`` of it. Earlier steps are kept in half the precision, and so in half the room.
+    ``gain`` of it.
     """
     x = start
     value, slope = yield x
@@ -251,7 +251,7 @@ def minimise(start: np.ndarray, memory: int = 8, least: float = 0.01, gain: floa
             if step < 1e-4:
                 return x
         if (ahead - x) @ (new_slope - slope) > 1e-12:
-            pairs = [*pairs, ((ahead - x).astype(np.float32), (new_slope - slope).astype(np.float32))][-memory:]
+            pairs = [*pairs, (ahead - x, new_slope - slope)][-memory:]
         x, before, value, slope = ahead, value, there, new_slope
         if before - value < gain * value:
             break
